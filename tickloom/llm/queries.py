@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, urlfilter
+from . import bpe, embed, langid, lines, minhash, packing, quality, urlfilter
 from .shared import read_table
 
 
@@ -15,6 +15,15 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs).select("doc_id", "n_removed", "text")
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(docs).select("doc_id", "quality.*")
@@ -24,6 +33,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,8 +46,16 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    judged = langid.predict(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_quality_rules, op6_best_fit_packing, op8_bpe_round_trip, op9_url_filters)}
+    made = (op1_line_dedup, op3_embedding_near_dedup, op4_quality_rules, op6_best_fit_packing, op7_minhash_near_dedup)
+    return {f.__name__: f for f in (*made, op8_bpe_round_trip, op9_url_filters, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
