@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed, langid, lines, minhash, packing, quality, urlfilter
-from .shared import read_table
+from . import bpe, chat, embed, html, langid, lines, minhash, packing, quality, urlfilter
+from .shared import cut_lineage, read_table
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(docs).select("doc_id", "n_removed", "text")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = cut_lineage(chat.blocks_of(read_table(spark, sf_dir, "conversations")))
+    known = blocks.filter(~F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    model = chat.fit(known)
+    return chat.parse(chat.transcripts_of(blocks), model, ("conv_id", "block", "part"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -29,6 +36,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("doc_id", "quality.*")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -54,7 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    made = (op1_line_dedup, op3_embedding_near_dedup, op4_quality_rules, op6_best_fit_packing, op7_minhash_near_dedup)
+    made = (op1_line_dedup, op2_chat_formatting, op3_embedding_near_dedup, op4_quality_rules, op5_html_extraction, op6_best_fit_packing, op7_minhash_near_dedup)
     return {f.__name__: f for f in (*made, op8_bpe_round_trip, op9_url_filters, op10_language_id)}
 
 
