@@ -21,9 +21,7 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and the fences of their language and source."""
-    judged = quality.judge(docs)
-    name = judged.columns[-1]
-    return judged.filter(F.col(f"`{name}`.kept")).drop(name)
+    return quality.keep(docs)
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str, str]:

@@ -90,9 +90,10 @@ def repeated_words(docs: DataFrame) -> DataFrame:
 def fences(docs: DataFrame, text: Column, lang: Column, source: Column) -> DataFrame:
     """One row for each (lang, source): bounds low_<metric> and high_<metric> (null: none)."""
     base, _ = cheap_features(docs.select(lang.alias("g_lang"), source.alias("g_source"), text.alias("_text")), F.col("_text"))
-    base = base.filter(F.col("n_words") >= MIN_WORDS)
-    sketches = {m: F.kll_sketch_agg_double(F.col(m), F.lit(SKETCH_K)) for m in METRICS}
-    groups = cut_lineage(base.groupBy("g_lang", "g_source").agg(F.count(F.lit(1)).alias("n"), *(s.alias(m) for m, s in sketches.items())))
+    # conditions inside the aggregates: a filter would have the words split twice
+    long = F.col("n_words") >= MIN_WORDS
+    sketches = {m: F.kll_sketch_agg_double(F.when(long, F.col(m)), F.lit(SKETCH_K)) for m in METRICS}
+    groups = cut_lineage(base.groupBy("g_lang", "g_source").agg(F.count(F.when(long, 1)).alias("n"), *(s.alias(m) for m, s in sketches.items())))
 
     def level(keys: list[str], name: str) -> DataFrame:
         merged = groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(F.col(m)).alias(m) for m in METRICS))
@@ -113,6 +114,15 @@ def fences(docs: DataFrame, text: Column, lang: Column, source: Column) -> DataF
     return joined.select("g_lang", "g_source", pick.alias("fence"))
 
 
+def keep(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns."""
+    judged = judge(docs, text_col, lang_col, source_col)
+    name, row = judged.columns[-1], spare_name(judged, "row_number")
+    # The row number keeps the filter above the counts: pushed down, it would repeat all their expressions.
+    judged = judged.withColumn(row, F.monotonically_increasing_id())
+    return judged.filter(F.col(f"`{name}`.kept") & (F.col(row) >= 0)).drop(name, row)
+
+
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """All rows and columns of ``docs`` with a struct column ``quality``.
 
