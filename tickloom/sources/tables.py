@@ -58,11 +58,14 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None, start=N
 class BarStore:
     """Parquet folder partitioned by symbol, interval and year."""
 
+    SCHEMA = "ts timestamp_ntz, open double, high double, low double, close double, volume double, symbol string, interval string, year int"
+
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
 
     def scan(self, symbol: str | None = None, interval: str | None = None) -> DataFrame:
-        rows = self.spark.read.parquet(self.root)
+        # given, as partition values such as 1d would be read as numbers
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.root)
         for name, value in (("symbol", symbol), ("interval", interval)):
             rows = rows if value is None else rows.filter(F.col(name) == value)
         return rows
