@@ -40,9 +40,11 @@ def pivots_for(n: int) -> int:
 def _pivots(nodes: DataFrame) -> np.ndarray:
     """Unit vectors of the pivots, drawn from a bounded sample in the order of a hash."""
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOT_SAMPLE).select("v").toArrow().column("v").to_pylist()
-    size = max(map(len, sample), key=[len(x) for x in sample].count) if sample else 0
+    if not sample:
+        return np.zeros((0, 0))
+    size = max(map(len, sample), key=[len(x) for x in sample].count)
     units = np.array([x for x in sample if len(x) == size], float).reshape(-1, size)
-    units /= np.linalg.norm(units, axis=1, keepdims=True) if len(units) else 1
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
     most, chosen, nearest = pivots_for(nodes.count()), [], np.full(len(units), -1.0)
     for i in range(len(units)):
         if len(chosen) < most and nearest[i] < APART:
