@@ -136,3 +136,35 @@ def test_orders_fill_by_the_bar():
     book.apply("A", -15, 12, 1)
     assert book.realized == 20 and book.quantity["A"] == -5 and book.cost["A"] == 12 and book.cash == 1000 - 100 - 1 + 180 - 1
     assert len(backtest.folds(100, 40, 20)) == 3
+
+
+def test_differences_and_seasonal_models():
+    x = np.array([1.0, 4, 9, 16, 25])
+    assert ts.inverse_difference(ts.difference(x[1:], 1), np.array([4.0])).tolist() == [9, 16, 25]
+    assert ts.seasonal_difference(x, 2).tolist() == [8, 12, 16]
+    assert ts.expand_seasonal([0.5], [0.3], 3) == pytest.approx([0.5, 0, 0.3, -0.15])
+    assert ts.impulse_weights(np.array([0.5]), np.array([0.2]), 2) == pytest.approx([1, 0.7, 0.35])
+    y = ts.arma_simulate(np.array([0.5, 0, 0, 0.3, -0.15]), np.zeros(0), 1500, seed=2)
+    fit = ts.sarima_fit(y, 1, 0, 0, 1, 0, 4)
+    assert fit["phi"][0] == pytest.approx(0.5, abs=0.08) and fit["phi"][3] == pytest.approx(0.3, abs=0.08)
+    assert ts.garch_forecast(0.1, 0.1, 0.8, 1.0, 5) == pytest.approx(np.ones(5))
+    assert ts.mase(np.array([1.0]), np.array([2.0]), np.array([1.0, 2, 3])) == 1
+
+
+def test_error_correction_trend_and_walks():
+    rng = np.random.default_rng(3)
+    walk = np.cumsum(rng.normal(size=800))
+    fit = ts.vecm(np.column_stack([walk, 0.5 * walk + rng.normal(size=800)]), 1)
+    assert fit["beta"][1, 0] == pytest.approx(-2, abs=0.3)
+    level, slope = ts.trend_filter(np.arange(50.0), 1e-6, 1e-6, 1.0)
+    assert level[-1] == pytest.approx(49, abs=0.1) and slope[-1] == pytest.approx(1, abs=0.05)
+    made = ts.rolling_backtest(np.arange(20.0), lambda w: None, lambda m, w, h: w[-1], 5)
+    assert len(made) == 15 and all(a - f == 1 for _, f, a in made)
+    from tickloom.operators import markov
+    from tickloom.operators.profile import bracket_letters
+
+    x = markov.ou_simulate(0.2, 1.0, 0.3, 1.0, 3000)
+    assert markov.ou_log_likelihood(x, 0.2, 1.0, 0.3) > markov.ou_log_likelihood(x, 0.5, 1.0, 0.3)
+    assert markov.stationary(np.array([[0.9, 0.1], [0.3, 0.7]])) == pytest.approx([0.75, 0.25])
+    assert bracket_letters(54)[-3:] == ["z", "AA", "AB"]
+    assert markov.simulate_tensor({("a", "b"): {"a": 1.0}, ("b", "a"): {"b": 1.0}}, ("a", "b"), 4) == list("ababab")

@@ -127,3 +127,41 @@ def discrete_hmm(df: DataFrame, symbol: str, n_states: int, n_symbols: int, keys
 
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.groupBy(*keys).applyInPandas(run, f"{fields}, log_likelihood double, path array<bigint>")
+
+
+def ou_simulate(theta: float, mu: float, sigma: float, start: float, steps: int, dt: float = 1.0, seed: int = 0) -> np.ndarray:
+    """A path by the exact transition law."""
+    keep = np.exp(-theta * dt)
+    noise = sigma * np.sqrt((1 - keep**2) / (2 * theta)) * np.random.default_rng(seed).normal(size=steps)
+    out = [start]
+    for e in noise:
+        out.append(mu + keep * (out[-1] - mu) + e)
+    return np.array(out)
+
+
+def ou_log_likelihood(x: np.ndarray, theta: float, mu: float, sigma: float, dt: float = 1.0) -> float:
+    keep = np.exp(-theta * dt)
+    v = sigma**2 * (1 - keep**2) / (2 * theta)
+    gap = x[1:] - mu - keep * (x[:-1] - mu)
+    return float(-0.5 * (np.log(2 * np.pi * v) + gap**2 / v).sum())
+
+
+def simulate_hmm(step: np.ndarray, emit: np.ndarray, start: np.ndarray, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """States and symbols of a discrete model."""
+    rng, states = np.random.default_rng(seed), []
+    for t in range(n):
+        states.append(int(rng.choice(len(start), p=start if t == 0 else step[states[-1]])))
+    return np.array(states), np.array([int(rng.choice(emit.shape[1], p=emit[s])) for s in states])
+
+
+def simulate_tensor(tensor: dict[tuple, dict], context: tuple, steps: int, seed: int = 0) -> list:
+    """A path of a chain of higher order; it ends early at a context that was never seen."""
+    rng, out = np.random.default_rng(seed), list(context)
+    for _ in range(steps):
+        row = tensor.get(tuple(out[-len(context) :]))
+        if not row:
+            break
+        names = sorted(row)
+        p = np.array([row[n] for n in names], float)
+        out.append(names[int(rng.choice(len(names), p=p / p.sum()))])
+    return out

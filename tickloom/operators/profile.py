@@ -141,3 +141,23 @@ def delta_profile(ticks: DataFrame, n_bins: int = 50) -> DataFrame:
     bounds = rows.groupBy("symbol").agg(F.min("price").alias("_lo"), F.max("price").alias("_hi"))
     rows = rows.join(bounds, "symbol").withColumn("bin", F.coalesce(F.least(F.floor(ratio((c("price") - c("_lo")) * n_bins, c("_hi") - c("_lo"))), F.lit(n_bins - 1)), F.lit(0)))
     return rows.groupBy("symbol", "bin").agg(F.sum(F.when(c("sign") > 0, c("size")).otherwise(0.0)).alias("buy"), F.sum(F.when(c("sign") < 0, c("size")).otherwise(0.0)).alias("sell"))
+
+
+def bracket_letters(n: int) -> list[str]:
+    """A..Z, a..z, then pairs."""
+    one = [chr(x) for x in (*range(65, 91), *range(97, 123))]
+    return [one[i] if i < 52 else one[i // 52 - 1] + one[i % 52] for i in range(n)]
+
+
+def initial_balance(bars: DataFrame, bracket: str = "30 minutes", n_initial: int = 2, period: str = "day") -> DataFrame:
+    """(symbol, session, ib_low, ib_high, extends_up, extends_down) from the first brackets of each session."""
+    rows = bars.withColumns({"session": F.date_trunc(period, "ts"), "_b": F.window("ts", bracket)["start"]})
+    rows = rows.withColumn("_n", F.dense_rank().over(Window.partitionBy("symbol", "session").orderBy("_b")))
+    first = c("_n") <= n_initial
+    out = rows.groupBy("symbol", "session").agg(F.min(F.when(first, c("low"))).alias("ib_low"), F.max(F.when(first, c("high"))).alias("ib_high"), F.min("low").alias("_lo"), F.max("high").alias("_hi"))
+    return out.select("symbol", "session", "ib_low", "ib_high", (c("_hi") > c("ib_high")).alias("extends_up"), (c("_lo") < c("ib_low")).alias("extends_down"))
+
+
+def single_prints(tpo: DataFrame) -> DataFrame:
+    """Bins that one bracket alone touched."""
+    return tpo.filter("tpo = 1")

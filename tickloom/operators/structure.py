@@ -125,3 +125,31 @@ def point_and_figure(bars: DataFrame, box: float | None = None, reversal: int =
 
     fields = ", ".join(f"{x} {bars.schema[x].dataType.simpleString()}" for x in keys)
     return bars.groupBy(*keys).applyInPandas(run, f"{fields}, column bigint, side bigint, low double, high double, n_boxes bigint, target double")
+
+
+def horizontal_counts(columns: DataFrame, box: float, reversal: int = 3, reach: int = 12, s: Series = Series(("symbol",), ("column",))) -> DataFrame:
+    """Adds width (columns back that overlap this one's range) and its target, from point-and-figure columns."""
+    before = [(s.lag("low", k), s.lag("high", k)) for k in range(1, reach + 1)]
+    overlaps = [F.coalesce((low <= c("high")) & (high >= c("low")), F.lit(False)) for low, high in before]
+    width, open_ = F.lit(1), F.lit(True)
+    columns = columns.withColumns({f"_o{k}": o for k, o in enumerate(overlaps)})
+    for k in range(reach):
+        open_ = open_ & c(f"_o{k}")
+        width = width + open_.cast("int")
+    columns = columns.withColumn("width", width).drop(*(f"_o{k}" for k in range(reach)))
+    return columns.withColumn("count_target", F.when(c("side") >= 0, c("low") + c("width") * box * reversal).otherwise(c("high") - c("width") * box * reversal))
+
+
+def automatic_rally(bars: DataFrame, most: int = 30, s: Series = BARS) -> DataFrame:
+    """(keys, climax_place, kind, place, price): the highest high after a selling climax (lowest low after a
+    buying one) within ``most`` bars, before a bar breaks the climax's own extreme."""
+    rows = climaxes(bars, s=s).withColumn("place", s.number)
+    events = rows.filter("climax is not null").select(*s.keys, c("place").alias("climax_place"), c("climax").alias("kind"), c("low").alias("_cl"), c("high").alias("_ch"))
+    after = rows.select(*s.keys, "place", "high", "low")
+    near = events.join(after, list(s.keys)).filter((c("place") > c("climax_place")) & (c("place") <= c("climax_place") + most))
+    broken = F.when(c("kind") == "SC", c("low") < c("_cl")).otherwise(c("high") > c("_ch"))
+    first = near.groupBy(*s.keys, "climax_place").agg(F.min(F.when(broken, c("place"))).alias("_end"))
+    near = near.join(first, [*s.keys, "climax_place"]).filter(c("_end").isNull() | (c("place") < c("_end")))
+    best = F.when(c("kind") == "SC", c("high")).otherwise(-c("low"))
+    out = near.groupBy(*s.keys, "climax_place", "kind").agg(F.max(F.struct(best.alias("b"), (-c("place")).alias("p"))).alias("_m"))
+    return out.select(*s.keys, "climax_place", "kind", (-c("_m.p")).alias("place"), F.when(c("kind") == "SC", c("_m.b")).otherwise(-c("_m.b")).alias("price"))
