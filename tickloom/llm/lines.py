@@ -94,7 +94,8 @@ def removals(docs: DataFrame) -> DataFrame:
     met = _chunks(docs, True).join(side, "h")
     met = met.withColumn("is_first", (F.col("rk") == F.col("first_rk")) & (F.col("start") == F.col("first_start")))
     met = shared.cut_lineage(met.select("h", "rk", "start", "size", "chunk", "is_first"))
-    firsts = met.filter("is_first").select("h", "chunk").distinct()
+    # checkpointed so that both sides of the join are plain exchanges, whose large partitions can be split
+    firsts = shared.cut_lineage(met.filter("is_first").select("h", "chunk").distinct())
     same = met.filter("not is_first").join(firsts, ["h", "chunk"], "left_semi")
     return same.groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"))
 
