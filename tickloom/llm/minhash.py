@@ -6,10 +6,11 @@ earliest arrival, and a shingle stops as soon as it can't be the earliest anywhe
 texts agree on a register with the probability Jaccard similarity of their weights. Bands of
 registers give candidates, which are verified by the exact probability Jaccard.
 
-Exact copies are first folded into one representative. In a band's bucket each member meets
-the smallest one. Buckets whose members are then not all in one class come again with
-leaders drawn for each class, and at last with all pairs between different classes, so that
-no link between classes that share a bucket is lost.
+Exact copies are first folded into one representative. In a band's bucket each member is
+verified against the smallest one, which ties most copies. Buckets also join into families,
+by their members. A family whose members are not all in one class by then is compared
+exactly, block by block, so that no link within a family is lost; what leaves a task is a tie
+for each member, never the pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = 128
-#: Rounds with one leader for each class of a bucket before the rest is compared pair by pair.
-LEADER_ROUNDS = 3
+#: Members of a block; a larger family has several, each of which meets each.
+BLOCK = 512
+#: Columns of the matrices that are multiplied at a time.
+COLUMNS = 4_096
 #: Rows up to which ids of candidates are broadcast to the scan of the texts.
 BROADCAST_ROWS = 2_000_000
 
@@ -142,11 +145,15 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id bigint, keys array<int>, counts array<int>")
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    ids = shared.cut_lineage(ids.distinct())
+    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return _sets(texts.join(side, "id", "left_semi").select("id", "text"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose similarity reaches the threshold."""
-    ids = shared.cut_lineage(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    sets = _sets(texts.join(side, "id", "left_semi").select("id", "text"))
+    sets = _sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), texts)
     left = sets.select(F.col("id").alias("u"), F.col("keys").alias("a"), F.col("counts").alias("x"))
     right = sets.select(F.col("id").alias("v"), F.col("keys").alias("b"), F.col("counts").alias("y"))
 
@@ -170,6 +177,100 @@ def _reaches(a: np.ndarray, x, b: np.ndarray, y, threshold: float) -> bool:
     return probability_jaccard(a, x, b, y) >= threshold - 1e-12
 
 
+def _shares(keys: list[np.ndarray], mass: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For members of side 0 (rows) and side 1 (columns): the row's and the column's mass on shared keys."""
+    sizes = [len(k) for k in keys]
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    names, column, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]  # a key of one member is shared with none
+    value = np.concatenate(mass)
+    rows = [np.flatnonzero(side != 1), np.flatnonzero(side != 0)]
+    place = [np.full(len(keys), -1) for _ in rows]
+    for p, r in zip(place, rows, strict=True):
+        p[r] = np.arange(len(r))
+    order = np.argsort(column, kind="stable")
+    column, owner, value = column[order], owner[order], value[order]
+    left, right = (np.zeros((len(rows[0]), len(rows[1]))) for _ in range(2))
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [c, c + COLUMNS])
+        made = []
+        for p, r in zip(place, rows, strict=True):
+            mine = p[owner[a:b]] >= 0
+            at = p[owner[a:b]][mine], column[a:b][mine] - c
+            full, flag = (np.zeros((len(r), COLUMNS), np.float32) for _ in range(2))
+            full[at], flag[at] = value[a:b][mine], 1
+            made.append((full, flag))
+        left += made[0][0] @ made[1][1].T
+        right += made[0][1] @ made[1][0].T
+    return left, right
+
+
+def _ties(part: pa.Table, b1: int, b2: int, threshold: float) -> list[tuple[int, int]]:
+    """Pairs (id, id) that tie different classes of two blocks, or of one, into one."""
+    part = part.sort_by("id").combine_chunks()
+    ids, group, own = (part.column(n).to_pylist() for n in ("id", "g", "own"))
+    keys = [np.sort(x.values.to_numpy().view(np.uint32)) for x in part.column("keys")]
+    order = [np.argsort(x.values.to_numpy().view(np.uint32), kind="stable") for x in part.column("keys")]
+    counts = [x.values.to_numpy()[o] if x.is_valid else np.ones(len(o), np.int64) for x, o in zip(part.column("counts"), order, strict=True)]
+    plain = np.array([not x.is_valid for x in part.column("counts")])
+    side = np.array([2 if b1 == b2 else 0 if o == b1 else 1 for o in own])
+    left, right = _shares(keys, [n / n.sum() for n in counts], side)
+    rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    # no pair is more alike than the smaller of its shared masses; for plain sets this says all
+    i, j = np.nonzero(np.minimum(left, right) >= threshold - 1e-4)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in zip(rows[i].tolist(), columns[j].tolist(), strict=True):
+        x, y = find(group[a]), find(group[b])
+        if x == y:
+            continue
+        if plain[a] and plain[b]:
+            both = len(np.intersect1d(keys[a], keys[b], assume_unique=True))
+            alike = both >= (threshold - 1e-12) * (len(keys[a]) + len(keys[b]) - both)
+        else:
+            alike = probability_jaccard(keys[a], counts[a], keys[b], counts[b]) >= threshold - 1e-12
+        if alike:
+            up[max(x, y)] = min(x, y)
+            out.append((ids[a], ids[b]))
+    return out
+
+
+def _family_ties(pairs: DataFrame, groups: DataFrame, member: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between classes of one family that the leaders have not shown.
+
+    A family is compared as a whole or bucket by bucket, whichever moves fewer rows; a family
+    none of whose buckets is mixed has nothing left to compare.
+    """
+    cost = lambda n: n * F.ceil(n / BLOCK)
+    family = connected_components(pairs).withColumnRenamed("node", "id").withColumnRenamed("component", "family")
+    placed = family.join(groups.withColumnRenamed("node", "id"), "id", "left").select("family", "id", F.coalesce("component", "id").alias("g"))
+    size = placed.groupBy("family").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("n"))
+    placed = shared.cut_lineage(placed.join(size.filter("low != high").select("family", "n"), "family"))
+    inside = shared.cut_lineage(member.select("band", "h", "id").join(placed.select("family", "id", "g", "n"), "id"))
+    buckets = inside.groupBy("band", "h").agg(F.min("family").alias("family"), F.min("n").alias("n"), F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("m"))
+    buckets = shared.cut_lineage(buckets.filter("low != high").select("band", "h", "family", "n", "m"))
+    choice = shared.cut_lineage(buckets.groupBy("family", "n").agg(F.sum(cost(F.col("m"))).alias("c")).select("family", (F.col("c") < cost(F.col("n"))).alias("by_bucket")))
+    whole = placed.join(choice.filter("not by_bucket"), "family").select(F.col("family").alias("k1"), F.lit(-1).alias("k2"), "id", "g", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    split = buckets.join(choice.filter("by_bucket"), "family").select("band", "h", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    split = inside.join(split, ["band", "h"]).select(F.col("h").alias("k1"), F.col("band").alias("k2"), "id", "g", "blocks")
+    placed = shared.cut_lineage(whole.union(split))
+    rows = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(_sets_of(placed.select("id"), texts).dropDuplicates(["id", "keys"]), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    rows = rows.select("k1", "k2", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "id", "g", "keys", "counts")
+
+    def run(key, part):
+        found = _ties(part, key[2].as_py(), key[3].as_py(), threshold)
+        return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
+
+    return shared.cut_lineage(rows.groupBy("k1", "k2", "b1", "b2").applyInArrow(run, "u bigint, v bigint"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) of every distinct non-null id; class_id is the smallest id of its class.
 
@@ -188,25 +289,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     member = shared.cut_lineage(member.join(leaders, ["band", "h"]).distinct())
     texts = rows.select("id", "text")
     pairs = shared.cut_lineage(member.filter("id != v").select(F.col("id").alias("u"), "v").distinct())
-    edges, tested = shared.cut_lineage(_verified(pairs, texts, threshold)), pairs
-    for turn in range(LEADER_ROUNDS + 1):
-        groups = connected_components(edges)
-        placed = member.select("band", "h", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("g", F.coalesce("component", "id")).drop("component")
-        mixed = placed.groupBy("band", "h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low != high").select("band", "h")
-        placed = shared.cut_lineage(placed.join(mixed, ["band", "h"], "left_semi"))
-        if turn < LEADER_ROUNDS:
-            other = placed.groupBy("band", "h", "g").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("o"))
-        else:
-            other = placed.withColumnRenamed("id", "o")
-        other = other.withColumnRenamed("g", "og")
-        pairs = placed.join(other, ["band", "h"]).filter("g != og").select(F.greatest("id", "o").alias("u"), F.least("id", "o").alias("v")).distinct()
-        pairs = shared.cut_lineage(pairs.join(tested, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        edges = shared.cut_lineage(edges.union(_verified(pairs, texts, threshold)))
-        tested = shared.cut_lineage(tested.union(pairs))
+    edges = shared.cut_lineage(_verified(pairs, texts, threshold))
+    edges = edges.union(_family_ties(pairs, connected_components(edges), member, texts, threshold))
     groups = connected_components(edges.union(copy_edges))
     ids = bands.select("id").distinct()
     return ids.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
