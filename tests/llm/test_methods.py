@@ -209,6 +209,16 @@ def test_wrapper_marks_slots_repeats_and_options():
     assert html.extract(page("abc", "fourth text", True), path) == "fourth text"
 
 
+def test_wrappers_decide_before_markup(spark):
+    story = lambda i: f"<p>story {i} begins {'abc ' * i}</p><p>and {i} goes on</p>"
+    page = lambda i: f"<body><div class=top><article class=card><p>Teaser</p></article><article class=card><p>Other teaser</p></article></div><article class=full><h1>Title {i}</h1>{story(i)}<div class=x1>Printed by the house</div></article></body>"
+    rows = [(i, f"http://a.org/{i}", page(i)) for i in range(1, 9)] + [(20, "http://single.org/", page(20))]
+    texts = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    for i in range(1, 9):
+        assert texts[i] == f"Title {i}\n\n" + " ".join(f"story {i} begins {'abc ' * i}".split()) + f"\n\nand {i} goes on"
+    assert texts[20] == "Teaser"  # no second page, so that markup alone decides
+
+
 def test_main_text_of_messy_pages():
     page = "<html><body><header>Site</header><div id=cookie-notice>c</div><article><h1>T &amp; t</h1><p>One<br>two&nbsp; three<p>Four <i>in</i>line<ul><li>a<li>b</ul><div class='ad'>ad</div><section class=comments><p>bad</p></section><form><input></form></article><aside>no</aside><footer>f</footer>"
     assert html.extract(page, []) == "T & t\n\nOne two three\n\nFour inline\n\na\n\nb"

@@ -1,16 +1,19 @@
 """Main text of web pages by union-free regular-expression wrappers.
 
-A bounded number of distinct pages of each host (``PAGES_PER_HOST``) is parsed into token
-trees, and the wrapper grows page by page: the token streams of equal elements are aligned,
-neighbours of the same kind become a repeated group, elements that only one side has an
-optional group, and texts that differ a slot; texts that agree stay template text. The
-wrapper's slots show where the host keeps its content: the path is followed from the body
-to the element that holds most slot text. Extraction reads that element of each page of the
-host, without the parts whose markup names them as something else than the article.
+Pages of a host are parsed into token trees, and the wrapper grows page by page: the token
+streams of equal elements are aligned, neighbours of the same kind become a repeated group,
+elements that only one side has an optional group, and texts that differ a slot; texts that
+agree stay template text. The wrapper's slots show where the host keeps its content: the
+path is followed from the body to the element that holds most slot text. Extraction matches
+each page against its host's wrapper: of that element slots and parts the wrapper does not
+know are kept, template text is dropped, and so are parts whose markup names them as
+something else than the article. Only for hosts without a usable wrapper (no second distinct
+page, or no slots) the markup alone shows the article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -26,6 +29,12 @@ from .urlfilter import host_of
 PAGES_PER_HOST = 6
 #: An element is entered while it holds this share of the slot text around it.
 MAJORITY = 0.6
+#: Text that stands at its place on so many distinct pages, or on all pages of a smaller host, and is the same on each, is template text.
+TEMPLATE_PAGES = 3
+#: Elements with more parts than this are matched by their parts' keys, in any order.
+MAX_PARTS = 64
+#: Elements nested deeper are read as text.
+MAX_DEPTH = 60
 #: Wrappers up to which they are broadcast to the pages.
 BROADCAST_HOSTS = 100_000
 
@@ -131,58 +140,163 @@ class Group:
     mass: float = 0.0
     optional: bool = False
     repeated: bool = False
+    pages: int = 1
+    free: bool = False  # parts in any order, one of each key
 
     def pattern(self) -> str:
         inner = ("*" if self.text is None else "_") if self.key == "#" else f"{self.key}({' '.join(p.pattern() for p in self.parts)})"
         return inner + "+" * self.repeated + "?" * self.optional
 
 
-def wrapper_of(node: Node) -> Group:
-    """The wrapper of one page: neighbours of the same key fold into a repeated group."""
-    out = Group(node.key)
+def _is_inline(node: Node) -> bool:
+    """Whether an element is no block and holds none."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.name in BLOCKS:
+            return False
+        todo += [c for c in node.children if not isinstance(c, str)]
+    return True
+
+
+def _raw(items: list, inside: bool = True) -> str:
+    """Text of nodes and texts without what is named as something else."""
+    out, todo = [], list(reversed(items))
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+        elif item.name in ("br", "wbr"):
+            out.append(" " if item.name == "br" else "")
+        elif not is_aside(item, inside):
+            space = [" "] if item.name in BLOCKS else []
+            todo += [*space, *reversed(item.children), *space]
+    return "".join(out)
+
+
+def _plain(items: list, inside: bool = True) -> str:
+    return " ".join(_raw(items, inside).split())
+
+
+def items_of(node: Node, depth: int = 0) -> list[tuple[str, list]]:
+    """(key, members) of the children as wrappers see them: an element (and the space before it), or a run of text with its inline elements (key "#")."""
+    if depth >= MAX_DEPTH:
+        return [("#", node.children)] if _plain(node.children) else []
+    out, run = [], []
+
+    def flush() -> None:
+        if any(isinstance(c, str) and not c.isspace() for c in run):
+            out.append(("#", list(run)))
+        else:
+            gap = ""
+            for c in run:
+                if isinstance(c, str) or c.name in ("br", "wbr"):
+                    gap = gap if not isinstance(c, str) and c.name == "wbr" else " "
+                else:
+                    out.append((c.key, [c, gap]))
+                    gap = ""
+        run.clear()
+
     for child in node.children:
-        if isinstance(child, str):
-            text = " ".join(child.split())
+        if isinstance(child, str) or child.name in ("br", "wbr"):
+            run.append(child)
+        elif child.name in RAW:
+            continue
+        elif _is_inline(child):
+            run.append(child)
+        else:
+            flush()
+            out.append((child.key, [child]))
+    flush()
+    return out
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def wrapper_of(node: Node, depth: int = 0) -> Group:
+    """The wrapper of one page: neighbours of the same key fold into a repeated group. Texts are held as digests."""
+    parts: list[Group] = []
+    for key, members in items_of(node, depth):
+        if key == "#":
+            text = _plain(members)
             if not text:
                 continue
-            part = Group("#", text=text, mass=len(text))
-        elif child.name in RAW or child.name in ("br", "wbr"):
-            continue
+            part = Group("#", text=_digest(text), mass=len(text))
         else:
-            part = wrapper_of(child)
-        if out.parts and out.parts[-1].key == part.key:
-            out.parts[-1] = unify(out.parts[-1], part, adds=True)
-            out.parts[-1].repeated = True
+            part = wrapper_of(members[0], depth + 1)
+        if parts and parts[-1].key == part.key:
+            parts[-1] = unify(parts[-1], part, adds=True)
+            parts[-1].repeated = True
         else:
-            out.parts.append(part)
+            parts.append(part)
+    out = Group(node.key, parts)
+    return _freed(out, True) if len(parts) > MAX_PARTS else out
+
+
+def _freed(group: Group, adds: bool) -> Group:
+    """The group with one part for each key."""
+    if group.free:
+        return group
+    by: dict[str, Group] = {}
+    for part in group.parts:
+        if part.key in by:
+            pages = max(by[part.key].pages, part.pages)
+            by[part.key] = unify(by[part.key], part, True)
+            by[part.key].repeated, by[part.key].pages = True, pages
+        else:
+            by[part.key] = part
+        by[part.key].optional = True
+    group.parts, group.free = list(by.values()), True
+    return group
+
+
+def _aligned(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """(i, j) in order for a longest common subsequence of keys; -1 where one side has no partner."""
+    if x == y:
+        return [(i, i) for i in range(len(x))]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = []
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+            out.append((i, -1))
+            i += 1
+        else:
+            out.append((-1, j))
+            j += 1
     return out
 
 
 def unify(a: Group, b: Group, adds: bool = False) -> Group:
-    """The least wrapper here that fits both. adds: both are of one page, so that masses add up."""
-    mass = a.mass + b.mass
-    out = Group(a.key, [], a.text if a.text == b.text else None, mass, a.optional or b.optional, a.repeated or b.repeated)
+    """The least wrapper here that fits both. adds: both are of one page, whose masses add up and which counts once."""
+    mass, pages = a.mass + b.mass, max(a.pages, b.pages) if adds else a.pages + b.pages
+    out = Group(a.key, [], a.text if a.text == b.text else None, mass, a.optional or b.optional, a.repeated or b.repeated, pages)
+    if a.free or b.free:
+        out.free = True
+        parts = {p.key: p for p in _freed(a, adds).parts}
+        for p in _freed(b, adds).parts:
+            parts[p.key] = unify(parts[p.key], p, adds) if p.key in parts else p
+        out.parts = list(parts.values())
+        return out
     x, y = a.parts, b.parts
     if not x or not y:
         for p in [*x, *y]:
             p.optional = True
             out.parts.append(p)
         return out
-    # longest common subsequence of the parts' keys
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i].key == y[j].key else max(best[i + 1][j], best[i][j + 1])
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].key == y[j].key:
+    for i, j in _aligned([p.key for p in x], [p.key for p in y]):
+        if i >= 0 and j >= 0:
             part = unify(x[i], y[j], adds)
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            part, i = x[i], i + 1
-            part.optional = True
         else:
-            part, j = y[j], j + 1
+            part = x[i] if j < 0 else y[j]
             part.optional = True
         if out.parts and out.parts[-1].key == part.key:  # a part on one side only may repeat its neighbour
             part = unify(out.parts[-1], part, adds)
@@ -190,40 +304,71 @@ def unify(a: Group, b: Group, adds: bool = False) -> Group:
             out.parts[-1] = part
         else:
             out.parts.append(part)
-    return out
+    return _freed(out, adds) if len(out.parts) > MAX_PARTS else out
+
+
+def is_template(part: Group, pages: int) -> bool:
+    """Whether a text of a wrapper over so many distinct pages is the host's own."""
+    return part.text is not None and pages > 1 and part.pages >= min(TEMPLATE_PAGES, pages)
 
 
-def slot_mass(part: Group) -> float:
+def slot_mass(part: Group, pages: int) -> float:
     """Characters of slot text below a part, without what its markup names as something else."""
     if part.key == "#":
-        return part.mass if part.text is None else 0.0
+        return 0.0 if is_template(part, pages) else part.mass
     name, _, marks = part.key.partition(".")
     if is_aside(Node(name, f".{marks}" if marks else ""), False):
         return 0.0
-    return sum(map(slot_mass, part.parts))
+    return sum(slot_mass(p, pages) for p in part.parts)
 
 
-def content_path(wrapper: Group) -> list[str]:
-    """Keys from the root to the element with most slot text."""
-    path, here = [], wrapper
+def content_parts(wrapper: Group) -> list[Group]:
+    """Groups from the root to the element with most slot text."""
+    path, here, mass = [], wrapper, lambda p: slot_mass(p, wrapper.pages)
     while True:
-        total = slot_mass(here)
-        best = max((p for p in here.parts if p.key != "#"), key=slot_mass, default=None)
-        if best is None or not total or slot_mass(best) < MAJORITY * total or best.repeated or best.key.partition(".")[0] not in ("body", "article", "main", "section", "div", "td", "table", "tbody", "tr", "center"):
+        total = mass(here)
+        best = max((p for p in here.parts if p.key != "#"), key=mass, default=None)
+        if best is None or not total or mass(best) < MAJORITY * total or best.repeated or best.key.partition(".")[0] not in ("body", "article", "main", "section", "div", "td", "table", "tbody", "tr", "center"):
             return path
-        path.append(best.key)
+        path.append(best)
         here = best
 
 
-def infer(pages: list[str]) -> tuple[str, list[str]]:
-    """Wrapper of pages of one host, as a pattern, and the path to their content."""
+def content_path(wrapper: Group) -> list[str]:
+    """Keys from the root to the element with most slot text."""
+    return [p.key for p in content_parts(wrapper)]
+
+
+def learn(pages: list[str]) -> Group | None:
+    """Wrapper of distinct pages of one host."""
     wrapper = None
     for page in pages:
         own = wrapper_of(parse(page))
         wrapper = own if wrapper is None else unify(wrapper, own)
+    return wrapper
+
+
+def infer(pages: list[str]) -> tuple[str, list[str]]:
+    """Wrapper of pages of one host, as a pattern, and the path to their content."""
+    wrapper = learn(pages)
     return (wrapper.pattern(), content_path(wrapper)) if wrapper else ("", [])
 
 
+def rules_of(wrapper: Group | None) -> list | None:
+    """What extraction needs of a wrapper: [key, template digest or "", whether the path leads through it, parts]; None if it is not usable."""
+    if wrapper is None or wrapper.pages < 2 or not slot_mass(wrapper, wrapper.pages):
+        return None
+    path = {id(p) for p in content_parts(wrapper)}
+
+    def rule(part: Group) -> list:
+        name, _, marks = part.key.partition(".")
+        skipped = part.key != "#" and is_aside(Node(name, f".{marks}" if marks else ""), True)
+        digest = part.text if part.key == "#" and is_template(part, wrapper.pages) else ""
+        return [part.key, digest, id(part) in path, [] if skipped else [rule(p) for p in part.parts]]
+
+    return rule(wrapper)
+
+
 # Extraction -------------------------------------------------------------------------------
 
 
@@ -283,13 +428,90 @@ def blocks(root: Node, own: bool) -> list[str]:
     return out
 
 
-def extract(page: str | None, path: list[str]) -> str:
-    root, own = content_of(parse(page or ""), path)
+def _paired(items: list[tuple[str, list]], parts: list) -> list:
+    """The wrapper's part for each item of a page, or None."""
+    runs: list[list[int]] = []
+    for i, (key, _) in enumerate(items):
+        if runs and items[runs[-1][0]][0] == key:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    keys = [p[0] for p in parts]
+    out: list = [None] * len(items)
+    pairs = _aligned([items[r[0]][0] for r in runs], keys) if len(runs) <= MAX_PARTS else [(i, -1) for i in range(len(runs))]
+    for i, j in pairs:
+        if i >= 0:
+            part = parts[j] if j >= 0 else next((p for p in parts if p[0] == items[runs[i][0]][0]), None)
+            for k in runs[i]:
+                out[k] = part
+    return out
+
+
+def matched(root: Node, rules: list) -> str:
+    """Text of the content by a wrapper's rules. A page that lacks the path is read from where it ends; of it
+    only the article's own element, if markup names just one."""
+    here, depth = root, 0
+    only = None
+    while any(p[2] for p in rules[3]):
+        items = items_of(here, depth)
+        at = next((i for i, p in enumerate(_paired(items, rules[3])) if p is not None and p[2]), None)
+        if at is None:
+            only = _sole(here, "article") or _sole(here, "main")
+            break
+        here, rules, depth = items[at][1][0], next(p for p in rules[3] if p[2]), depth + 1
+    own = only is not None or here.name not in ("body", "html")
+    out: list[str] = []
+    line: list[str] = []
+
+    def flush() -> None:
+        text = " ".join("".join(line).split())
+        line.clear()
+        if text:
+            out.append(text)
+
+    def read(node: Node, parts: list, depth: int, on: bool) -> None:
+        items = items_of(node, depth)
+        for (key, members), part in zip(items, _paired(items, parts), strict=True):
+            if key == "#":
+                if on and not (part and part[1] and part[1] == _digest(_plain(members))):
+                    line.append(_raw(members, own))
+                continue
+            child = members[0]
+            if is_aside(child, own):
+                continue
+            block = child.name in BLOCKS
+            flush() if block else line.append("".join(members[1:]))
+            read(child, part[3] if part else [], depth + 1, on or child is only)
+            if block:
+                flush()
+
+    read(here, rules[3], depth, only is None or only is here)
+    flush()
+    return "\n\n".join(out)
+
+
+def _sole(root: Node, name: str) -> Node | None:
+    """The element of this name, if there is one only."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name == name:
+            found.append(node)
+        elif not is_aside(node, True):
+            todo += [c for c in node.children if not isinstance(c, str)]
+    return found[0] if len(found) == 1 else None
+
+
+def extract(page: str | None, path: list[str], rules: list | None = None) -> str:
+    root = parse(page or "")
+    if rules:
+        return matched(root, rules)
+    root, own = content_of(root, path)
     return "\n\n".join(blocks(root, own))
 
 
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, path) for each non-empty host; path is a JSON list of keys."""
+    """(host, wrapper, path, rules) for each non-empty host; path is a JSON list of keys, rules JSON for ``extract``."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host != '' and html is not null")
     # the rank's limit acts before the shuffle: a host sends few pages from each task
     place = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html"), "html"))
@@ -297,10 +519,11 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
     def run(part):
         seen = sorted(set(part.column("html").to_pylist()), key=lambda t: (len(t), t))
-        pattern, path = infer(seen)
-        return pa.table({"host": part.column("host")[:1].combine_chunks(), "wrapper": pa.array([pattern]), "path": pa.array([json.dumps(path)])})
+        wrapper = learn(seen)
+        pattern, path = wrapper.pattern(), content_path(wrapper)
+        return pa.table({"host": part.column("host")[:1].combine_chunks(), "wrapper": pa.array([pattern]), "path": pa.array([json.dumps(path)]), "rules": pa.array([json.dumps(rules_of(wrapper), separators=(",", ":"))])})
 
-    return few.select("host", "html").groupBy("host").applyInArrow(run, "host string, wrapper string, path string")
+    return few.select("host", "html").groupBy("host").applyInArrow(run, "host string, wrapper string, path string, rules string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -310,17 +533,18 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     by its markup alone. Repeated rows give equal rows; other columns are not read; an empty
     table gives no rows.
     """
-    known = shared.cut_lineage(wrappers(pages, url_col, html_col).select(F.col("host").alias("w"), "path"))
+    known = shared.cut_lineage(wrappers(pages, url_col, html_col).select(F.col("host").alias("w"), "path", "rules"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
     side = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
-    rows = rows.join(side, F.col("host") == F.col("w"), "left").select("id", "url", "html", "path")
+    rows = rows.join(side, F.col("host") == F.col("w"), "left").select("id", "url", "html", "path", "rules")
 
     def run(batches):
         for batch in batches:
             for i in range(0, len(batch), 500):
                 part = batch.slice(i, 500)
                 paths = {p: json.loads(p) if p else [] for p in set(part.column(3).to_pylist())}
-                texts = [extract(h, paths[p]) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                rules = {r: json.loads(r) if r else None for r in set(part.column(4).to_pylist())}
+                texts = [extract(h, paths[p], rules[r]) for h, p, r in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
