@@ -132,6 +132,19 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
     assert twin[0].text == twin[1].text and twin[0].n_removed == 0
 
 
+def test_all_whole_lines_of_a_passage_go(spark):
+    rng = random.Random(8)
+    line = lambda n=9: prose(rng, "abcdefghij", n).capitalize() + "."
+    passages = ["\n".join([line(), *(line(rng.choice((1, 2, 9))) for _ in range(k))]) for k in (3, 4, 6, 9)] + [line() + "\n" + line()]
+    rows = [(2 * i + j, line() + "\n" + p + "\n" + line()) for i, p in enumerate(passages) for j in (0, 1)]
+    rows += [(90, "Same line again here, it is.\n" * 5), (91, line() + "\n" + passages[0])]
+    out = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, p in enumerate(passages):
+        first, again = rows[2 * i][1], rows[2 * i + 1][1]
+        assert out[2 * i] == first and out[2 * i + 1] == again.replace(p + "\n", "")
+    assert out[90] == "Same line again here, it is.\n" * 2 and out[91] == rows[-1][1].removesuffix(passages[0])
+
+
 def test_chunks_do_not_depend_on_what_stands_before():
     rng = random.Random(7)
     body = "\n".join(prose(rng, "abcdefghij", 8) for _ in range(40)) + "\n"

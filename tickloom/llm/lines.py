@@ -1,17 +1,24 @@
-"""Removal of line chunks that repeat across documents.
+"""Removal of runs of lines that repeat across documents.
 
 A text is cut into lines; long lines are first wrapped after sentence ends, so that a passage
-within one line has several. A rolling hash over each two neighbouring line hashes chooses
-the chunk boundaries: they depend on near lines only, so the same passage is cut alike
-wherever it stands. A chunk of two or more lines that occurs again, in the same or another
-document, is removed there after its bytes have been compared with the first occurrence's.
-
-Scale: hashes are counted with partial aggregation; only repeated chunks' bytes move; the
-texts move once, to meet their list of removals.
+within one line has several. Every least run of two or more lines and ``MIN_CHARS``
+characters is a chunk, one from each line on and one up to each line; chunks overlap, and
+any longer run is covered by those inside it, wherever it stands. A chunk that occurs again,
+in the same or another document, is removed there; so all of a repeated run goes, up to its
+first and last whole line. Chunks are equal if 128 bits are: a rolling hash and, of the
+bytes, BLAKE2b, 64 bits each.
+Each removed line has an equal one that stays: the one in the first occurrence, or that
+line's own. An occurrence that overlaps the first one stays.
+
+Scale: hashes are counted with partial aggregation; a bitmap of the repeated ones lets few
+other chunks through the second reading; no bytes of chunks move; the texts move once, to meet
+their list of removals.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,20 +26,21 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: One line in so many is wished as the end of a chunk.
-SPREAD = 2
 #: Shorter chunks are left alone.
 MIN_CHARS = 40
 #: Repeated hashes up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bits of the bitmap for each repeated hash, and the power of two of bits that one row of it holds.
+BITS, SLICE = 16, 16
 
 
-def chunk_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, text numbers and hashes of the chunks of two or more lines."""
+def chunk_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends, text numbers, hashes and ends without closing white space of the least runs of two or more
+    lines. Hashes leave that white space out, so that a text's last line has equals within texts."""
     n = len(points)
     empty = np.zeros(0, np.int64)
     if not n:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty
     start = np.zeros(n + 1, bool)
     start[offsets] = True
     start[1:] |= points == 10
@@ -40,68 +48,89 @@ def chunk_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     start[2:] |= stop[:-1] & (points[1:] == 32)
     lines = np.flatnonzero(start[:n])
     ends = np.append(lines[1:], n)
-    h = shared.span_hashes(points, lines, ends)
     owner = np.searchsorted(offsets, lines, side="right") - 1
-    first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    with np.errstate(over="ignore"):
-        rolled = h.copy()
-        rolled[1:] += np.where(first[1:], np.uint64(0), h[:-1] * np.uint64(0x9E3779B97F4A7C15))
-    wish = shared.mix(rolled) % np.uint64(SPREAD) == 0
-    # Two lines at least: of a run of wished boundaries every second one is taken, and a
-    # boundary right after a text's first line is none.
-    able = wish & ~first
     index = np.arange(len(lines))
-    blocked = np.maximum.accumulate(np.where(able, -1, index))
-    cut = np.concatenate([first[1:], [True]]) | (able & ((index - blocked) % 2 == 1))
-    stops = np.flatnonzero(cut)
-    heads = np.concatenate([[0], stops[:-1] + 1])
-    many = stops > heads
-    a, b = lines[heads[many]], ends[stops[many]]
-    long = b - a >= MIN_CHARS
-    a, b = a[long], b[long]
-    return a, b, np.searchsorted(offsets, a, side="right") - 1, shared.span_hashes(points, a, b)
-
-
-def _chunks(docs: DataFrame, with_text: bool) -> DataFrame:
-    """Rows (h, rk, id, start, size[, chunk]) of all chunks; start and size in bytes."""
+    last = np.maximum(index + 1, np.searchsorted(ends, lines + MIN_CHARS))
+    head = np.minimum(index - 1, np.searchsorted(lines, ends - MIN_CHARS, side="right") - 1)
+    on = last < len(lines)
+    on[on] = owner[index[on]] == owner[last[on]]
+    back = head >= 0
+    back[back] = owner[head[back]] == owner[index[back]]
+    # both ways mostly give the same runs
+    runs = np.unique(np.concatenate([index[on] * len(lines) + last[on], head[back] * len(lines) + index[back]]))
+    heads, stops = runs // len(lines), runs % len(lines)
+    a, b = lines[heads], ends[stops]
+    black = np.maximum.accumulate(np.where((points == 32) | (points == 10) | (points == 13), -1, np.arange(n)))
+    close = black[b - 1] + 1
+    close = np.where(close > a, close, b)
+    return a, b, owner[heads], shared.span_hashes(points, a, close), close
+
+
+def _chunks(docs: DataFrame, bitmap=None) -> DataFrame:
+    """Rows (h, g, rk, id, start, size) of all chunks, or of those whose hash is in the bitmap; start and size in bytes."""
 
     def run(batches):
         for batch in batches:
             for first, stop in shared.steps(batch.column(2)):
                 text, offsets = shared.joined(batch.column(2)[first:stop])
                 points = shared.code_points(text)
-                a, b, owner, h = chunk_spans(points, offsets)
+                a, b, owner, h, close = chunk_spans(points, offsets)
+                if bitmap is not None:
+                    bits = bitmap.value
+                    slot = h >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
+                    on = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    a, b, owner, h, close = a[on], b[on], owner[on], h[on], close[on]
                 widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
                 place = np.concatenate([[0], np.cumsum(widths)])
+                raw = memoryview(text.encode())
+                g = b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(place[a].tolist(), place[close].tolist(), strict=True)])
                 rows = pa.array(owner + first, pa.int64())
-                columns = [pa.array(h.view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place[a] - place[offsets[owner]]).astype(np.int64)), pa.array((place[b] - place[a]).astype(np.int64))]
-                names = ["h", "rk", "id", "start", "size"]
-                if with_text:
-                    columns.append(pa.array([text[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.string()))
-                    names.append("chunk")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                columns = [pa.array(h.view(np.int64)), pa.array(np.frombuffer(g, np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array((place[a] - place[offsets[owner]]).astype(np.int64)), pa.array((place[b] - place[a]).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "g", "rk", "id", "start", "size"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("rk", "id", "text").mapInArrow(run, f"h bigint, rk bigint, id {kind}, start bigint, size bigint" + ", chunk string" * with_text)
+    return docs.select("rk", "id", "text").mapInArrow(run, f"h bigint, g bigint, rk bigint, id {kind}, start bigint, size bigint")
+
+
+def _bitmap(repeated: DataFrame, n: int):
+    """Broadcast bits, BITS or more for each repeated hash, by the hashes' first bits; built in slices on the executors."""
+    k = max(SLICE, (n * BITS - 1).bit_length())
+
+    def run(part):
+        slot = part.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - k)
+        bits = np.zeros(1 << SLICE, bool)
+        bits[(slot & np.uint64((1 << SLICE) - 1)).astype(np.int64)] = True
+        return pa.table({"slice": part.column("slice")[:1].combine_chunks(), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    # a slice holds no more than its share of distinct hashes
+    slices = repeated.select("h", F.shiftrightunsigned("h", 64 - k + SLICE).alias("slice") if k > SLICE else F.lit(0).cast("bigint").alias("slice"))
+    bits = np.zeros(1 << (k - 3), np.uint8)
+    width = 1 << (SLICE - 3)
+    for row in slices.groupBy("slice").applyInArrow(run, "slice bigint, bits binary").toLocalIterator():
+        bits[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    return repeated.sparkSession.sparkContext.broadcast(bits)
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(rk, spans): the byte spans to remove from each row key's text, in order."""
+    """(rk, spans): the byte spans to remove from each row key's text, in order; they do not touch."""
     order = F.struct("id", "rk", "start")
-    counted = _chunks(docs, False).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    repeated = shared.cut_lineage(counted.filter(F.col("n") > 1).select("h", F.col("first.rk").alias("first_rk"), F.col("first.start").alias("first_start")))
-    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    met = _chunks(docs, True).join(side, "h")
-    met = met.withColumn("is_first", (F.col("rk") == F.col("first_rk")) & (F.col("start") == F.col("first_start")))
-    met = shared.cut_lineage(met.select("h", "rk", "start", "size", "chunk", "is_first"))
+    counted = _chunks(docs).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     # checkpointed so that both sides of the join are plain exchanges, whose large partitions can be split
-    firsts = shared.cut_lineage(met.filter("is_first").select("h", "chunk").distinct())
-    same = met.filter("not is_first").join(firsts, ["h", "chunk"], "left_semi")
-    return same.groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    repeated = shared.cut_lineage(counted.filter(F.col("n") > 1).select("h", "g", F.col("first.rk").alias("first_rk"), F.col("first.start").alias("first_start")))
+    n = repeated.count()
+    side = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    met = _chunks(docs, _bitmap(repeated, n)).select("h", "g", "rk", "start", "size").join(side, ["h", "g"])
+    again = met.filter((F.col("rk") != F.col("first_rk")) | (F.col("start") >= F.col("first_start") + F.col("size")))
+    spans = again.groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("s"))
+    # chunks are least runs, so that in order of starts the ends are in order too
+    end = lambda x: x["start"] + x["size"]
+    starts = F.transform(F.filter("s", lambda x, i: (i == 0) | (x["start"] > end(F.get("s", i - 1)))), lambda x: x["start"])
+    ends = F.transform(F.filter("s", lambda x, i: (i == F.size("s") - 1) | (end(x) < F.get("s", i + 1)["start"])), end)
+    return spans.select("rk", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"))).alias("spans"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``, the text without repeated chunks, and ``n_removed`` chunks.
+    """All rows and columns of ``docs``, the text without repeated runs, and ``n_removed`` runs.
 
     The occurrence with the smallest (id, text hash, place) stays. Null texts stay null with 0
     removed; a null id comes first in the order. Rows equal in id and text are one document
