@@ -232,6 +232,18 @@ def test_wrappers_decide_before_markup(spark):
     assert texts[20] == "Teaser"  # no second page, so that markup alone decides
 
 
+def test_wrappers_grow_over_all_distinct_pages(spark):
+    page = lambda i, rare: f"<body><div class=a><h2>House text</h2><p>story {i} {'xyz ' * i}</p>{'<div>Only on few pages</div>' if rare else ''}</div></body>"
+    pages = [page(i, i > 36) for i in range(1, 41)]
+    rows = [(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)] + [(100 * k + i, f"http://copies{i}.org/{k}", pages[i]) for i in range(8) for k in range(1, 13)] + [(5000 + i, f"http://copies{i}.org/x", pages[i + 9]) for i in range(8)]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    texts = {r.page_id: r.text for r in html.main_text(frame).collect()}
+    want = [" ".join(f"story {i} {'xyz ' * i}".split()) for i in range(1, 41)]
+    assert [texts[i] for i in range(40)] == want  # no text of four rare pages either
+    for i in range(8):  # twelve copies of a page are one page
+        assert texts[100 + i] == want[i] and texts[5000 + i] == want[i + 9]
+
+
 def test_main_text_of_messy_pages():
     page = "<html><body><header>Site</header><div id=cookie-notice>c</div><article><h1>T &amp; t</h1><p>One<br>two&nbsp; three<p>Four <i>in</i>line<ul><li>a<li>b</ul><div class='ad'>ad</div><section class=comments><p>bad</p></section><form><input></form></article><aside>no</aside><footer>f</footer>"
     assert html.extract(page, []) == "T & t\n\nOne two three\n\nFour inline\n\na\n\nb"

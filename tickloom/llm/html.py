@@ -1,6 +1,7 @@
 """Main text of web pages by union-free regular-expression wrappers.
 
-Pages of a host are parsed into token trees, and the wrapper grows page by page: the token
+All distinct pages of a host are parsed into token trees, and the wrapper grows page by page, in
+each task and then over the tasks: the token
 streams of equal elements are aligned, neighbours of the same kind become a repeated group,
 elements that only one side has an optional group, and texts that differ a slot; texts that
 agree stay template text. The wrapper's slots show where the host keeps its content: the
@@ -20,13 +21,12 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from .urlfilter import host_of
 
-PAGES_PER_HOST = 6
 #: An element is entered while it holds this share of the slot text around it.
 MAJORITY = 0.6
 #: Text that stands at its place on so many distinct pages, or on all pages of a smaller host, and is the same on each, is template text.
@@ -37,6 +37,8 @@ MAX_PARTS = 64
 MAX_DEPTH = 60
 #: Wrappers up to which they are broadcast to the pages.
 BROADCAST_HOSTS = 100_000
+#: And their bytes.
+BROADCAST_BYTES = 64 << 20
 
 # Fixed values of HTML: elements without content, and with raw text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -147,6 +149,14 @@ class Group:
         inner = ("*" if self.text is None else "_") if self.key == "#" else f"{self.key}({' '.join(p.pattern() for p in self.parts)})"
         return inner + "+" * self.repeated + "?" * self.optional
 
+    def packed(self) -> list:
+        return [self.key, self.text, self.mass, self.optional | self.repeated << 1 | self.free << 2, self.pages, [p.packed() for p in self.parts]]
+
+    @classmethod
+    def unpacked(cls, data: list) -> Group:
+        key, text, mass, flags, pages, parts = data
+        return cls(key, [cls.unpacked(p) for p in parts], text, mass, bool(flags & 1), bool(flags & 2), pages, bool(flags & 4))
+
 
 def _is_inline(node: Node) -> bool:
     """Whether an element is no block and holds none."""
@@ -513,17 +523,35 @@ def extract(page: str | None, path: list[str], rules: list | None = None) -> str
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper, path, rules) for each non-empty host; path is a JSON list of keys, rules JSON for ``extract``."""
     rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).filter("host != '' and html is not null")
-    # the rank's limit acts before the shuffle: a host sends few pages from each task
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.xxhash64("html"), "html"))
-    few = rows.withColumn("place", place).filter(F.col("place") <= PAGES_PER_HOST)
+    # copies go before anything is counted; the shuffle deals by host and html, so that a large host is many tasks' work
+    distinct = rows.distinct().sortWithinPartitions("host", "html")
 
-    def run(part):
-        seen = sorted(set(part.column("html").to_pylist()), key=lambda t: (len(t), t))
-        wrapper = learn(seen)
-        pattern, path = wrapper.pattern(), content_path(wrapper)
-        return pa.table({"host": part.column("host")[:1].combine_chunks(), "wrapper": pa.array([pattern]), "path": pa.array([json.dumps(path)]), "rules": pa.array([json.dumps(rules_of(wrapper), separators=(",", ":"))])})
+    def grow(batches):
+        host, wrapper = None, None
 
-    return few.select("host", "html").groupBy("host").applyInArrow(run, "host string, wrapper string, path string, rules string")
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([json.dumps(wrapper.packed(), separators=(",", ":"))])], ["host", "part"])
+
+        for batch in batches:
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if host is not None and name != host:
+                    yield done()
+                    wrapper = None
+                host, own = name, wrapper_of(parse(page))
+                wrapper = own if wrapper is None else unify(wrapper, own)
+        if host is not None:
+            yield done()
+
+    def merge(part):
+        wrapper = None
+        for data in sorted(part.column("part").to_pylist()):
+            own = Group.unpacked(json.loads(data))
+            wrapper = own if wrapper is None else unify(wrapper, own)
+        row = {"wrapper": wrapper.pattern(), "path": json.dumps(content_path(wrapper)), "rules": json.dumps(rules_of(wrapper), separators=(",", ":"))}
+        return pa.table({"host": part.column("host")[:1].combine_chunks(), **{k: pa.array([v]) for k, v in row.items()}})
+
+    grown = distinct.mapInArrow(grow, "host string, part string")
+    return grown.groupBy("host").applyInArrow(merge, "host string, wrapper string, path string, rules string")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -535,7 +563,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """
     known = shared.cut_lineage(wrappers(pages, url_col, html_col).select(F.col("host").alias("w"), "path", "rules"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    side = F.broadcast(known) if known.count() <= BROADCAST_HOSTS else known
+    hosts, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("rules")), F.lit(0))).first()
+    side = F.broadcast(known) if hosts <= BROADCAST_HOSTS and size <= BROADCAST_BYTES else known
     rows = rows.join(side, F.col("host") == F.col("w"), "left").select("id", "url", "html", "path", "rules")
 
     def run(batches):
