@@ -39,6 +39,12 @@ def test_query_equals_sql(spark, duck, name):
     pd.testing.assert_frame_equal(mine, theirs, check_dtype=False, atol=1e-6)
 
 
+def test_hidden_states_of_every_user(spark):
+    out = registry.QUERIES["discrete_hmm"](spark, DATA).toPandas()
+    events = pd.read_parquet(f"{DATA}/events.parquet")
+    assert out.set_index("user_id").n.to_dict() == events.groupby("user_id").size().to_dict() and (out.log_likelihood <= 0).all()
+
+
 def test_flagship(spark):
     assert flagship(spark, DATA).count() > 0
 

@@ -52,22 +52,39 @@ def _logs(p: np.ndarray) -> np.ndarray:
 
 
 def fit_discrete(obs: np.ndarray, k: int, symbols: int, restarts: int = 3, steps: int = 100, tolerance: float = 1e-6, seed: int = 0) -> dict:
-    """Baum-Welch from several random starts."""
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(restarts):
-        pi, a, e = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k)
-        before = -np.inf
-        for _ in range(steps):
-            gamma, xi, total = posteriors(_logs(e)[:, obs].T, _logs(a), _logs(pi))
-            pi, a = gamma[0] / gamma[0].sum(), xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-12)
-            e = np.stack([np.bincount(obs, gamma[:, s], symbols) for s in range(k)])
-            e /= np.maximum(e.sum(axis=1, keepdims=True), 1e-12)
-            if total - before < tolerance:
-                break
-            before = total
-        if best is None or total > best["log_likelihood"]:
-            best = {"start": pi, "step": a, "emit": e, "log_likelihood": total}
-    return best
+    """Baum-Welch from several random starts, side by side."""
+    rng, n = np.random.default_rng(seed), len(obs)
+    draws = [(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k)) for _ in range(restarts)]
+    pi, a, e = (np.stack(x) for x in zip(*draws, strict=True))
+    before, live = np.full(restarts, -np.inf), np.arange(restarts)
+    hot = np.eye(symbols)[obs]
+    fwd, bwd, total = np.empty((n, restarts, 1, k)), np.empty((n, restarts, k, 1)), before.copy()
+    for _ in range(steps):
+        p, q, o = (np.maximum(x[live], 1e-12) for x in (pi, a, e))
+        emit, m = o[:, :, obs].transpose(2, 0, 1), len(live)
+        f, b, scale = fwd[:, :m], bwd[:, :m], np.empty((n, m))
+        for t in range(n):
+            f[t] = (f[t - 1] @ q if t else p[:, None]) * emit[t][:, None]
+            scale[t] = f[t, :, 0].sum(axis=1)
+            f[t] /= scale[t][:, None, None]
+        b[-1] = 1
+        for t in range(n - 2, -1, -1):
+            b[t] = q @ (emit[t + 1] / scale[t + 1][:, None] * b[t + 1, :, :, 0])[:, :, None]
+        gamma = f[:, :, 0] * b[..., 0]
+        ahead = emit[1:] / scale[1:, :, None] * b[1:, :, :, 0]
+        xi = np.einsum("tri,trj->rij", f[:-1, :, 0], ahead) * q
+        now = np.log(scale).sum(axis=0)
+        pi[live], a[live] = gamma[0] / gamma[0].sum(axis=1, keepdims=True), xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-12)
+        mass = np.einsum("trs,to->rso", gamma, hot)
+        e[live] = mass / np.maximum(mass.sum(axis=2, keepdims=True), 1e-12)
+        total[live] = now
+        on = now - before[live] >= tolerance
+        before[live] = now
+        live = live[on]
+        if not len(live):
+            break
+    r = int(np.argmax(total))
+    return {"start": pi[r], "step": a[r], "emit": e[r], "log_likelihood": float(total[r])}
 
 
 def gaussian_emissions(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:

@@ -115,13 +115,13 @@ def half_life(df: DataFrame, value: str, s: Series) -> DataFrame:
     return out.select(*s.keys, F.when(c("b") < 0, -F.ln(F.lit(2.0)) / F.when(c("b") < 0, c("b"))).otherwise(F.lit(float("inf"))).alias("half_life"))
 
 
-def discrete_hmm(df: DataFrame, symbol: str, n_states: int, n_symbols: int, keys: Sequence[str], order: str, restarts: int = 3) -> DataFrame:
+def discrete_hmm(df: DataFrame, symbol: str, n_states: int, n_symbols: int, keys: Sequence[str], order: str | Sequence[str], restarts: int = 5, steps: int = 200) -> DataFrame:
     """(keys, log_likelihood, path): Baum-Welch fit and Viterbi path of each series of symbols 0..n-1."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
+        part = part.sort_values([order] if isinstance(order, str) else list(order), kind="stable")
         obs = part[symbol].to_numpy(int)
-        m = hmm.fit_discrete(obs, n_states, n_symbols, restarts, 50)
+        m = hmm.fit_discrete(obs, n_states, n_symbols, restarts, steps)
         path = hmm.viterbi(np.log(m["emit"] + 1e-12)[:, obs].T, np.log(m["step"] + 1e-12), np.log(m["start"] + 1e-12))
         return pd.DataFrame([{k: part[k].iloc[0] for k in keys} | {"log_likelihood": m["log_likelihood"], "path": path.tolist()}])
 

@@ -106,8 +106,8 @@ def gaussian_hmm(spark, d):
 
 @query()
 def discrete_hmm(spark, d):
-    rows = _states(spark, d).withColumn("k", F.pmod(F.xxhash64("state"), F.lit(5)).cast("int")).filter("user_id < 20")
-    return markov.discrete_hmm(rows.withColumn("g", c("user_id") % 4), "k", 2, 5, ("g",), "ts", restarts=1).select("g", "log_likelihood", F.size("path").alias("n"))
+    rows = _states(spark, d).withColumn("k", F.pmod(F.xxhash64("state"), F.lit(5)).cast("int"))
+    return markov.discrete_hmm(rows, "k", 2, 5, ("user_id",), ("ts", "event_id")).select("user_id", "log_likelihood", F.size("path").alias("n"))
 
 
 
