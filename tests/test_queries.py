@@ -45,6 +45,12 @@ def test_hidden_states_of_every_user(spark):
     assert out.set_index("user_id").n.to_dict() == events.groupby("user_id").size().to_dict() and (out.log_likelihood <= 0).all()
 
 
+def test_all_pairs_of_the_panel(spark):
+    want = {f"{a}-{b}" for a in range(5) for b in range(a + 1, 5)}
+    for name in ("cointegration", "pairs_strategy"):
+        assert {r.symbol for r in registry.QUERIES[name](spark, DATA).select("symbol").distinct().collect()} == want
+
+
 def test_flagship(spark):
     assert flagship(spark, DATA).count() > 0
 

@@ -172,9 +172,17 @@ def _pair(spark, d):
     return a.join(b, "ts").withColumn("symbol", F.lit("0-1"))
 
 
+def _pairs(spark, d):
+    """Log prices of every pair of the panel's symbols, the smaller one as y; symbol names the pair."""
+    p = shapes.panel(spark, d)
+    a = p.select("ts", c("symbol").alias("a"), F.ln("close").alias("y"))
+    b = p.select("ts", c("symbol").alias("b"), F.ln("close").alias("x"))
+    return a.join(b, "ts").filter("a < b").select("ts", "y", "x", F.concat_ws("-", "a", "b").alias("symbol"))
+
+
 @query()
 def cointegration(spark, d):
-    return econometrics.pairs(_pair(spark, d), "y", "x", PANELS)
+    return econometrics.pairs(_pairs(spark, d), "y", "x", PANELS)
 
 
 @query(f"""WITH {PANEL}, j AS (SELECT ln(a.close) AS y, ln(b.close) AS x FROM panel a JOIN panel b USING (ts) WHERE a.symbol = 0 AND b.symbol = 1), m AS (SELECT regr_slope(y, x) AS ols, var_samp(y) AS yy, var_samp(x) AS xx, covar_samp(y, x) AS xy FROM j)
@@ -185,7 +193,7 @@ def hedge_ratio(spark, d):
 
 @query()
 def pairs_strategy(spark, d):
-    return strategies.pairs(_pair(spark, d), "y", "x", PANELS)
+    return strategies.pairs(_pairs(spark, d), "y", "x", PANELS)
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, CASE WHEN rn >= 10 THEN avg(close) OVER f END AS fa, CASE WHEN rn >= 50 THEN avg(close) OVER g END AS sl FROM n WINDOW {frame('f', 10)}, {frame('g', 50)}) SELECT symbol, ts, {r('CASE WHEN sl IS NULL THEN NULL WHEN fa > sl THEN 1e0 ELSE 0 END AS weight')} FROM a""")
