@@ -6,11 +6,12 @@ earliest arrival, and a shingle stops as soon as it can't be the earliest anywhe
 texts agree on a register with the probability Jaccard similarity of their weights. Bands of
 registers give candidates, which are verified by the exact probability Jaccard.
 
-Exact copies are first folded into one representative. In a band's bucket each member is
-verified against the smallest one, which ties most copies. Buckets also join into families,
-by their members. A family whose members are not all in one class by then is compared
-exactly, block by block, so that no link within a family is lost; what leaves a task is a tie
-for each member, never the pairs.
+Exact copies are first folded into one node. Texts that share a bucket (a band with its
+registers) are candidates. Buckets with the same members count once. Each member is verified
+against its bucket's smallest node, which ties most copies; a bucket whose members are not one
+class by then is compared exactly, block by block. So every two candidates are compared, or
+are in one class already; no link between candidates is lost. What leaves a task is a tie of
+two classes, never the pairs.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = 128
-#: Members of a block; a larger family has several, each of which meets each.
-BLOCK = 512
+#: Members and shingles of a block; a larger bucket has several, each of which meets each.
+BLOCK, BLOCK_KEYS = 512, 1_000_000
 #: Columns of the matrices that are multiplied at a time.
 COLUMNS = 4_096
-#: Rows up to which ids of candidates are broadcast to the scan of the texts.
-BROADCAST_ROWS = 2_000_000
+#: Rows of integers up to which a side is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,30 +105,30 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
 
 
 def _band_rows(rows: DataFrame) -> DataFrame:
-    """(id, digest, bands): 64-bit hash of each band; null where a text has no word."""
+    """(node, id, digest, size, bands): number of distinct shingles, 64-bit hash of each band with its number; null where a text has no word."""
 
     def run(batches):
         for batch in batches:
-            for a, b in shared.steps(batch.column(1)):
+            for a, b in shared.steps(batch.column(2)):
                 for c in range(a, b, 2000):
                     part = batch.slice(c, min(2000, b - c))
-                    text, offsets = shared.joined(part.column(1))
+                    text, offsets = shared.joined(part.column(2))
                     owner, h, count = shingles(shared.code_points(text), offsets)
                     sig = signatures(owner, h, count, len(part))
                     with np.errstate(over="ignore"):
-                        bands = np.zeros((len(part), BANDS), np.uint64)
+                        bands = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(part), BANDS))
                         for r in range(ROWS):
                             bands = shared.mix(bands + sig[:, np.arange(BANDS) * ROWS + r] + np.uint64(r + 1))
-                    has = np.bincount(owner, minlength=len(part)) > 0
+                    size = np.bincount(owner, minlength=len(part))
                     flat = pa.array(bands.view(np.int64).ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat, mask=pa.array(~has))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], ["id", "digest", "bands"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat, mask=pa.array(size == 0))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(size, pa.int64()), lists], ["node", "id", "digest", "size", "bands"])
 
-    return rows.mapInArrow(run, "id bigint, digest binary, bands array<bigint>")
+    return rows.select("node", "id", "text", "digest").mapInArrow(run, "node bigint, id bigint, digest binary, size bigint, bands array<bigint>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(id, keys, counts): 32-bit shingle keys in order with their counts."""
+    """(node, keys, counts): shingle hashes in order with their counts (null: all one)."""
 
     def run(batches):
         for batch in batches:
@@ -136,44 +137,30 @@ def _sets(rows: DataFrame) -> DataFrame:
                 text, offsets = shared.joined(part.column(1))
                 owner, h, count = shingles(shared.code_points(text), offsets)
                 stops = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(part)))])
-                key = pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 at = pa.array(stops, pa.int32())
                 ones = np.array([bool((count[i:j] == 1).all()) for i, j in zip(stops[:-1], stops[1:], strict=True)])
                 counts = pa.ListArray.from_arrays(at, pa.array(count, pa.int32()), mask=pa.array(ones))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, key), counts], ["id", "keys", "counts"])
-
-    return rows.mapInArrow(run, "id bigint, keys array<int>, counts array<int>")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))), counts], ["node", "keys", "counts"])
 
+    return rows.select("node", "text").mapInArrow(run, "node bigint, keys array<bigint>, counts array<int>")
 
-def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    ids = shared.cut_lineage(ids.distinct())
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return _sets(texts.join(side, "id", "left_semi").select("id", "text"))
 
+def _small(side: DataFrame, rows: int | None = None) -> DataFrame:
+    """The side, marked for broadcast if it is a table of few rows."""
+    return F.broadcast(side) if (side.count() if rows is None else rows) <= BROADCAST_ROWS else side
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose similarity reaches the threshold."""
-    sets = _sets_of(pairs.select(F.col("u").alias("id")).union(pairs.select("v")), texts)
-    left = sets.select(F.col("id").alias("u"), F.col("keys").alias("a"), F.col("counts").alias("x"))
-    right = sets.select(F.col("id").alias("v"), F.col("keys").alias("b"), F.col("counts").alias("y"))
-
-    def run(batches):
-        for batch in batches:
-            u, v, (a, x, b, y) = batch.column(0), batch.column(1), batch.columns[2:]
-            keep = []
-            for i in range(len(batch)):
-                p, q = (np.sort(z[i].values.to_numpy().view(np.uint32)) for z in (a, b))
-                keep.append(_reaches(p, x[i], q, y[i], threshold))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([u.filter(mask), v.filter(mask)], ["u", "v"])
 
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "x", "b", "y")
-    return joined.mapInArrow(run, "u bigint, v bigint")
+def _members(part: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[bool]]:
+    """Keys, counts and whether all counts are one, of the rows of a group."""
+    keys = [x.values.to_numpy().view(np.uint64) for x in part.column("keys")]
+    counts = [x.values.to_numpy() if x.is_valid else np.ones(len(k), np.int64) for x, k in zip(part.column("counts"), keys, strict=True)]
+    return keys, counts, [not x.is_valid for x in part.column("counts")]
 
 
-def _reaches(a: np.ndarray, x, b: np.ndarray, y, threshold: float) -> bool:
-    x = x.values.to_numpy() if x.is_valid else np.ones(len(a), np.int64)
-    y = y.values.to_numpy() if y.is_valid else np.ones(len(b), np.int64)
+def _alike(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, plain: bool, threshold: float) -> bool:
+    if plain:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= (threshold - 1e-12) * (len(a) + len(b) - both)
     return probability_jaccard(a, x, b, y) >= threshold - 1e-12
 
 
@@ -206,17 +193,14 @@ def _shares(keys: list[np.ndarray], mass: list[np.ndarray], side: np.ndarray) ->
 
 
 def _ties(part: pa.Table, b1: int, b2: int, threshold: float) -> list[tuple[int, int]]:
-    """Pairs (id, id) that tie different classes of two blocks, or of one, into one."""
-    part = part.sort_by("id").combine_chunks()
-    ids, group, own = (part.column(n).to_pylist() for n in ("id", "g", "own"))
-    keys = [np.sort(x.values.to_numpy().view(np.uint32)) for x in part.column("keys")]
-    order = [np.argsort(x.values.to_numpy().view(np.uint32), kind="stable") for x in part.column("keys")]
-    counts = [x.values.to_numpy()[o] if x.is_valid else np.ones(len(o), np.int64) for x, o in zip(part.column("counts"), order, strict=True)]
-    plain = np.array([not x.is_valid for x in part.column("counts")])
+    """Pairs of classes of two blocks, or of one, that a link ties into one."""
+    part = part.sort_by("node").combine_chunks()
+    group, own = (part.column(n).to_pylist() for n in ("g", "own"))
+    keys, counts, plain = _members(part)
     side = np.array([2 if b1 == b2 else 0 if o == b1 else 1 for o in own])
     left, right = _shares(keys, [n / n.sum() for n in counts], side)
     rows, columns = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    # no pair is more alike than the smaller of its shared masses; for plain sets this says all
+    # no pair is more alike than the smaller of its shared masses
     i, j = np.nonzero(np.minimum(left, right) >= threshold - 1e-4)
     up: dict[int, int] = {}
 
@@ -228,79 +212,113 @@ def _ties(part: pa.Table, b1: int, b2: int, threshold: float) -> list[tuple[int,
     out = []
     for a, b in zip(rows[i].tolist(), columns[j].tolist(), strict=True):
         x, y = find(group[a]), find(group[b])
-        if x == y:
-            continue
-        if plain[a] and plain[b]:
-            both = len(np.intersect1d(keys[a], keys[b], assume_unique=True))
-            alike = both >= (threshold - 1e-12) * (len(keys[a]) + len(keys[b]) - both)
-        else:
-            alike = probability_jaccard(keys[a], counts[a], keys[b], counts[b]) >= threshold - 1e-12
-        if alike:
+        if x != y and _alike(keys[a], counts[a], keys[b], counts[b], plain[a] and plain[b], threshold):
             up[max(x, y)] = min(x, y)
-            out.append((ids[a], ids[b]))
+            out.append((group[a], group[b]))
     return out
 
 
-def _family_ties(pairs: DataFrame, groups: DataFrame, member: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (u, v) between classes of one family that the leaders have not shown.
+def _led(member: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) of members to the smallest node of a bucket of theirs. A large bucket's members are dealt over blocks; its smallest node goes to each."""
+    pairs = member.filter("node != v").groupBy("node", "v").agg(F.max("blocks").alias("blocks"))
+    pairs = pairs.select("node", "v", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own"))
+    leaders = pairs.select(F.col("v").alias("node"), "v", "blocks", "own").distinct()
+    rows = pairs.union(leaders).join(sets, "node")
 
-    A family is compared as a whole or bucket by bucket, whichever moves fewer rows; a family
-    none of whose buckets is mixed has nothing left to compare.
-    """
-    cost = lambda n: n * F.ceil(n / BLOCK)
-    family = connected_components(pairs).withColumnRenamed("node", "id").withColumnRenamed("component", "family")
-    placed = family.join(groups.withColumnRenamed("node", "id"), "id", "left").select("family", "id", F.coalesce("component", "id").alias("g"))
-    size = placed.groupBy("family").agg(F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("n"))
-    placed = shared.cut_lineage(placed.join(size.filter("low != high").select("family", "n"), "family"))
-    inside = shared.cut_lineage(member.select("band", "h", "id").join(placed.select("family", "id", "g", "n"), "id"))
-    buckets = inside.groupBy("band", "h").agg(F.min("family").alias("family"), F.min("n").alias("n"), F.min("g").alias("low"), F.max("g").alias("high"), F.count(F.lit(1)).alias("m"))
-    buckets = shared.cut_lineage(buckets.filter("low != high").select("band", "h", "family", "n", "m"))
-    choice = shared.cut_lineage(buckets.groupBy("family", "n").agg(F.sum(cost(F.col("m"))).alias("c")).select("family", (F.col("c") < cost(F.col("n"))).alias("by_bucket")))
-    whole = placed.join(choice.filter("not by_bucket"), "family").select(F.col("family").alias("k1"), F.lit(-1).alias("k2"), "id", "g", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    split = buckets.join(choice.filter("by_bucket"), "family").select("band", "h", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    split = inside.join(split, ["band", "h"]).select(F.col("h").alias("k1"), F.col("band").alias("k2"), "id", "g", "blocks")
-    placed = shared.cut_lineage(whole.union(split))
-    rows = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(_sets_of(placed.select("id"), texts).dropDuplicates(["id", "keys"]), "id")
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        node, v = part.column("node").to_pylist(), part.column("v")[0].as_py()
+        keys, counts, plain = _members(part)
+        one = node.index(v)
+        found = [n for i, n in enumerate(node) if i != one and _alike(keys[one], counts[one], keys[i], counts[i], plain[one] and plain[i], threshold)]
+        return pa.table({"u": pa.array(found, pa.int64()), "v": pa.array([v] * len(found), pa.int64())})
+
+    return rows.groupBy("v", "blocks", "own").applyInArrow(run, "u bigint, v bigint")
+
+
+def _block_ties(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Ties (u, v) of classes in the rows (h, node, g, blocks) of mixed buckets, each block of a bucket against each."""
+    rows = mixed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    rows = rows.select("k1", "k2", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "id", "g", "keys", "counts")
+    rows = rows.select("h", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "g", "keys", "counts")
 
     def run(key, part):
-        found = _ties(part, key[2].as_py(), key[3].as_py(), threshold)
+        found = _ties(part, key[1].as_py(), key[2].as_py(), threshold)
         return pa.table({"u": pa.array([a for a, _ in found], pa.int64()), "v": pa.array([b for _, b in found], pa.int64())})
 
-    return shared.cut_lineage(rows.groupBy("k1", "k2", "b1", "b2").applyInArrow(run, "u bigint, v bigint"))
+    return rows.groupBy("h", "b1", "b2").applyInArrow(run, "u bigint, v bigint")
+
+
+def _digest(text) -> F.Column:
+    """Of a text; an empty one for null."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, class_id) of every distinct non-null id; class_id is the smallest id of its class.
+    """(id, digest, n, class_id, kept) of every distinct document, that is id and text.
 
-    Null texts and texts without a word are alone. Exact copies are in one class. If an id
-    has several texts, they tie their classes together.
+    n counts the rows of the document, class_id is the smallest id of its class, and one document of
+    a class is kept: that with the smallest id, of several the one with the smallest digest. Null texts
+    and texts without a word are alone. Different texts under one id are different documents. Null
+    ids come last: class_id is null only in a class without any id.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = rows.withColumn("digest", F.unhex(F.md5("text")))
-    bands = shared.cut_lineage(_band_rows(rows.select("id", "text", "digest")))
-    copies = bands.filter("bands is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
-    copies = shared.cut_lineage(copies)
-    copy_edges = bands.filter("bands is not null").select("id", "digest").join(copies.select("digest", "rep"), "digest").filter("id != rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
-    # a representative can stand for several texts if ids repeat: its own texts share the id
-    member = copies.select(F.posexplode("bands").alias("band", "h"), F.col("rep").alias("id"))
-    leaders = member.groupBy("band", "h").agg(F.min("id").alias("v"), F.max("id").alias("top")).filter("v != top").select("band", "h", "v")
-    member = shared.cut_lineage(member.join(leaders, ["band", "h"]).distinct())
-    texts = rows.select("id", "text")
-    pairs = shared.cut_lineage(member.filter("id != v").select(F.col("id").alias("u"), "v").distinct())
-    edges = shared.cut_lineage(_verified(pairs, texts, threshold))
-    edges = edges.union(_family_ties(pairs, connected_components(edges), member, texts, threshold))
-    groups = connected_components(edges.union(copy_edges))
-    ids = bands.select("id").distinct()
-    return ids.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
+    scratch = shared.Scratch(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).withColumn("digest", _digest(F.col("text")))
+    bands = scratch.keep(_band_rows(rows.withColumn("node", F.monotonically_increasing_id())))
+    copies = bands.filter("bands is not null").groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.min("size").alias("size"), F.min("bands").alias("bands"))
+    copies = scratch.keep(copies)
+    hashes = copies.select(F.explode("bands").alias("h"), "node", "size")
+    buckets = hashes.groupBy("h").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"), F.sum("size").alias("keys"))
+    buckets = buckets.filter("n > 1").groupBy("v", "n", "x", "y", "keys").agg(F.min("h").alias("h"))  # equal members, told by 128 bits, once
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("keys") / BLOCK_KEYS)).alias("blocks")
+    buckets = scratch.keep(buckets.select("h", "v", blocks))
+    member = scratch.keep(hashes.select("h", "node").join(_small(buckets), "h"))
+    wanted = scratch.keep(copies.select("node", "rep", F.col("digest").alias("d")).join(member.select("node").distinct(), "node", "left_semi"))
+    found = rows.join(_small(wanted), F.col("id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("d")))
+    sets = scratch.keep(_sets(found))
+    if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # repeated rows
+        sets = scratch.keep(sets.dropDuplicates(["node"]))
+    edges = scratch.keep(_led(member, sets, threshold))
+    groups = scratch.keep(connected_components(edges).withColumnRenamed("component", "g"))
+    placed = scratch.keep(member.join(_small(groups), "node", "left").select("h", "node", "blocks", F.coalesce("g", "node").alias("g")))
+    mixed = scratch.keep(placed.groupBy("h").agg(F.min("g").alias("low"), F.max("g").alias("high")).filter("low != high").select("h"))
+    ties = scratch.keep(_block_ties(placed.join(_small(mixed), "h"), sets, threshold))
+    joint = scratch.keep(connected_components(ties).toDF("g", "c"))
+    scratch.drop(sets, edges, mixed, ties, member, wanted)
+    # a node that the second step ties first of all has no place in groups yet
+    grouped = placed.select("node", "g").distinct().join(_small(joint), "g", "left").select("node", F.coalesce("c", "g").alias("c"))
+    named = scratch.keep(copies.select("node", "rep", "digest", "rows").join(grouped, "node", "left").filter("c is not null or rows > 1").select("rep", "digest", F.coalesce("c", "node").alias("c")))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest"))
+    heads = named.groupBy("c").agg(F.min("rep").alias("class_id"), first.alias("first")).select("c", "class_id", "first.rep", F.col("first.digest").alias("head"))
+    named = scratch.keep(named.select("c", F.col("digest").alias("d")).join(heads, "c").select("d", "class_id", "rep", "head"))
+    out = bands.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).join(_small(named), F.col("digest") == F.col("d"), "left")
+    kept = F.col("d").isNull() | F.col("id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("head"))
+    return out.select("id", "digest", "n", F.when(F.col("d").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct id: id, class_id, kept (the class's smallest id).
+    """One row for each distinct id and text: id, class_id, kept (one of each class).
+
+    See ``classes`` for empty texts, copies, repeated and null ids. An empty table gives no rows; other
+    columns are not read.
+    """
+    return classes(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with their columns, one document of each class.
 
-    See ``classes`` for empty texts, copies and repeated ids. A null id can't be told from another:
-    such rows are not part of the result. An empty table gives no rows; other columns are not read.
+    Rows with equal id and text are one document: of them the one whose other columns are least stays.
     """
-    out = classes(docs, id_col, text_col, threshold)
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    scratch = shared.Scratch(docs.sparkSession)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values()).withColumn("k", _digest(F.col(names[text_col])))
+    found = scratch.keep(classes(docs, id_col, text_col, threshold))
+    same = F.col(names[id_col]).cast("bigint").eqNullSafe(F.col("id")) & (F.col("k") == F.col("digest"))
+    kept = rows.join(_small(scratch.keep(found.filter("not kept").select("id", "digest"))), same, "left_anti")
+    repeated = scratch.keep(found.filter("kept and n > 1").select("id", "digest"))
+    if (n := repeated.count()) == 0:
+        return kept.select(*names.values()).toDF(*docs.columns)
+    side = _small(repeated, n)
+    one = kept.join(side, same).groupBy("id", "digest").agg(F.min(F.struct(*names.values())).alias("row")).select("row.*")
+    return kept.join(side, same, "left_anti").select(*names.values()).unionByName(one).toDF(*docs.columns)
