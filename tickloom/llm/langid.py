@@ -5,24 +5,28 @@ predicts each bit. A text's bits are decoded to the codeword with the least loss
 bit weighted by how reliable its classifier was in training. Up to five languages get the
 exhaustive code, more get the best of many random codes.
 
-Training rows are a bounded sample (``TRAINING_DOCS``), chosen by a hash of the id so that
-it is the same for every run; prediction reads whole texts and nothing but the text.
+Training rows are a bounded sample (``TRAINING_DOCS``) of different texts, chosen by a hash of
+the text so that it is the same for every run and however often a text or an id is repeated;
+one task learns from it, and only the weights reach the driver. Prediction reads whole texts
+and nothing but the text.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bound (expected) on the documents of the training sample, over all languages.
+#: Bound on the documents of the training sample, over all languages.
 TRAINING_DOCS = 2_400
+#: Languages that can be learned: those with most documents.
+LANGUAGES = 240
 BUCKETS = 4_096
 SIZES = (1, 2, 3)
 STEPS, RATE, DECAY = 120, 8.0, 1e-5
@@ -71,8 +75,9 @@ def code(k: int, seed: int = 7) -> np.ndarray:
     bits = math.ceil(10 * math.log2(k))
     for _ in range(300):
         words = rng.choice([-1, 1], (k, bits))
+        words[0, np.abs(words.sum(0)) == k] *= -1  # a bit must tell some languages apart
         distance = (bits - words @ words.T) // 2 + np.eye(k, dtype=int) * bits
-        if (low := int(distance.min())) > best[0] and (np.abs(words.sum(0)) < k).all():
+        if (low := int(distance.min())) > best[0]:
             best = low, words
     return best[1]
 
@@ -105,16 +110,20 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int = TRAINING_DOCS) -> DataFrame:
-    """Labelled rows (lang, text, order), about bound / languages of each language."""
+    """Labelled rows (lang, text, place): about bound / languages different texts of each language, never more than bound in all."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
-    each = max(20, bound // max(1, len(counts)))
+    rows = rows.select("lang", "text", F.xxhash64("text").alias("place"))
+    # different texts, so that copies don't thin the sample out
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("texts"))
+    texts = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    each = max(1, bound // max(1, len(texts)))
     share = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
+    for lang, n in sorted(texts.items()):
         share = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(share)
-    order = F.xxhash64("id", F.lit("sample"))
-    return rows.filter(F.pmod(order, F.lit(1_000_000)) < share * 1_000_000).select("lang", "text", order.alias("place"))
+    some = rows.filter(F.pmod("place", F.lit(1_000_000_007)) < share * 1_000_000_007)
+    # the same text under one language counts once; the limit is the bound itself, whatever the hashes are
+    return some.groupBy("place", "lang").agg(F.min("text").alias("text")).orderBy(F.xxhash64("place"), "lang").limit(bound).select("lang", "text", "place")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
@@ -122,25 +131,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     short passages of it count as well so that short texts are known too."""
 
     def run(batches):
+        found = []
         for batch in batches:
-            for i in range(0, len(batch), 200):
-                part = batch.slice(i, 200)
-                langs, texts, places = (part.column(k).to_pylist() for k in range(3))
-                rows = []
-                for text, lang, place in zip(texts, langs, places, strict=True):
-                    third = len(text) // 3
-                    rows += [(text, lang, place), *((text[a : a + 60], lang, place) for a in (third, 2 * third) if third > 60)]
-                x = features([r[0] for r in rows]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64()), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "place", "x"])
-
-    rows = training_sample(docs, id_col, text_col, lang_col).mapInArrow(run, "lang string, place bigint, x binary").toArrow()
-    if not len(rows):
-        return None
-    order = np.lexsort((rows.column("lang").combine_chunks().dictionary_encode().indices.to_numpy(), rows.column("place").to_numpy()))
-    names = sorted(pc.unique(rows.column("lang")).to_pylist())
-    y = np.array([names.index(x) for x in rows.column("lang").to_pylist()])[order]
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(len(y), BUCKETS)[order].astype(np.float32)
-    return train(x, y, names) if len(names) > 1 else {"names": names}
+            for text, lang, place in zip(*(batch.column(c).to_pylist() for c in (1, 0, 2)), strict=True):
+                third = len(text) // 3
+                found += [(place, lang, i, text[a : a + size]) for i, (a, size) in enumerate([(0, len(text)), *((a, 60) for a in (third, 2 * third) if third > 60)])]
+        if not found:
+            return
+        found.sort(key=lambda r: r[:3])
+        names = sorted({r[1] for r in found})
+        x = np.concatenate([features([r[3] for r in found[i : i + 100]]) for i in range(0, len(found), 100)])
+        y = np.array([names.index(r[1]) for r in found])
+        model = train(x, y, names) if len(names) > 1 else {"names": names}
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = training_sample(docs, id_col, text_col, lang_col).coalesce(1).mapInArrow(run, "model binary").collect()  # one row
+    return pickle.loads(rows[0]["model"]) if rows else None
 
 
 def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
