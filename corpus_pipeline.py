@@ -46,17 +46,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id; of rows that share an id
-    one stays. Rows without an id all stay."""
-    found = shared.cut_lineage(minhash.near_duplicates(docs))
-    ids = found.filter("kept").select("doc_id")
-    kept = docs.join(ids, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
-    repeated = shared.cut_lineage(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi")
-    one = again.groupBy("doc_id").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))).alias("row")).select("doc_id", "row.*").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(one)
+    """One document of each class stays, the one with the smallest id; of rows that share id and text one."""
+    return minhash.keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,6 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
         if k:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{k - 1}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            shared.remove_folder(spark, f"{base}/{k - 1}")
     return docs
