@@ -39,9 +39,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated line chunks from the texts; n_chars follows."""
+    """Removes repeated line chunks from the texts; n_chars follows. A document of which no word is left goes: all of it stands elsewhere."""
     rows, id_col, text_col, _ = _numbered(docs)
-    out = lines.dedup(rows, id_col, text_col).select(*rows.columns).toDF(*docs.columns)
+    out = lines.dedup(rows, id_col, text_col).filter((F.col("n_removed") == 0) | F.col(text_col).rlike("[^ \\t-\\r]"))
+    out = out.select(*rows.columns).toDF(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
