@@ -67,7 +67,7 @@ def forecast_errors(df: DataFrame, actual: str, forecast: str, keys: Sequence[st
 
 def diagnostics(df: DataFrame, value: str, s: Series) -> DataFrame:
     """Unit-root, variance-ratio, ARCH, Hurst and fractal statistics of each series."""
-    names = ["adf", "adf_lags", "kpss", "pp", "vr", "vr_z", "arch_lm", "arch_p", "jb_p", "lb_p", "hurst_rs", "hurst_dfa", "hurst_var", "fractal", "mf_width"]
+    names = ["adf", "adf_lags", "adf_p", "kpss", "kpss_p", "pp", "pp_p", "vr", "vr_z", "arch_lm", "arch_p", "jb_p", "lb_p", "hurst_rs", "hurst_dfa", "hurst_var", "fractal", "mf_width"]
 
     def run(x):
         d = np.diff(x)
@@ -75,7 +75,8 @@ def diagnostics(df: DataFrame, value: str, s: Series) -> DataFrame:
         vr, z = ts.variance_ratio(x, 5)
         lm, lp = ts.arch_lm(d)
         h = ts.mfdfa(d, np.array([-3.0, 0.0, 3.0]))
-        made = [t, p, ts.kpss(x), ts.phillips_perron(x), vr, z, lm, lp, ts.jarque_bera(d)[1], ts.ljung_box(d, 10)[1], ts.hurst(d), ts.hurst(d, "dfa"), ts.hurst(d, "aggregated"), ts.higuchi(x), h[0] - h[2]]
+        level, pp = ts.kpss(x), ts.phillips_perron(x)
+        made = [t, p, ts.df_p_value(t, "c", len(x)), level, ts.kpss_p_value(level), pp, ts.df_p_value(pp, "c", len(x)), vr, z, lm, lp, ts.jarque_bera(d)[1], ts.ljung_box(d, 10)[1], ts.hurst(d), ts.hurst(d, "dfa"), ts.hurst(d, "aggregated"), ts.higuchi(x), h[0] - h[2]]
         return dict(zip(names, made, strict=True))
 
     return per_series(df, value, s, run, names)
@@ -108,14 +109,14 @@ def switching(df: DataFrame, value: str, s: Series) -> DataFrame:
 
 def pairs(df: DataFrame, y: str, x: str, s: Series) -> DataFrame:
     """Cointegration, causality, vector autoregression and Kalman hedge of the two columns of each series."""
-    names = ["beta", "eg_t", "trace_0", "trace_1", "granger_f", "granger_p", "var_11", "response_12", "kalman_beta"]
+    names = ["beta", "eg_t", "eg_p", "trace_0", "trace_1", "granger_f", "granger_p", "var_11", "response_12", "kalman_beta"]
 
     def run(a, b):
         beta, t = ts.engle_granger(a, b)
         trace, _, _ = ts.johansen(np.column_stack([a, b]))
         f, p = ts.granger(a, b, 2)
         _, coefficients, cov = ts.var_fit(np.column_stack([a, b]), 1)
-        return dict(zip(names, [beta, t, trace[0], trace[1], f, p, coefficients[0, 0, 0], ts.impulse_response(coefficients, cov, 3)[3, 0, 1], ts.kalman_hedge(a, b)[0][-1]], strict=True))
+        return dict(zip(names, [beta, t, ts.df_p_value(t, 1, len(a)), trace[0], trace[1], f, p, coefficients[0, 0, 0], ts.impulse_response(coefficients, cov, 3)[3, 0, 1], ts.kalman_hedge(a, b)[0][-1]], strict=True))
 
     return per_series(df, [y, x], s, run, names)
 

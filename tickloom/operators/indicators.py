@@ -106,13 +106,13 @@ def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, senkou: int = 52,
 def volatility(df: DataFrame, window: int = 20, periods: float = 252.0, s: Series = BARS) -> DataFrame:
     """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang, annualised."""
     check_window(window, 2)
-    ln = lambda a, b: F.ln(c(a) / c(b))
+    ln = lambda a, b: F.ln(ratio(c(a), c(b)))
     df = df.withColumns(
         {
             "_pk": ln("high", "low") ** 2 / (4 * math.log(2)),
             "_gk": 0.5 * ln("high", "low") ** 2 - (2 * math.log(2) - 1) * ln("close", "open") ** 2,
             "_rs": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open"),
-            "_o": F.ln(c("open") / s.lag("close")),
+            "_o": F.ln(ratio(c("open"), s.lag("close"))),
             "_c": ln("close", "open"),
         }
     )
@@ -178,7 +178,7 @@ def pivot_points(df: DataFrame, method: str = "classic", s: Series = BARS) -> Da
 def recursive(df: DataFrame, window: int = 14, s: Series = BARS) -> DataFrame:
     """EMA, Wilder average, DEMA, TEMA, KAMA, RSI, MACD, ATR, ADX, SAR, SuperTrend and Keltner channels at their usual settings."""
     check_window(window)
-    names = ["ema", "wilder", "dema", "tema", "kama", "rsi", "macd", "macd_signal", "macd_hist", "atr", "adx", "plus_di", "minus_di", "sar", "supertrend", "supertrend_side", "kc_mid", "kc_upper", "kc_lower"]
+    names = ["ema", "wilder", "dema", "tema", "kama", "rsi", "macd", "macd_signal", "macd_hist", "atr", "adx", "plus_di", "minus_di", "sar", "sar_side", "supertrend", "supertrend_side", "kc_mid", "kc_upper", "kc_lower"]
 
     def run(high, low, close):
         first = k.ema(close, window)
@@ -193,7 +193,7 @@ def recursive(df: DataFrame, window: int = 14, s: Series = BARS) -> DataFrame:
         line, side = k.supertrend(high, low, close, 3.0 * k.atr(high, low, close, 10))
         mid, reach = k.ema(close, 20), 2.0 * k.atr(high, low, close, 10)
         made = [first, k.wilder(close, window), np.where(place >= 2 * (window - 1), 2 * first - second, np.nan), np.where(place >= 3 * (window - 1), 3 * first - 3 * second + third, np.nan)]
-        made += [k.kama(close, 10, 2, 30), k.rsi(close, window), macd, signal, macd - signal, atr, strength, plus, minus, k.parabolic_sar(high, low, 0.02, 0.02, 0.2), line, side, mid, mid + reach, mid - reach]
+        made += [k.kama(close, 10, 2, 30), k.rsi(close, window), macd, signal, macd - signal, atr, strength, plus, minus, *k.parabolic_sar(high, low, 0.02, 0.02, 0.2), line, side, mid, mid + reach, mid - reach]
         return dict(zip(names, made, strict=True))
 
     return s.kernel(df, ["high", "low", "close"], {n: "double" for n in names}, run)

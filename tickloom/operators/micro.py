@@ -65,10 +65,10 @@ def hasbrouck_lambda(trades: DataFrame, sign: str = "lee_ready", s: Series = TIC
 
 def illiquidity(bars: DataFrame, scale: float = 1e6, s: Series = BARS) -> DataFrame:
     """Amihud's measure, Roll's spread, and the mean high-low spreads of Corwin-Schultz and Abdi-Ranaldo."""
-    bars = bars.withColumns({"_r": c("close") / s.lag("close") - 1, "_dv": c("close") * c("volume"), "_d": c("close") - s.lag("close"), "_mid": (F.ln("high") + F.ln("low")) / 2, "_lc": F.ln("close")})
+    bars = bars.withColumns({"_r": ratio(c("close"), s.lag("close")) - 1, "_dv": c("close") * c("volume"), "_d": c("close") - s.lag("close"), "_mid": (F.ln("high") + F.ln("low")) / 2, "_lc": F.ln("close")})
     high2, low2 = F.greatest(c("high"), s.lag("high")), F.least(c("low"), s.lag("low"))
-    beta = F.ln(c("high") / c("low")) ** 2 + F.ln(s.lag("high") / s.lag("low")) ** 2
-    bars = bars.withColumns({"_d1": s.lag("_d"), "_beta": beta, "_gamma": F.when(s.number > 1, F.ln(high2 / low2) ** 2), "_next": s.lead("_mid")})
+    beta = F.ln(ratio(c("high"), c("low"))) ** 2 + F.ln(ratio(s.lag("high"), s.lag("low"))) ** 2
+    bars = bars.withColumns({"_d1": s.lag("_d"), "_beta": beta, "_gamma": F.when(s.number > 1, F.ln(ratio(high2, low2)) ** 2), "_next": s.lead("_mid")})
     root = 3 - 2 * math.sqrt(2)
     alpha = (math.sqrt(2) - 1) * F.sqrt("_beta") / root - F.sqrt(c("_gamma") / root)
     bars = bars.withColumns({"_cs": F.when(alpha > 0, 2 * (F.exp(alpha) - 1) / (1 + F.exp(alpha))).when(alpha.isNotNull(), 0.0), "_ar": F.when(c("_next").isNotNull(), 2 * F.sqrt(F.greatest((c("_lc") - c("_mid")) * (c("_lc") - c("_next")), F.lit(0.0))))})
@@ -99,7 +99,7 @@ def vpin(bars: DataFrame, n_buckets: int = 50, window: int = 10, distribution: s
     total = rows.groupBy(*s.keys).agg((F.sum("volume") / n_buckets).alias("_size"))
     rows = rows.join(total, list(s.keys)).withColumn("_end", s.running(F.sum("volume"))).withColumn("_start", c("_end") - c("volume"))
     last = F.lit(n_buckets - 1).cast("bigint")
-    rows = rows.filter("volume > 0").withColumn("bucket", F.explode(F.sequence(F.least(F.floor(c("_start") / c("_size")), last), F.least(F.floor(c("_end") / c("_size")), last))))
+    rows = rows.filter("volume > 0").withColumn("bucket", F.explode(F.sequence(F.least(F.floor(ratio(c("_start"), c("_size"))), last), F.least(F.floor(ratio(c("_end"), c("_size"))), last))))
     part = F.greatest(F.least(c("_end"), (c("bucket") + 1) * c("_size")) - F.greatest(c("_start"), c("bucket") * c("_size")), F.lit(0.0))
     out = rows.groupBy(*s.keys, "bucket").agg(F.sum(part * c("buy_share")).alias("buy"), F.sum(part * (1 - c("buy_share"))).alias("sell"))
     by = Series(s.keys, ("bucket",))

@@ -21,7 +21,7 @@ c = F.col
 def returns(bars: DataFrame, value: str = "close", s: Series = BARS) -> DataFrame:
     """Simple, log and cumulative returns; the first row of a series, which has none, is dropped."""
     before = s.lag(value)
-    rows = bars.withColumns({"ret": ratio(c(value), before) - 1, "log_ret": F.ln(c(value) / before), "_first": F.first(value).over(s.so_far)})
+    rows = bars.withColumns({"ret": ratio(c(value), before) - 1, "log_ret": F.ln(ratio(c(value), before)), "_first": F.first(value).over(s.so_far)})
     return rows.withColumn("cum_ret", ratio(c(value), c("_first")) - 1).filter("ret is not null").drop("_first")
 
 
@@ -38,7 +38,7 @@ def metrics(rets: DataFrame, value: str = "ret", risk_free: float = 0.0, periods
     excess = c(value) - rate
     out = rows.groupBy(*s.keys).agg(
         F.count(value).alias("n"), F.sum(F.ln(1 + c(value))).alias("_log"), F.stddev_samp(value).alias("_sd"), F.avg(excess).alias("_mean"),
-        F.avg(F.when(excess < 0, excess**2)).alias("_down"), F.max(1 - c("_wealth") / c("_peak")).alias("max_drawdown"),
+        F.avg(F.when(excess < 0, excess**2)).alias("_down"), F.max(1 - ratio(c("_wealth"), c("_peak"))).alias("max_drawdown"),
         (-F.first("_q")).alias("var"), (-F.avg(F.when(c(value) <= c("_q"), c(value)))).alias("cvar"),
     )
     infinite = F.lit(float("inf"))
@@ -62,15 +62,15 @@ def covariance(panel: DataFrame, key: str = "symbol", time: str = "ts", value: s
         rows = rows.withColumn("w", F.lit(1.0))
     a, b = rows.select(c("k").alias("i"), "t", "w", c("x").alias("x")), rows.select(c("k").alias("j"), "t", c("x").alias("y"))
     sums = a.join(b, "t").groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("_w"), F.sum(c("w") * c("x")).alias("_x"), F.sum(c("w") * c("y")).alias("_y"), F.sum(c("w") * c("x") * c("y")).alias("_xy"), F.sum(c("w") * c("x") ** 2).alias("_xx"), F.sum(c("w") * c("y") ** 2).alias("_yy"))
-    centred = c("_xy") / c("_w") - c("_x") * c("_y") / c("_w") ** 2
-    spread = F.sqrt((c("_xx") / c("_w") - (c("_x") / c("_w")) ** 2) * (c("_yy") / c("_w") - (c("_y") / c("_w")) ** 2))
+    centred = ratio(c("_xy"), c("_w")) - ratio(c("_x") * c("_y"), c("_w") ** 2)
+    spread = F.sqrt(F.greatest((ratio(c("_xx"), c("_w")) - ratio(c("_x"), c("_w")) ** 2) * (ratio(c("_yy"), c("_w")) - ratio(c("_y"), c("_w")) ** 2), F.lit(0.0)))
     scale = ratio(c("n").cast("double"), c("n") - 1) if halflife is None else F.lit(1.0)
     return sums.select("i", "j", "n", (centred * scale).alias("cov"), (centred / F.nullif(spread, F.lit(0.0))).alias("corr"))
 
 
 def time_series_momentum(bars: DataFrame, lookback: int = 252, vol_window: int = 60, target: float = 0.15, cap: float = 3.0, periods: float = 252.0, s: Series = BARS) -> DataFrame:
     """Sign of the trailing return, scaled to a target volatility; factor_ret is the next bar's return times the position."""
-    rows = bars.withColumns({"_r": ratio(c("close"), s.lag("close")) - 1, "signal": F.signum(F.ln(c("close") / s.lag("close", lookback)))})
+    rows = bars.withColumns({"_r": ratio(c("close"), s.lag("close")) - 1, "signal": F.signum(F.ln(ratio(c("close"), s.lag("close", lookback))))})
     sd = F.stddev_pop("_r").over(s.rows(vol_window)) * periods**0.5
     scaled = c("signal") * F.least(F.lit(cap), F.lit(target) / F.nullif(sd, F.lit(0.0)))
     ready = s.number > vol_window
@@ -83,7 +83,7 @@ def cross_sectional_momentum(bars: DataFrame, lookback: int = 252, skip: int = 2
     return get equal weights, held until the next time. Times are those that series share."""
     times = bars.select("ts").distinct().withColumn("_t", F.dense_rank().over(Window.orderBy("ts")) - 1)
     rows = bars.select(*s.keys, "ts", "close").join(times, "ts")
-    rows = rows.withColumns({"_form": F.ln(s.lag("close", skip) / s.lag("close", skip + lookback)), "_r": ratio(c("close"), s.lag("close")) - 1})
+    rows = rows.withColumns({"_form": F.ln(ratio(s.lag("close", skip), s.lag("close", skip + lookback))), "_r": ratio(c("close"), s.lag("close")) - 1})
     deal = (c("_t") >= lookback + skip) & ((c("_t") - lookback - skip) % holding == 0) & c("_form").isNotNull()
     at = Window.partitionBy("ts", deal)
     place, n = F.row_number().over(at.orderBy("_form", *s.keys)), F.count(F.lit(1)).over(at)
@@ -197,4 +197,4 @@ def optimal_portfolios(panel: DataFrame, key: str = "symbol", time: str = "ts",
 
 def drawdown(value: Column, s: Series = BARS) -> Column:
     """Share lost since the highest wealth so far."""
-    return 1 - value / s.running(F.max(value))
+    return 1 - ratio(value, s.running(F.max(value)))

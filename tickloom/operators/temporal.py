@@ -106,7 +106,7 @@ def back_adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
         price = F.element_at(state, -1)["price"]
         volume = F.element_at(state, -1)["volume"]
         held = a["raw"] * price
-        factor = F.when(a["kind"] == "split", 1 / a["ratio"]).otherwise(F.when((held > 0) & (held > a["cash"]), (held - a["cash"]) / held).otherwise(1.0))
+        factor = F.when(a["kind"] == "split", ratio(F.lit(1.0), a["ratio"])).otherwise(F.when((held > 0) & (held > a["cash"]), (held - a["cash"]) / held).otherwise(1.0))
         new = F.struct(a["ex"].alias("ex"), (price * F.coalesce(factor, F.lit(1.0))).alias("price"), (volume * F.when(a["kind"] == "split", a["ratio"]).otherwise(1.0)).alias("volume"))
         return F.concat(state, F.array(new))
 
@@ -120,7 +120,7 @@ def back_adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
 def total_return(bars: DataFrame, actions: DataFrame, base: float = 1.0, s: Series = BARS) -> DataFrame:
     """Log return with dividends paid on the very bar, and the index of them."""
     paid = actions.filter(c("kind") == "cash_div").groupBy("symbol", "ts").agg(F.sum("cash").alias("_cash"))
-    rows = bars.join(paid, ["symbol", "ts"], "left").withColumn("total_return", F.coalesce(F.ln((c("close") + F.coalesce("_cash", F.lit(0.0))) / s.lag("close")), F.lit(0.0))).drop("_cash")
+    rows = bars.join(paid, ["symbol", "ts"], "left").withColumn("total_return", F.coalesce(F.ln((c("close") + F.coalesce("_cash", F.lit(0.0))) / F.nullif(s.lag("close"), F.lit(0.0))), F.lit(0.0))).drop("_cash")
     return rows.withColumn("total_return_index", base * F.exp(s.running(F.sum("total_return"))))
 
 
@@ -180,7 +180,7 @@ def missing(intervals: DataFrame, start: str, end: str, keys: tuple[str, ...] =
 def relative_strength(bars: DataFrame, benchmark: DataFrame, window: int = 20, s: Series = BARS) -> DataFrame:
     """Price over the benchmark's (ts, bench), relative to the first common bar, its slope and rank at each time."""
     rows = bars.select(*s.keys, "ts", "close").join(benchmark, "ts").withColumn("_q", ratio(c("close"), c("bench")))
-    rows = rows.withColumn("rs", c("_q") / F.first("_q").over(s.so_far)).drop("_q")
+    rows = rows.withColumn("rs", ratio(c("_q"), F.first("_q").over(s.so_far))).drop("_q")
     rows = rolling_slope(rows, "rs", window, "rs_slope", s)
     at = Window.partitionBy("ts", c("rs_slope").isNotNull())
     rank = F.row_number().over(at.orderBy("rs_slope", *s.keys)) / F.count(F.lit(1)).over(at)

@@ -165,13 +165,6 @@ def variance_paths(spark, d):
     return econometrics.variance_paths(portfolio.returns(hourly_bars(spark, d)), "log_ret", PANELS)
 
 
-def _pair(spark, d):
-    p = shapes.panel(spark, d)
-    a = p.filter("symbol = 0").select("ts", F.ln("close").alias("y"))
-    b = p.filter("symbol = 1").select("ts", F.ln("close").alias("x"))
-    return a.join(b, "ts").withColumn("symbol", F.lit("0-1"))
-
-
 def _pairs(spark, d):
     """Log prices of every pair of the panel's symbols, the smaller one as y; symbol names the pair."""
     p = shapes.panel(spark, d)
@@ -185,10 +178,10 @@ def cointegration(spark, d):
     return econometrics.pairs(_pairs(spark, d), "y", "x", PANELS)
 
 
-@query(f"""WITH {PANEL}, j AS (SELECT ln(a.close) AS y, ln(b.close) AS x FROM panel a JOIN panel b USING (ts) WHERE a.symbol = 0 AND b.symbol = 1), m AS (SELECT regr_slope(y, x) AS ols, var_samp(y) AS yy, var_samp(x) AS xx, covar_samp(y, x) AS xy FROM j)
- SELECT '0-1' AS symbol, {r('ols', '(yy - xx + sqrt((yy - xx) ** 2 + 4 * xy ** 2)) / (2 * xy) AS tls')} FROM m""")
+@query(f"""WITH {PANEL}, j AS (SELECT a.symbol || '-' || b.symbol AS symbol, ln(a.close) AS y, ln(b.close) AS x FROM panel a JOIN panel b USING (ts) WHERE a.symbol < b.symbol), m AS (SELECT symbol, regr_slope(y, x) AS ols, var_samp(y) AS yy, var_samp(x) AS xx, covar_samp(y, x) AS xy FROM j GROUP BY symbol)
+ SELECT symbol, {r('ols', '(yy - xx + sqrt((yy - xx) ** 2 + 4 * xy ** 2)) / (2 * xy) AS tls')} FROM m""")
 def hedge_ratio(spark, d):
-    return markov.hedge_ratio(_pair(spark, d), "y", "x", ["symbol"])
+    return markov.hedge_ratio(_pairs(spark, d), "y", "x", ["symbol"])
 
 
 @query()

@@ -150,10 +150,9 @@ def volatility(spark, d):
 @query(f"""WITH {BARS}, a AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS step, (high + low + close) / 3 AS tp, CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) END * volume AS mfv FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
  b AS (SELECT *, tp - lag(tp) OVER w AS up FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
  e AS (SELECT *, sum(CASE WHEN up > 0 THEN tp * volume ELSE 0 END) OVER m AS pos, sum(CASE WHEN up < 0 THEN tp * volume ELSE 0 END) OVER m AS neg FROM b WINDOW {frame('m', 14)})
- SELECT symbol, ts, {r('sum(step) OVER s AS obv', 'sum(tp * volume) OVER s / sum(volume) OVER s AS vwap', 'CASE WHEN rn >= 20 THEN sum(tp * volume) OVER f / sum(volume) OVER f END + 1e-9 AS rolling_vwap', 'sum(mfv) OVER s AS acc_dist', 'CASE WHEN rn >= 20 THEN sum(mfv) OVER f / sum(volume) OVER f END AS cmf', 'CASE WHEN rn < 15 THEN NULL WHEN neg = 0 THEN CASE WHEN pos > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + pos / neg) END AS mfi')} FROM e WINDOW {SO_FAR}, {frame('f', 20)}""")
+ SELECT symbol, ts, {r('sum(step) OVER s AS obv', 'sum(tp * volume) OVER s / sum(volume) OVER s AS vwap', 'CASE WHEN rn >= 20 THEN sum(tp * volume) OVER f / sum(volume) OVER f END AS rolling_vwap', 'sum(mfv) OVER s AS acc_dist', 'CASE WHEN rn >= 20 THEN sum(mfv) OVER f / sum(volume) OVER f END AS cmf', 'CASE WHEN rn < 15 THEN NULL WHEN neg = 0 THEN CASE WHEN pos > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + pos / neg) END AS mfi')} FROM e WINDOW {SO_FAR}, {frame('f', 20)}""")
 def volume_flow(spark, d):
-    # off the half of the last place, where the order of a sum would decide
-    return I.volume_flow(hourly_bars(spark, d)).withColumn("rolling_vwap", c("rolling_vwap") + 1e-9).drop("open", "high", "low", "close", "volume")
+    return I.volume_flow(hourly_bars(spark, d)).drop("open", "high", "low", "close", "volume")
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, lag(high) OVER w AS h, lag(low) OVER w AS l, lag(close) OVER w AS cl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)), b AS (SELECT *, (h + l + cl) / 3 AS p FROM a)
@@ -325,9 +324,9 @@ def asof_universe(spark, d):
     return temporal.asof_universe(shapes.members(spark, d), "ASIA", "1998-01-01")
 
 
-@query(f"WITH {MEMBERS}, m AS (SELECT DISTINCT symbol FROM members WHERE members.index = 'ASIA'), f AS (SELECT DISTINCT l_suppkey AS symbol FROM lineitem WHERE l_suppkey % 4 <> 0) SELECT count(*) AS n_members, count(*) FILTER (WHERE f.symbol IS NULL) AS n_missing, {r('count(*) FILTER (WHERE f.symbol IS NULL) / CAST(count(*) AS DOUBLE) AS missing_ratio')} FROM m LEFT JOIN f USING (symbol)")
+@query(f"WITH {MEMBERS}, m AS (SELECT DISTINCT symbol FROM members WHERE members.index = 'ASIA'), f AS (SELECT DISTINCT l_suppkey AS symbol FROM lineitem) SELECT count(*) AS n_members, count(*) FILTER (WHERE f.symbol IS NULL) AS n_missing, {r('count(*) FILTER (WHERE f.symbol IS NULL) / CAST(count(*) AS DOUBLE) AS missing_ratio')} FROM m LEFT JOIN f USING (symbol)")
 def survivorship(spark, d):
-    return temporal.survivorship(shapes.daily(spark, d).filter("symbol % 4 != 0"), shapes.members(spark, d), "ASIA")
+    return temporal.survivorship(shapes.daily(spark, d), shapes.members(spark, d), "ASIA")
 
 
 def _priced(spark, d):
@@ -360,12 +359,12 @@ def asof_join(spark, d):
     return temporal.asof_join(left, right, ["bid"], ("k",)).drop("k")
 
 
-COVER = """iv AS (SELECT user_id AS symbol, date_trunc('day', ts) AS "start", date_trunc('day', ts) + INTERVAL 1 DAY AS "end" FROM events WHERE user_id % 3 = 0), o AS (SELECT *, max("end") OVER (PARTITION BY symbol ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
+COVER = """iv AS (SELECT user_id AS symbol, date_trunc('day', ts) AS "start", date_trunc('day', ts) + INTERVAL 1 DAY AS "end" FROM events), o AS (SELECT *, max("end") OVER (PARTITION BY symbol ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv),
  i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS g FROM o), cov AS (SELECT symbol, min("start") AS "start", max("end") AS "end" FROM i GROUP BY symbol, g)"""
 
 
 def _intervals(spark, d):
-    e = shapes.table(spark, d, "events").filter("user_id % 3 = 0")
+    e = shapes.table(spark, d, "events")
     day = F.date_trunc("day", "ts").cast("timestamp_ntz")
     return e.select(c("user_id").alias("symbol"), day.alias("start"), (day + F.expr("INTERVAL 1 DAY")).alias("end"))
 
