@@ -96,24 +96,46 @@ def gaussian_emissions(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np
     return out
 
 
+def _smoothed(emit: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State shares, expected steps and log likelihood of several models at once; emit (model, time, state) in logs. Each time is scaled to one."""
+    top = emit.max(axis=2, keepdims=True)
+    b = np.exp(emit - top)
+    models, n, k = b.shape
+    front, back, scale = np.empty_like(b), np.ones_like(b), np.empty((models, n))
+    now = start * b[:, 0]
+    for t in range(n):
+        if t:
+            now = np.einsum("mi,mij->mj", front[:, t - 1], step) * b[:, t]
+        scale[:, t] = np.maximum(now.sum(axis=1), 1e-300)
+        front[:, t] = now / scale[:, t, None]
+    for t in range(n - 2, -1, -1):
+        back[:, t] = np.einsum("mij,mj->mi", step, b[:, t + 1] * back[:, t + 1]) / scale[:, t + 1, None]
+    xi = np.einsum("mti,mtj->mij", front[:, :-1], b[:, 1:] * back[:, 1:] / scale[:, 1:, None]) * step
+    return front * back, xi, np.log(scale).sum(axis=1) + top.sum(axis=(1, 2))
+
+
 def fit_gaussian(x: np.ndarray, k: int, restarts: int = 3, steps: int = 100, tolerance: float = 1e-6, seed: int = 0) -> dict:
-    """EM with full covariances; a ridge keeps them regular."""
-    rng, best, d = np.random.default_rng(seed), None, x.shape[1]
-    for _ in range(restarts):
-        means = x[rng.choice(len(x), k, replace=False)].copy()
-        covs = np.tile(np.cov(x.T).reshape(d, d) + 1e-3 * np.eye(d), (k, 1, 1))
-        pi, a, before = np.full(k, 1 / k), np.full((k, k), 1 / k), -np.inf
-        for _ in range(steps):
-            gamma, xi, total = posteriors(gaussian_emissions(x, means, covs), _logs(a), _logs(pi))
-            pi, a = gamma[0] / gamma[0].sum(), xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-12)
-            mass = np.maximum(gamma.sum(axis=0), 1e-12)
-            means = gamma.T @ x / mass[:, None]
+    """EM with full covariances; a ridge keeps them regular. All starts run side by side, each until it stands still."""
+    rng, d = np.random.default_rng(seed), x.shape[1]
+    means = np.stack([x[rng.choice(len(x), k, replace=False)] for _ in range(restarts)])
+    covs = np.tile(np.cov(x.T).reshape(d, d) + 1e-3 * np.eye(d), (restarts, k, 1, 1))
+    pi, a, total = np.full((restarts, k), 1 / k), np.full((restarts, k, k), 1 / k), np.full(restarts, -np.inf)
+    live = np.arange(restarts)
+    for _ in range(steps):
+        emit = np.stack([gaussian_emissions(x, means[m], covs[m]) for m in live])
+        gamma, xi, now = _smoothed(emit, a[live], pi[live])
+        pi[live] = gamma[:, 0] / gamma[:, 0].sum(axis=1, keepdims=True)
+        a[live] = xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-12)
+        mass = np.maximum(gamma.sum(axis=1), 1e-12)
+        means[live] = np.einsum("mtk,td->mkd", gamma, x) / mass[..., None]
+        for m, shares in zip(live, gamma, strict=True):
             for s in range(k):
-                gap = x - means[s]
-                covs[s] = (gamma[:, s, None] * gap).T @ gap / mass[s] + 1e-4 * np.eye(d)
-            if total - before < tolerance:
-                break
-            before = total
-        if best is None or total > best["log_likelihood"]:
-            best = {"start": pi, "step": a, "means": means, "covs": covs, "log_likelihood": total}
-    return best
+                gap = x - means[m, s]
+                covs[m, s] = (shares[:, s, None] * gap).T @ gap / max(shares[:, s].sum(), 1e-12) + 1e-4 * np.eye(d)
+        moved = now - total[live] >= tolerance
+        total[live] = now
+        live = live[moved]
+        if not len(live):
+            break
+    best = int(np.argmax(total))
+    return {"start": pi[best], "step": a[best], "means": means[best], "covs": covs[best], "log_likelihood": float(total[best])}

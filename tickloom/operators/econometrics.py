@@ -16,6 +16,8 @@ from ..functions import timeseries as ts
 from ..functions.windows import Series, ratio
 
 c = F.col
+#: 5 % values of the trace statistic with a constant, for two series and one.
+JOHANSEN_TRACE_5 = (15.4943, 3.8415)
 
 
 def per_series(df: DataFrame, value: str | Sequence[str], s: Series, f: Callable[..., dict[str, float]], names: Sequence[str]) -> DataFrame:
@@ -131,3 +133,44 @@ def variance_paths(df: DataFrame, value: str, s: Series) -> DataFrame:
         return {"ewma": ts.ewma_filter(r), "garch": ts.garch_filter(r, 0.05 * v, 0.05, 0.9), "gjr": ts.garch_filter(r, 0.05 * v, 0.03, 0.9, 0.04), "level": level, "smooth": smooth}
 
     return s.kernel(df, [value], {n: "double" for n in ("ewma", "garch", "gjr", "level", "smooth")}, run)
+
+
+def screen_pairs(panel: DataFrame, value: str, s: Series, method: str = "engle_granger", alpha: float = 0.05, max_half_life: float | None = None) -> DataFrame:
+    """(y, x, beta, statistic, p, half_life) of the cointegrated pairs of the panel's series, each pair over the times that both have.
+
+    Engle-Granger: both orientations, the one with the smaller p counts. Johansen: the trace statistic of rank 0; p is null. half_life is
+    that of the spread; pairs beyond ``max_half_life`` or without a pull back go if it is given. Each pair is a task's work.
+    """
+    if method not in ("engle_granger", "johansen"):
+        raise ValueError(f"unknown method {method!r}")
+    key, time = s.keys[0], s.order[0]
+    a = panel.select(time, c(key).alias("y"), c(value).alias("_y"))
+    b = panel.select(time, c(key).alias("x"), c(value).alias("_x"))
+    rows = a.join(b, time).filter((c("y") < c("x")) & c("_y").isNotNull() & c("_x").isNotNull())
+    kind = panel.schema[key].dataType.simpleString()
+
+    def half(gap: np.ndarray) -> float:
+        pull = float(np.polyfit(gap[:-1], np.diff(gap), 1)[0])
+        return -np.log(2) / pull if pull < 0 else np.inf
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(time, kind="stable")
+        one, two = part["_y"].to_numpy(float), part["_x"].to_numpy(float)
+        names = part["y"].iloc[0], part["x"].iloc[0]
+        if method == "johansen":
+            trace, _, vectors = ts.johansen(np.column_stack([one, two]))
+            beta = -vectors[1, 0] / vectors[0, 0]
+            found = [(*names, beta, trace[0], np.nan, half(one - beta * two))] if trace[0] > JOHANSEN_TRACE_5[0] else []
+        else:
+            tests = []
+            for (n, m), (y, x) in ((names, (one, two)), (names[::-1], (two, one))):
+                beta, t = ts.engle_granger(y, x)
+                tests.append((n, m, beta, t, ts.df_p_value(t, 1, len(y)), half(y - beta * x)))
+            best = min(tests, key=lambda r: r[4])
+            found = [best] if best[4] < alpha else []
+        if max_half_life is not None:
+            found = [r for r in found if 0 < r[5] <= max_half_life]
+        return pd.DataFrame(found, columns=["y", "x", "beta", "statistic", "p", "half_life"])
+
+    out = rows.groupBy("y", "x").applyInPandas(run, f"y {kind}, x {kind}, beta double, statistic double, p double, half_life double")
+    return out.withColumn("p", F.when(~F.isnan("p"), c("p")))

@@ -56,42 +56,33 @@ def _ranges(high, low, atr, least: int, width: float) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
 
 
-def trading_ranges(bars: DataFrame, least: int = 20, width: float = 6.0, window: int = 14, recovery: int = 5, reach: float = 1.5, s: Series = BARS) -> DataFrame:
-    """Adds range (number), support, resistance, and spring, upthrust, sos, sow flags against the range before."""
-    names = {"range": "bigint", "support": "double", "resistance": "double", "spring": "bigint", "upthrust": "bigint", "sos": "bigint", "sow": "bigint"}
-
-    def run(high, low, close, volume):
-        atr = k.atr(high, low, close, window)
-        n = len(close)
-        out = {name: np.full(n, np.nan) if kind == "double" or name == "range" else np.zeros(n) for name, kind in names.items()}
-        heavy = volume > np.nanmean(volume) + np.nanstd(volume)
-        for number, (a, b) in enumerate(_ranges(high, low, atr, least, width)):
-            floor, roof = low[a:b].min(), high[a:b].max()
-            out["range"][a:b], out["support"][a:b], out["resistance"][a:b] = number, floor, roof
-            for i in range(b, min(b + 30, n)):
-                tail = close[i : i + recovery + 1]
-                if low[i] < floor and floor - low[i] <= reach * atr[i] and (tail > floor).any():
-                    out["spring"][i] = 1
-                if high[i] > roof and high[i] - roof <= reach * atr[i] and (tail < roof).any():
-                    out["upthrust"][i] = 1
-                out["sos"][i] = max(out["sos"][i], close[i] > roof and heavy[i])
-                out["sow"][i] = max(out["sow"][i], close[i] < floor and heavy[i])
+def trading_ranges(bars: DataFrame, least: int = 20, width: float = 6.0, window: int = 14, s: Series = BARS) -> DataFrame:
+    """Adds range (number), support and resistance: runs of ``least`` bars or more, every window of ``least`` of which is no wider
+    than ``width`` median ranges. ``phases.range_events`` has the events in and after a range."""
+    names = {"range": "bigint", "support": "double", "resistance": "double"}
+
+    def run(high, low, close):
+        out = {name: np.full(len(close), np.nan) for name in names}
+        for number, (a, b) in enumerate(_ranges(high, low, k.atr(high, low, close, window), least, width)):
+            out["range"][a:b], out["support"][a:b], out["resistance"][a:b] = number, low[a:b].min(), high[a:b].max()
         return out
 
-    return s.kernel(bars, ["high", "low", "close", "volume"], names, run)
+    return s.kernel(bars, ["high", "low", "close"], names, run)
 
 
 def zigzag(bars: DataFrame, share: float = 0.03, s: Series = BARS) -> DataFrame:
     """Rows of swings: keys, ts, place, price, kind, strength 1."""
 
     def run(high, low):
-        price, kind = np.full(len(high), np.nan), np.full(len(high), np.nan)
+        # one bar can be both a low and the next high
+        out = {1: np.full(len(high), np.nan), -1: np.full(len(high), np.nan)}
         for place, value, sign in k.zigzag(high, low, share):
-            price[place], kind[place] = value, sign
-        return {"price": price, "kind": kind}
+            out[sign][place] = value
+        return {"_top": out[1], "_bottom": out[-1]}
 
-    rows = s.kernel(bars.withColumn("place", (s.number - 1).cast("int")), ["high", "low"], {"price": "double", "kind": "bigint"}, run)
-    return rows.filter("kind is not null").select(*s.keys, *s.order, "place", "price", c("kind").cast("int").alias("kind"), F.lit(1.0).alias("strength"))
+    rows = s.kernel(bars.withColumn("place", (s.number - 1).cast("int")), ["high", "low"], {"_top": "double", "_bottom": "double"}, run)
+    both = F.explode(F.array(*(F.struct(c(name).alias("price"), F.lit(sign).alias("kind")) for name, sign in (("_bottom", -1), ("_top", 1)))))
+    return rows.select(*s.keys, *s.order, "place", both.alias("_s")).select(*s.keys, *s.order, "place", "_s.*", F.lit(1.0).alias("strength")).filter("price is not null")
 
 
 def point_and_figure(bars: DataFrame, box: float | None = None, reversal: int = 3, window: int = 14, s: Series = BARS) -> DataFrame:

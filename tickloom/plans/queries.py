@@ -150,9 +150,10 @@ def volatility(spark, d):
 @query(f"""WITH {BARS}, a AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS step, (high + low + close) / 3 AS tp, CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) END * volume AS mfv FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
  b AS (SELECT *, tp - lag(tp) OVER w AS up FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
  e AS (SELECT *, sum(CASE WHEN up > 0 THEN tp * volume ELSE 0 END) OVER m AS pos, sum(CASE WHEN up < 0 THEN tp * volume ELSE 0 END) OVER m AS neg FROM b WINDOW {frame('m', 14)})
- SELECT symbol, ts, {r('sum(step) OVER s AS obv', 'sum(tp * volume) OVER s / sum(volume) OVER s AS vwap', 'CASE WHEN rn >= 20 THEN sum(tp * volume) OVER f / sum(volume) OVER f END AS rolling_vwap', 'sum(mfv) OVER s AS acc_dist', 'CASE WHEN rn >= 20 THEN sum(mfv) OVER f / sum(volume) OVER f END AS cmf', 'CASE WHEN rn < 15 THEN NULL WHEN neg = 0 THEN CASE WHEN pos > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + pos / neg) END AS mfi')} FROM e WINDOW {SO_FAR}, {frame('f', 20)}""")
+ SELECT symbol, ts, {r('sum(step) OVER s AS obv', 'sum(tp * volume) OVER s / sum(volume) OVER s AS vwap', 'round(CASE WHEN rn >= 20 THEN sum(tp * volume) OVER f / sum(volume) OVER f END, 5) AS rolling_vwap', 'sum(mfv) OVER s AS acc_dist', 'CASE WHEN rn >= 20 THEN sum(mfv) OVER f / sum(volume) OVER f END AS cmf', 'CASE WHEN rn < 15 THEN NULL WHEN neg = 0 THEN CASE WHEN pos > 0 THEN 100 ELSE 50 END ELSE 100 - 100 / (1 + pos / neg) END AS mfi')} FROM e WINDOW {SO_FAR}, {frame('f', 20)}""")
 def volume_flow(spark, d):
-    return I.volume_flow(hourly_bars(spark, d)).drop("open", "high", "low", "close", "volume")
+    # five places: prices in hundredths over sums of whole volumes often end in a half of the sixth
+    return I.volume_flow(hourly_bars(spark, d)).withColumn("rolling_vwap", F.round("rolling_vwap", 5)).drop("open", "high", "low", "close", "volume")
 
 
 @query(f"""WITH {BARS}, a AS (SELECT *, lag(high) OVER w AS h, lag(low) OVER w AS l, lag(close) OVER w AS cl FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)), b AS (SELECT *, (h + l + cl) / 3 AS p FROM a)

@@ -1,6 +1,6 @@
 """All queries of the library but those of the training-data subpackage."""
 
-from . import more  # noqa: F401  registers its queries
+from . import extra, more  # noqa: F401  register their queries
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
