@@ -10,7 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tickloom.llm import bpe, chat, html, langid, lines, minhash, packing, quality, queries, shared
+from tickloom.llm import bpe, embed, html, langid, lines, minhash, packing, quality, queries, shared
+from tickloom.llm.graph import connected_components, roots
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -250,9 +251,85 @@ def test_main_text_of_messy_pages():
     assert html.extract("<script>var a='<p>x</p>'</script>plain < text &copy;", []) == "plain < text ©"
 
 
-def test_viterbi_equals_all_paths():
-    rng = np.random.default_rng(0)
-    model = {"step": np.log(rng.dirichlet(np.ones(3), 4)).tolist(), "sign": np.log(rng.dirichlet(np.ones(5), 3)).tolist()}
-    seen = [0, 3, 1, 4, 2]
-    score = lambda p: model["step"][3][p[0]] + sum(model["step"][a][b] for a, b in zip(p, p[1:], strict=False)) + sum(model["sign"][s][o] for s, o in zip(p, seen, strict=True))
-    assert tuple(chat.viterbi(model, seen)) == max(np.ndindex(*[3] * 5), key=score)
+def test_embedding_links_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 24))
+    x = np.concatenate([c + s * rng.normal(size=(25, 24)) for c, s in zip(centres, rng.uniform(0.02, 0.5, 60), strict=True)] + [centres[0] + 0.05 * rng.normal(size=(700, 24))])
+    x[::2] = x[::2].astype(np.float32)  # floats and doubles
+    label = rng.integers(0, 2, len(x))
+    label[1500:] = 0  # one hot list
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    out = {r.vec_id: r for r in embed.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= embed.THRESHOLD) & (label[:, None] == label[None, :]) & ~np.eye(len(x), dtype=bool)
+    want = link.sum(1)
+    got = np.array([out[i].n_links for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.999 * want.sum()
+    low = roots(len(x), *np.nonzero(link))
+    assert np.mean([out[i].component_id == low[i] for i in range(len(x))]) >= 0.999
+
+
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_by_stars_and_in_one_task(spark, one_task):
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1_000 + i, 1_001 + i) for i in range(40)] + [(2_000, 2_000 + i) for i in range(300)]
+    out = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "u bigint, v bigint"), one_task).collect()}
+    up = roots(2_400, *np.array(pairs).T)
+    assert out == {n: int(up[n]) for a, b in pairs if a != b for n in (a, b)}
+
+
+def weighted_sets(texts):
+    out = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        out.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else Counter([tuple(w)] * bool(w)))
+    return out
+
+
+def test_near_duplicates_of_hot_groups_equal_brute_force(spark, monkeypatch):
+    """Weighted shingles, groups around the threshold, buckets of several blocks, repeated ids with other texts."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 3_000, 120)]
+    texts = [" ".join(base)] * 3
+    for k in range(150):  # copies with one to nine words changed: similarities on both sides of the threshold
+        own = list(base)
+        for i in rng.choice(len(own), 1 + k % 9, replace=False):
+            own[i] = f"n{k}x{i}"
+        texts.append(" ".join(own))
+    phrase = "one two three four five six seven"
+    texts += [" ".join([phrase] * n) for n in (10, 11, 12, 20)] + [" ".join(f"z{rng.integers(10**6)}" for _ in range(60)) for _ in range(40)] + ["", None, "a b", "a b"]
+    rows = [(i if i < 190 else 7, t) for i, t in enumerate(texts)]  # the last ones share an id with a copy
+    got = {(r.id, bytes(r.digest)): r for r in minhash.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    sets, up = weighted_sets(texts), list(range(len(texts)))
+    probability = lambda a, b: sum(1 / sum(max(a[z] / a[x], b[z] / b[x]) for z in set(a) | set(b)) for x in set(a) & set(b))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and (texts[i] == texts[j] or probability(sets[i], sets[j]) >= 0.8 - 1e-12):
+                up[max(find(i), find(j))] = min(find(i), find(j))
+    import hashlib
+
+    smallest: dict[int, int] = {}
+    for i, (n, _) in enumerate(rows):
+        smallest[find(i)] = min(smallest.get(find(i), n), n)
+    for i, (n, t) in enumerate(rows):
+        key = n, hashlib.md5(t.encode()).digest() if t is not None else b""
+        assert got[key].class_id == (smallest[find(i)] if sets[i] else n), (i, t)
+    kept = [r for r in got.values() if r.kept and r.class_id is not None]
+    assert len(got) == len({(n, t) for n, t in rows}) and sum(r.kept for r in got.values()) == len({find(i) for i in range(len(texts)) if sets[i]}) + sum(not s for s in sets)
+    assert all(r.id == r.class_id for r in kept)
+
+
+def test_one_of_each_class_stays_with_its_columns(spark):
+    clean = lambda k: " ".join(f"c{k}w{i}" for i in range(40))
+    rows = [(1, clean(1), "b"), (1, clean(1), "a"), (1, clean(2), "c"), (2, clean(1), "d"), (None, clean(1), "e"), (None, clean(3), "f"), (3, None, "g"), (4, "", "h"), (5, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, k string").withColumnRenamed("k", "digest")
+    out = minhash.keep_one(docs)
+    assert out.columns == docs.columns and sorted(r.digest for r in out.collect()) == ["a", "c", "f", "g", "h", "i"]
+    assert minhash.keep_one(docs.limit(0)).count() == 0

@@ -1,11 +1,13 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each unit vector is described by the ordered list of its nearest pivots (reference points
-drawn from the vectors by hash). Inverted lists hold, for a label and a pivot, the vectors
-that have the pivot in their list. Within a list, pairs with enough shared pivots are verified
-by cosine in double precision. A pair counts only in the list of its first shared pivot, so
-links are counted once; what leaves a task is a sum and one tie for each vector, never the
-pairs. Long lists are cut into blocks that meet block by block.
+Each vector is described by the ordered list of its nearest pivots (reference points drawn from
+the vectors by hash). Inverted lists hold, for a label and a pivot, the vectors that have the pivot
+among theirs. Two vectors are candidates if they share enough pivots; so many shared ones mean that
+the rarest of them is among the rarest few of both, and a vector stands in the lists of those few
+only. In a list the shared pivots of all pairs are counted first; pairs that reach the count, and
+whose rarest shared pivot is the list's own, are then verified by cosine in double precision, so
+each link is found once. What leaves a task is a sum and one tie for each vector, never the pairs.
+Long lists are cut into blocks that meet block by block.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .graph import connected_components
+from .graph import connected_components, roots
 
 THRESHOLD = 0.93
-#: Pivots grow with the root of the number of vectors; the nearest NEAREST describe a vector.
+#: Pivots grow with the root of the number of vectors; the nearest NEAREST describe a vector, SHARED of them make candidates.
 NEAREST = 8
-SHARED = 2
+SHARED = 3
 #: Bound on the sample of vectors that pivots are drawn from.
 PIVOT_SAMPLE = 4_096
 BLOCK = 512
@@ -54,7 +56,7 @@ def _pivots(nodes: DataFrame) -> np.ndarray:
 
 
 def _describe(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds near (the nearest pivots' numbers, nearest first) and unit (bytes of the unit vector).
+    """(label, node, copies, near, wide, data): the nearest pivots' numbers, and the bytes of the vector as floats if they hold it, else (wide) as doubles.
 
     A vector whose length isn't the pivots' has the first pivots' numbers."""
 
@@ -62,46 +64,40 @@ def _describe(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 4096):
                 part = batch.slice(i, 4096)
-                near, units = [], []
-                for v in part.column(3).to_pylist():
-                    v = np.array(v)
-                    v = v / np.abs(v).max()
-                    units.append(v / np.linalg.norm(v))
+                vectors = [np.array(v) for v in part.column(3).to_pylist()]
+                units = [_unit(v) for v in vectors]
                 same = [k for k, u in enumerate(units) if len(u) == pivots.shape[1]]
                 near = np.tile(np.arange(min(NEAREST, len(pivots))), (len(units), 1))
                 if same:
                     near[same] = np.argsort(-(np.stack([units[k] for k in same]) @ pivots.T), axis=1, kind="stable")[:, : near.shape[1]]
-                lists = pa.array(near.tolist(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists, pa.array([u.tobytes() for u in units], pa.binary())], ["label", "node", "copies", "near", "unit"])
+                with np.errstate(over="ignore"):
+                    small = [v.astype(np.float32) for v in vectors]
+                wide = [not (v == w).all() for v, w in zip(vectors, small, strict=True)]
+                data = [(v if x else w).tobytes() for v, w, x in zip(vectors, small, wide, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], ["label", "node", "copies", "near", "wide", "data"])
 
-    return nodes.select("label", "node", "copies", "v").mapInArrow(run, "label string, node bigint, copies bigint, near array<int>, unit binary")
+    return nodes.select("label", "node", "copies", "v").mapInArrow(run, "label string, node bigint, copies bigint, near array<int>, wide boolean, data binary")
 
 
-def _classes(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position of each position's component."""
-    low = np.arange(n)
-    while True:
-        now = low.copy()
-        np.minimum.at(now, i, low[j])
-        np.minimum.at(now, j, low[i])
-        now = np.minimum(now, now[now])
-        if (now == low).all():
-            return low
-        low = now
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max()
+    return v / np.linalg.norm(v)
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray] | None, pivot: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the links of two blocks, or of one with itself, that belong to this pivot's list."""
+def _links(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, own: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the links of two blocks, or of one with itself, that belong to the list of the pivot with rank ``own``; blocks have units and ranks."""
     (x, p), (y, q) = left, right or left
-    close = x @ y.T >= threshold
-    i, j = np.nonzero(np.triu(close, 1) if right is None else close)
+    names, at = np.unique(np.concatenate([p.ravel(), q.ravel()]), return_inverse=True)
+    has = np.zeros((len(p) + len(q), len(names)), np.float32)
+    has[np.repeat(np.arange(len(has)), p.shape[1]), at] = 1
+    mine, other = has[: len(p)], has[len(p) :]
+    rarer = names < own
+    near = (mine @ other.T >= min(SHARED, p.shape[1])) & (mine[:, rarer] @ other[:, rarer].T == 0)
+    i, j = np.nonzero(np.triu(near, 1) if right is None else near)
     keep = np.zeros(len(i), bool)
-    for a in range(0, len(i), 65_536):  # bounds the arrays of shared pivots
-        part = slice(a, a + 65_536)
-        same = (p[i[part]][:, :, None] == q[j[part]][:, None, :]).any(axis=2)
-        least = np.where(same, p[i[part]], np.iinfo(np.int32).max).min(axis=1)
-        # fewer pivots than NEAREST can mean that fewer than SHARED are to be had
-        keep[part] = (same.sum(axis=1) >= min(SHARED, p.shape[1])) & (least == pivot)
+    for a in range(0, len(i), 16_384):  # bounds the arrays of both sides
+        part = slice(a, a + 16_384)
+        keep[part] = np.einsum("ij,ij->i", x[i[part]], y[j[part]]) >= threshold
     return i[keep], j[keep]
 
 
@@ -116,41 +112,50 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
     rows = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
     good = F.col("v").isNotNull() & F.col("label").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = shared.cut_lineage(rows.withColumn("good", F.coalesce(good, F.lit(False))))
+    scratch = shared.Scratch(table.sparkSession)
+    rows = scratch.keep(rows.withColumn("good", F.coalesce(good, F.lit(False))))
     # equal vectors are one node with a weight
     nodes = rows.filter("good").groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    nodes = shared.cut_lineage(nodes)
-    described = shared.cut_lineage(_describe(nodes, _pivots(nodes)))
-    lists = described.select("label", F.explode("near").alias("pivot"), "node")
-    sizes = lists.groupBy("label", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).withColumnRenamed("label", "l").withColumnRenamed("pivot", "p")
+    nodes = scratch.keep(nodes)
+    described = scratch.keep(_describe(nodes, _pivots(nodes)))
+    # pivots in order of the lengths of their lists: PIVOT_SAMPLE rows at most
+    common = described.select(F.explode("near").alias("p")).groupBy("p").count().orderBy("count", "p").collect()
+    rank = F.create_map(*(x for k, r in enumerate(common) for x in (F.lit(r["p"]), F.lit(k)))) if common else F.create_map(F.lit(0), F.lit(0))
+    rarest = F.greatest(F.size("ranks") - SHARED + 1, F.lit(1))
+    listed = described.withColumn("ranks", F.array_sort(F.transform("near", lambda p: rank[p]))).drop("near")
+    listed = listed.withColumn("own_rank", F.explode(F.slice("ranks", F.lit(1), rarest)))
+    sizes = listed.groupBy("label", "own_rank").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).toDF("l", "p", "blocks")
     side = F.broadcast(sizes) if sizes.count() <= BROADCAST_LISTS else sizes
-    entries = described.withColumn("pivot", F.explode("near")).join(side, (F.col("label") == F.col("l")) & (F.col("pivot") == F.col("p")))
+    entries = listed.join(side, (F.col("label") == F.col("l")) & (F.col("own_rank") == F.col("p")))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    entries = entries.select("label", "pivot", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", F.array_sort("near").alias("near"), "unit")
+    entries = entries.select("label", "own_rank", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "ranks", "wide", "data")
 
     def run(key, part):
         _, pivot, b1, b2 = (k.as_py() for k in key)
-        part = part.sort_by("node").combine_chunks()
+        part = part.combine_chunks()
         node, own = part.column("node").to_numpy(), part.column("own").to_numpy()
         copies = part.column("copies").to_numpy()
-        near = np.array(part.column("near").to_pylist(), np.int32)
-        units = [np.frombuffer(x) for x in part.column("unit").to_pylist()]
+        ranks = np.array(part.column("ranks").to_pylist(), np.int32)
+        units = [_unit(np.frombuffer(x, float if wide else np.float32).astype(float)) for x, wide in zip(part.column("data").to_pylist(), part.column("wide").to_pylist(), strict=True)]
         first, second = [np.zeros(0, int)], [np.zeros(0, int)]
         for size in {len(u) for u in units}:
             at = np.array([i for i, u in enumerate(units) if len(u) == size])
             side = [at[own[at] == b] for b in (b1, b2)]
             if len(side[0]) and len(side[1]):
-                block = [[np.stack([units[i] for i in rows]), near[rows]] for rows in side]
+                block = [(np.stack([units[i] for i in rows]), ranks[rows]) for rows in side]
                 i, j = _links(block[0], None if b1 == b2 else block[1], pivot, threshold)
                 first.append(side[0][i])
                 second.append(side[1][j])
         i, j = np.concatenate(first), np.concatenate(second)
         counts = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
-        low, some = _classes(len(node), i, j), np.flatnonzero(counts)
-        return pa.table({"node": pa.array(node[some], pa.int64()), "links": pa.array(counts[some].astype(np.int64)), "other": pa.array(node[low[some]], pa.int64())})
+        some = np.flatnonzero(counts)
+        order = np.argsort(node, kind="stable")  # the tie is to the smallest node
+        place = np.argsort(order, kind="stable")
+        low = node[order][roots(len(node), place[i], place[j])][place]
+        return pa.table({"node": pa.array(node[some], pa.int64()), "links": pa.array(counts[some].astype(np.int64)), "other": pa.array(low[some], pa.int64())})
 
-    found = shared.cut_lineage(entries.groupBy("label", "pivot", "b1", "b2").applyInArrow(run, "node bigint, links bigint, other bigint"))
+    found = scratch.keep(entries.groupBy("label", "own_rank", "b1", "b2").applyInArrow(run, "node bigint, links bigint, other bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
     groups = nodes.select("label", "v", "node", "copies").join(links, "node", "left").join(groups, "node", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, embed, html, langid, lines, minhash, packing, quality, urlfilter
-from .shared import cut_lineage, read_table
+from .shared import Scratch, read_table
 
 
 def tokenizer_path() -> str:
@@ -21,10 +21,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = cut_lineage(chat.blocks_of(read_table(spark, sf_dir, "conversations")))
+    blocks = Scratch(spark).keep(chat.blocks_of(read_table(spark, sf_dir, "conversations")))
     known = blocks.filter(~F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
     model = chat.fit(known)
-    return chat.parse(chat.transcripts_of(blocks), model, ("conv_id", "block", "part"))
+    return chat.parse(chat.transcripts_of(blocks), model).select("conv_id", "turn_no", "role", "rendered")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
