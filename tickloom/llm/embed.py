@@ -24,9 +24,11 @@ THRESHOLD = 0.93
 #: Pivots grow with the root of the number of vectors; the nearest NEAREST describe a vector, SHARED of them make candidates.
 NEAREST = 8
 SHARED = 3
+#: Ranks of pivots that one number holds.
+PACKED = 4
 #: Bound on the sample of vectors that pivots are drawn from.
 PIVOT_SAMPLE = 4_096
-BLOCK = 512
+BLOCK = 2_048
 #: Inverted lists up to which their block counts are broadcast.
 BROADCAST_LISTS = 200_000
 
@@ -109,34 +111,42 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     vectors of different ids link. If an id is repeated, its row with the smallest (label,
     vector) counts. Rows with a null id are not part of the result; empty tables give no rows.
     """
-    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null")
-    rows = rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("r")).select("id", "r.label", "r.v")
+    floats = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    vector = F.col(vector_col) if floats else F.col(vector_col).cast("array<double>")
+    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), vector.alias("v")).filter("id is not null")
     good = F.col("v").isNotNull() & F.col("label").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     scratch = shared.Scratch(table.sparkSession)
-    rows = scratch.keep(rows.withColumn("good", F.coalesce(good, F.lit(False))))
+    # 128 bits tell vectors apart, so that they need not move to be compared
+    rows = scratch.keep(rows.withColumns({"good": F.coalesce(good, F.lit(False)), "x": F.xxhash64("v"), "y": F.xxhash64(F.lit(1), "v")}))
+    if not rows.groupBy("id").count().filter("count > 1").isEmpty():
+        rows = scratch.keep(rows.groupBy("id").agg(F.min(F.struct("label", "v", "good", "x", "y")).alias("r")).select("id", "r.*"))
     # equal vectors are one node with a weight
-    nodes = rows.filter("good").groupBy("label", "v").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    nodes = rows.filter("good").groupBy("label", "x", "y").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.min_by("v", "id").alias("v"))
     nodes = scratch.keep(nodes)
-    described = scratch.keep(_describe(nodes, _pivots(nodes)))
+    pivots = _pivots(nodes)
+    described = scratch.keep(_describe(nodes, pivots))
     # pivots in order of the lengths of their lists: PIVOT_SAMPLE rows at most
     common = described.select(F.explode("near").alias("p")).groupBy("p").count().orderBy("count", "p").collect()
-    rank = F.create_map(*(x for k, r in enumerate(common) for x in (F.lit(r["p"]), F.lit(k)))) if common else F.create_map(F.lit(0), F.lit(0))
-    rarest = F.greatest(F.size("ranks") - SHARED + 1, F.lit(1))
-    listed = described.withColumn("ranks", F.array_sort(F.transform("near", lambda p: rank[p]))).drop("near")
-    listed = listed.withColumn("own_rank", F.explode(F.slice("ranks", F.lit(1), rarest)))
+    place = {r["p"]: k for k, r in enumerate(common)}
+    rank = F.split(F.lit(",".join(str(place.get(p, 0)) for p in range(max(place, default=0) + 1))), ",").cast("array<int>")
+    width = min(NEAREST, max(len(pivots), 1))
+    pack = lambda first, n: F.aggregate(F.slice("ranks", first, n), F.lit(0).cast("bigint"), lambda a, r: a * PIVOT_SAMPLE + r)
+    listed = described.withColumn("ranks", F.array_sort(F.transform("near", lambda p: F.get(rank, p))))
+    listed = listed.withColumns({"head": pack(1, PACKED), "tail": pack(PACKED + 1, PACKED), "own_rank": F.explode(F.slice("ranks", 1, max(width - SHARED + 1, 1)))})
     sizes = listed.groupBy("label", "own_rank").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).toDF("l", "p", "blocks")
     side = F.broadcast(sizes) if sizes.count() <= BROADCAST_LISTS else sizes
     entries = listed.join(side, (F.col("label") == F.col("l")) & (F.col("own_rank") == F.col("p")))
     entries = entries.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    entries = entries.select("label", "own_rank", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "ranks", "wide", "data")
+    entries = entries.select("label", "own_rank", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "node", "copies", "head", "tail", "wide", "data")
 
     def run(key, part):
         _, pivot, b1, b2 = (k.as_py() for k in key)
         part = part.combine_chunks()
         node, own = part.column("node").to_numpy(), part.column("own").to_numpy()
         copies = part.column("copies").to_numpy()
-        ranks = np.array(part.column("ranks").to_pylist(), np.int32)
+        packed = [(part.column(name).to_numpy(), n) for name, n in (("head", min(width, PACKED)), ("tail", max(width - PACKED, 0)))]
+        ranks = np.column_stack([x // PIVOT_SAMPLE ** (n - 1 - k) % PIVOT_SAMPLE for x, n in packed for k in range(n)])
         units = [_unit(np.frombuffer(x, float if wide else np.float32).astype(float)) for x, wide in zip(part.column("data").to_pylist(), part.column("wide").to_pylist(), strict=True)]
         first, second = [np.zeros(0, int)], [np.zeros(0, int)]
         for size in {len(u) for u in units}:
@@ -158,8 +168,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     found = scratch.keep(entries.groupBy("label", "own_rank", "b1", "b2").applyInArrow(run, "node bigint, links bigint, other bigint"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
-    groups = nodes.select("label", "v", "node", "copies").join(links, "node", "left").join(groups, "node", "left")
-    member = rows.filter("good").join(groups, ["label", "v"], "left")
+    groups = nodes.select("label", "x", "y", "node", "copies").join(links, "node", "left").join(groups, "node", "left")
+    member = rows.filter("good").select("id", "label", "x", "y").join(groups, ["label", "x", "y"], "left")
     member = member.select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     alone = rows.filter("not good").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     out = member.union(alone)
