@@ -95,3 +95,26 @@ def test_streams_equal_batch(spark, tmp_path):
 
     batch = s.kernel(ticks, ["price"], {"ema": "double"}, lambda x: {"ema": kernels.ema(x, 5)}).orderBy(F.col("seq").desc()).first()
     assert last.n == 60 and last.ema == pytest.approx(batch.ema)
+
+
+def test_zero_prices_and_short_series_divide_nothing(spark):
+    from tickloom.operators import micro, portfolio
+
+    rows = made(spark, 40).withColumns({x: F.when(F.dayofmonth("ts") % 7 == 0, 0.0).otherwise(F.col(x)) for x in ("open", "high", "low", "close", "volume")})
+    for bars_ in (rows, made(spark, 1), made(spark, 0)):
+        for f in (indicators.volatility, indicators.volume_flow, indicators.roc, indicators.cci, micro.illiquidity, micro.vpin, portfolio.returns, lambda b: portfolio.time_series_momentum(b, 5)):
+            f(bars_).collect()
+
+
+def test_late_order_of_ticks_does_not_change_the_stream(spark, tmp_path):
+    rows = [("A", datetime(2024, 1, 1) + timedelta(minutes=10 * i), i, float(i % 7 + 1), 1.0) for i in range(60)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, seq long, price double, size double")
+    for k in (2, 0, 1):  # the middle comes last
+        ticks.filter(F.col("seq") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streaming_ema(stream, 5).writeStream.format("memory").queryName("late").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    value = 0.0
+    for i, price in enumerate((r[3] for r in rows), 1):
+        value += (price - value) / i if i <= 5 else (price - value) / 3
+    last = max(spark.table("late").collect(), key=lambda r: r.n)
+    assert last.n == 60 and last.ema == pytest.approx(value)
