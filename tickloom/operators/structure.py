@@ -50,10 +50,10 @@ def _ranges(high, low, atr, least: int, width: float) -> list[tuple[int, int]]:
     inside = np.zeros(len(high), bool)
     for i in range(least - 1, len(high)):
         a = atr[i - least + 1 : i + 1]
-        if not np.isnan(a).all() and high[i - least + 1 : i + 1].max() - low[i - least + 1 : i + 1].min() <= width * np.nanmedian(a):
+        if not np.isnan(a).all() and 0 < np.nanmedian(a) and high[i - least + 1 : i + 1].max() - low[i - least + 1 : i + 1].min() <= width * np.nanmedian(a):
             inside[i - least + 1 : i + 1] = True
     edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
-    return [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least]
+    return [(a, b) for a, b in zip(edge[::2], edge[1::2], strict=True) if b - a >= least and high[a:b].max() > low[a:b].min()]
 
 
 def trading_ranges(bars: DataFrame, least: int = 20, width: float = 6.0, window: int = 14, s: Series = BARS) -> DataFrame:

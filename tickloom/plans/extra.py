@@ -33,6 +33,11 @@ SQL["zigzag"] = f"""WITH RECURSIVE {BARS}, walk AS (SELECT symbol, rn, 0 AS leg,
  , found AS (SELECT symbol, ep AS place, ek AS kind FROM walk WHERE ek IS NOT NULL UNION ALL SELECT symbol, arg_max(place, rn), arg_max(leg, rn) FROM walk GROUP BY symbol HAVING arg_max(leg, rn) <> 0)
  SELECT n.symbol, n.ts, CAST(place AS INTEGER) AS place, {r('CASE kind WHEN 1 THEN high ELSE low END AS price', '1e0 AS strength')}, CAST(kind AS INTEGER) AS kind FROM found JOIN n ON n.symbol = found.symbol AND n.rn = place + 1"""
 
+SQL["trading_ranges"] = f"""WITH {BARS}, {ATR}, q AS (SELECT *, rn >= 20 AND median(atr) OVER f > 0 AND max(high) OVER f - min(low) OVER f <= 6 * median(atr) OVER f AS ok FROM atrs WINDOW {frame('f', 20)}),
+ m AS (SELECT *, coalesce(bool_or(ok) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING), false) AS inside FROM q), g AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol, inside ORDER BY ts) AS island FROM m),
+ e AS (SELECT symbol, island, min(low) AS support, max(high) AS resistance, row_number() OVER (PARTITION BY symbol ORDER BY min(rn)) - 1 AS range FROM g WHERE inside GROUP BY symbol, island HAVING count(*) >= 20 AND max(high) > min(low))
+ SELECT g.symbol, ts, {r('open', 'high', 'low', 'close', 'volume', 'support', 'resistance')}, CAST(range AS BIGINT) AS range FROM g LEFT JOIN e ON e.symbol = g.symbol AND inside AND e.island = g.island"""
+
 
 def cdf_sql(x: str) -> str:
     """The normal distribution function by its series."""
