@@ -10,9 +10,11 @@ bytes, BLAKE2b, 64 bits each.
 Each removed line has an equal one that stays: the one in the first occurrence, or that
 line's own. An occurrence that overlaps the first one stays.
 
-Scale: hashes are counted with partial aggregation; a bitmap of the repeated ones lets few
-other chunks through the second reading; no bytes of chunks move; the texts move once, to meet
-their list of removals.
+Scale: the chunks (no text) are written once as a table in the shared folder; their hashes
+are counted with partial aggregation and meet the repeated ones in a shuffle join. Chunks
+that make up more than one in ``HOT_SHARE`` of all, fewer than that many, are joined by
+broadcast instead, so that no partition of the shuffle holds a hot one. No chunk reaches the
+driver but these. No bytes of chunks move; the texts move once, to meet their list of removals.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ from . import shared
 
 #: Shorter chunks are left alone.
 MIN_CHARS = 40
-#: Repeated hashes up to which they are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Bits of the bitmap for each repeated hash, and the power of two of bits that one row of it holds.
-BITS, SLICE = 16, 16
+#: A chunk that makes up more than one in this many of all occurrences is hot; there are fewer than this many.
+HOT_SHARE = 1_000
 
 
 def chunk_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,8 +66,8 @@ def chunk_spans(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     return a, b, owner[heads], shared.span_hashes(points, a, close), close
 
 
-def _chunks(docs: DataFrame, bitmap=None) -> DataFrame:
-    """Rows (h, g, rk, id, start, size) of all chunks, or of those whose hash is in the bitmap; start and size in bytes."""
+def _chunks(docs: DataFrame) -> DataFrame:
+    """Rows (h, g, rk, id, start, size) of all chunks; start and size in bytes."""
 
     def run(batches):
         for batch in batches:
@@ -75,11 +75,6 @@ def _chunks(docs: DataFrame, bitmap=None) -> DataFrame:
                 text, offsets = shared.joined(batch.column(2)[first:stop])
                 points = shared.code_points(text)
                 a, b, owner, h, close = chunk_spans(points, offsets)
-                if bitmap is not None:
-                    bits = bitmap.value
-                    slot = h >> np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-                    on = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                    a, b, owner, h, close = a[on], b[on], owner[on], h[on], close[on]
                 widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
                 place = np.concatenate([[0], np.cumsum(widths)])
                 raw = memoryview(text.encode())
@@ -92,41 +87,25 @@ def _chunks(docs: DataFrame, bitmap=None) -> DataFrame:
     return docs.select("rk", "id", "text").mapInArrow(run, f"h bigint, g bigint, rk bigint, id {kind}, start bigint, size bigint")
 
 
-def _bitmap(repeated: DataFrame, n: int):
-    """Broadcast bits, BITS or more for each repeated hash, by the hashes' first bits; built in slices on the executors."""
-    k = max(SLICE, (n * BITS - 1).bit_length())
-
-    def run(part):
-        slot = part.column("h").to_numpy().view(np.uint64) >> np.uint64(64 - k)
-        bits = np.zeros(1 << SLICE, bool)
-        bits[(slot & np.uint64((1 << SLICE) - 1)).astype(np.int64)] = True
-        return pa.table({"slice": part.column("slice")[:1].combine_chunks(), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    # a slice holds no more than its share of distinct hashes
-    slices = repeated.select("h", F.shiftrightunsigned("h", 64 - k + SLICE).alias("slice") if k > SLICE else F.lit(0).cast("bigint").alias("slice"))
-    bits = np.zeros(1 << (k - 3), np.uint8)
-    width = 1 << (SLICE - 3)
-    for row in slices.groupBy("slice").applyInArrow(run, "slice bigint, bits binary").toLocalIterator():
-        bits[row.slice * width : (row.slice + 1) * width] = np.frombuffer(row.bits, np.uint8)
-    return repeated.sparkSession.sparkContext.broadcast(bits)
-
-
 def removals(docs: DataFrame) -> DataFrame:
     """(rk, spans): the byte spans to remove from each row key's text, in order; they do not touch."""
-    order = F.struct("id", "rk", "start")
-    counted = _chunks(docs).groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    # checkpointed so that both sides of the join are plain exchanges, whose large partitions can be split
-    repeated = shared.cut_lineage(counted.filter(F.col("n") > 1).select("h", "g", F.col("first.rk").alias("first_rk"), F.col("first.start").alias("first_start")))
-    n = repeated.count()
-    side = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
-    met = _chunks(docs, _bitmap(repeated, n)).select("h", "g", "rk", "start", "size").join(side, ["h", "g"])
+    scratch = shared.Scratch(docs.sparkSession)
+    chunks = scratch.keep(_chunks(docs))
+    counted = chunks.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rk", "start")).alias("first"))
+    repeated = scratch.keep(counted.filter(F.col("n") > 1).select("h", "g", "n", F.col("first.rk").alias("first_rk"), F.col("first.start").alias("first_start")))
+    is_hot = F.col("n") * HOT_SHARE > chunks.count()
+    hot, places = F.broadcast(repeated.filter(is_hot).drop("n")), chunks.drop("id")
+    rest = places.join(hot.select("h", "g"), ["h", "g"], "left_anti").join(repeated.filter(~is_hot).drop("n"), ["h", "g"])
+    met = rest.unionByName(places.join(hot, ["h", "g"]))
     again = met.filter((F.col("rk") != F.col("first_rk")) | (F.col("start") >= F.col("first_start") + F.col("size")))
     spans = again.groupBy("rk").agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("s"))
     # chunks are least runs, so that in order of starts the ends are in order too
     end = lambda x: x["start"] + x["size"]
     starts = F.transform(F.filter("s", lambda x, i: (i == 0) | (x["start"] > end(F.get("s", i - 1)))), lambda x: x["start"])
     ends = F.transform(F.filter("s", lambda x, i: (i == F.size("s") - 1) | (end(x) < F.get("s", i + 1)["start"])), end)
-    return spans.select("rk", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"))).alias("spans"))
+    out = scratch.keep(spans.select("rk", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"))).alias("spans")))
+    scratch.drop(chunks, repeated)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
