@@ -489,7 +489,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return docs.select(id_col, text_col).mapInArrow(shared.tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -520,5 +520,5 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(id_col, text_col).mapInArrow(shared.tidy(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .shared import Scratch
 
 #: Roles; all but the first three are one: "other".
@@ -106,7 +107,7 @@ def fit(turns: DataFrame) -> dict:
             keys = [*tally]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int32()) for i in (1, 2)), pa.array([*tally.values()], pa.int64())], ["kind", "a", "b", "n"])
 
-    rows = turns.select("turns").mapInArrow(run, "kind string, a int, b int, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
+    rows = turns.select("turns").mapInArrow(shared.tidy(run), "kind string, a int, b int, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     other = 2 * ROLES.index("other")
     step = [[OTHER_TURN if s == other else PRIOR for s in range(STATES)] for _ in range(STATES + 1)]
     seen = [[[PRIOR if k else 0.1] * size for _ in range(STATES)] for k, size in enumerate(SIZES)]
@@ -239,7 +240,7 @@ def parse(blocks: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         return pa.table({"conv_id": part.column("conv_id"), "part": part.column("part"), "before": pa.array([a for a, _ in ends], pa.int32()), "after": pa.array([b for _, b in ends], pa.int32())})
 
     tail = "part array<bigint>"
-    known = rows.join(long, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c").mapInArrow(matrices, f"conv_id {kind}, {tail}, m array<double>")
+    known = rows.join(long, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c").mapInArrow(shared.tidy(matrices), f"conv_id {kind}, {tail}, m array<double>")
     known = known.groupBy("conv_id").applyInArrow(states, f"conv_id {kind}, {tail}, before int, after int").toDF("c", "p", "before", "after")
     rows = rows.join(known, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").select("conv_id", "part", "text", "before", "after")
 
@@ -260,7 +261,7 @@ def parse(blocks: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 at = pa.array(at, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(numbers, pa.int32()), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(goes_on, pa.bool_())], ["conv_id", "part", "no", "role", "text", "goes_on"])
 
-    turns = scratch.keep(rows.mapInArrow(run, f"conv_id {kind}, {tail}, no int, role string, text string, goes_on boolean"))
+    turns = scratch.keep(rows.mapInArrow(shared.tidy(run), f"conv_id {kind}, {tail}, no int, role string, text string, goes_on boolean"))
     # turns of the blocks before each block of a long conversation; a block that goes on continues the last of them
     sizes = turns.join(long, F.col("conv_id").eqNullSafe(F.col("c"))).groupBy("conv_id", "part").agg(F.count(F.when(~F.col("goes_on"), 1)).alias("n"))
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

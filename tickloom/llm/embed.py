@@ -78,7 +78,7 @@ def _describe(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
                 data = [(v if x else w).tobytes() for v, w, x in zip(vectors, small, wide, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(near.tolist(), pa.list_(pa.int32())), pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], ["label", "node", "copies", "near", "wide", "data"])
 
-    return nodes.select("label", "node", "copies", "v").mapInArrow(run, "label string, node bigint, copies bigint, near array<int>, wide boolean, data binary")
+    return nodes.select("label", "node", "copies", "v").mapInArrow(shared.tidy(run), "label string, node bigint, copies bigint, near array<int>, wide boolean, data binary")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .shared import Scratch
 
 #: Edges that one task solves alone (16 bytes each); more take rounds of stars.
@@ -35,7 +36,7 @@ def _solved(edges: DataFrame) -> DataFrame:
             low = roots(len(names), at[: len(u)], at[len(u) :])
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[low])], ["node", "component"])
 
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node bigint, component bigint")
+    return edges.select("u", "v").coalesce(1).mapInArrow(shared.tidy(run), "node bigint, component bigint")
 
 
 def _stars(edges: DataFrame, large: bool, scratch: Scratch) -> DataFrame:

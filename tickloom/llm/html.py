@@ -550,7 +550,7 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         row = {"wrapper": wrapper.pattern(), "path": json.dumps(content_path(wrapper)), "rules": json.dumps(rules_of(wrapper), separators=(",", ":"))}
         return pa.table({"host": part.column("host")[:1].combine_chunks(), **{k: pa.array([v]) for k, v in row.items()}})
 
-    grown = distinct.mapInArrow(grow, "host string, part string")
+    grown = distinct.mapInArrow(shared.tidy(grow), "host string, part string")
     return grown.groupBy("host").applyInArrow(merge, "host string, wrapper string, path string, rules string")
 
 
@@ -577,4 +577,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(shared.tidy(run), f"id {kind}, url string, text string, n_chars bigint").withColumnRenamed("id", id_col)

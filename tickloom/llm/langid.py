@@ -140,12 +140,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             return
         found.sort(key=lambda r: r[:3])
         names = sorted({r[1] for r in found})
-        x = np.concatenate([features([r[3] for r in found[i : i + 100]]) for i in range(0, len(found), 100)])
+        x = np.empty((len(found), BUCKETS), np.float32)
+        for i in range(0, len(found), 100):
+            x[i : i + 100] = features([r[3] for r in found[i : i + 100]])
         y = np.array([names.index(r[1]) for r in found])
         model = train(x, y, names) if len(names) > 1 else {"names": names}
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    rows = training_sample(docs, id_col, text_col, lang_col).coalesce(1).mapInArrow(run, "model binary").collect()  # one row
+    rows = training_sample(docs, id_col, text_col, lang_col).coalesce(1).mapInArrow(shared.tidy(run), "model binary").collect()  # one row
     return pickle.loads(rows[0]["model"]) if rows else None
 
 
@@ -182,5 +184,5 @@ def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> Data
 
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held)))
     fields = ", ".join(f"c{i} {t.dataType.simpleString()}" for i, t in enumerate(rows.schema))
-    out = rows.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    out = rows.mapInArrow(shared.tidy(run), f"{fields}, lang_pred string, score double, ambiguous boolean")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(held)), *new)

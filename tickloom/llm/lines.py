@@ -84,7 +84,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["h", "g", "rk", "id", "start", "size"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("rk", "id", "text").mapInArrow(run, f"h bigint, g bigint, rk bigint, id {kind}, start bigint, size bigint")
+    return docs.select("rk", "id", "text").mapInArrow(shared.tidy(run), f"h bigint, g bigint, rk bigint, id {kind}, start bigint, size bigint")
 
 
 def removals(docs: DataFrame) -> DataFrame:

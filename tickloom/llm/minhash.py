@@ -124,7 +124,7 @@ def _band_rows(rows: DataFrame) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), flat, mask=pa.array(size == 0))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(size, pa.int64()), lists], ["node", "id", "digest", "size", "bands"])
 
-    return rows.select("node", "id", "text", "digest").mapInArrow(run, "node bigint, id bigint, digest binary, size bigint, bands array<bigint>")
+    return rows.select("node", "id", "text", "digest").mapInArrow(shared.tidy(run), "node bigint, id bigint, digest binary, size bigint, bands array<bigint>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                 counts = pa.ListArray.from_arrays(at, pa.array(count, pa.int32()), mask=pa.array(ones))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64))), counts], ["node", "keys", "counts"])
 
-    return rows.select("node", "text").mapInArrow(run, "node bigint, keys array<bigint>, counts array<int>")
+    return rows.select("node", "text").mapInArrow(shared.tidy(run), "node bigint, keys array<bigint>, counts array<int>")
 
 
 def _small(side: DataFrame, rows: int | None = None) -> DataFrame:

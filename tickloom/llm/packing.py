@@ -119,7 +119,7 @@ def pieces_of(docs: DataFrame, path: str, size: int, end_id: int, id_col: str, t
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return docs.select(id_col, text_col).mapInArrow(shared.tidy(run), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", per_task: int = PIECES_PER_TASK) -> DataFrame:
@@ -144,5 +144,5 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2, id_col:
         yield from table.combine_chunks().to_batches(max_chunksize=50_000)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = pieces.repartition(tasks).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    out = pieces.repartition(tasks).mapInArrow(shared.tidy(run), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
     return out.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

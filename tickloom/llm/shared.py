@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +72,22 @@ def spare_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def tidy(run: Callable) -> Callable:
+    """``run`` over a task's batches; at the task's end its freed memory goes back, as workers are used again
+    and stay beside those of later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def steps(column: pa.Array, limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with at most about ``limit`` bytes each; a longer row stands alone."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
