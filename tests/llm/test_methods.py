@@ -118,6 +118,14 @@ def test_language_codes_and_accuracy(spark):
     assert len(out) > 100 and np.mean([r.lang == r.lang_pred for r in out]) > 0.97 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_features_do_not_depend_on_parts():
+    texts = [None, "", "a", "Ärger ΣΑΣ 漢字 😀", "two words and more of them, " * 40]
+    whole = langid.features(texts)
+    for step in (1, 2, 3, 50):
+        assert (langid.features(texts, step) == whole).all()
+    assert whole[:2].sum() == 0 and np.allclose(np.linalg.norm(whole[2:], axis=1), 1)
+
+
 def test_repeated_passages_go_and_the_rest_stays(spark):
     rng = random.Random(6)
     line = lambda: prose(rng, "abcdefghij", 9).capitalize() + "."

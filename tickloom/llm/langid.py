@@ -40,30 +40,49 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def features(texts: list[str | None]) -> np.ndarray:
-    """One row of hashed n-gram frequencies (root, unit length) for each text."""
-    texts = [(t or "").lower() for t in texts]
-    points = shared.code_points("".join(texts))
-    lengths = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(lengths)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    room = np.repeat(ends, lengths) - np.arange(len(points))  # points from here to the text's end
+def features(texts: list[str | None], step: int = shared.STEP_CHARS) -> np.ndarray:
+    """One row of hashed n-gram frequencies (root, unit length) for each text. A text is counted in parts
+    of ``step`` characters, each with what the n-grams of its last characters reach beyond it, so that
+    the arrays don't grow with the longest text."""
     out = np.zeros(len(texts) * BUCKETS)
+    group: list[tuple[int, str]] = []
+    held = 0
+    for i, text in enumerate(texts):
+        text = (text or "").lower()
+        for a in range(0, len(text), step):
+            group.append((i, text[a : a + step + max(SIZES) - 1]))
+            held += len(group[-1][1])
+            if held >= step:
+                _count(group, step, out)
+                group, held = [], 0
+    if group:
+        _count(group, step, out)
+    out = np.sqrt(out.reshape(len(texts), BUCKETS))
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return (out / np.maximum(norm, 1e-12)).astype(np.float32)
+
+
+def _count(parts: list[tuple[int, str]], step: int, out: np.ndarray) -> None:
+    """Adds the n-grams that start in the first ``step`` characters of each part (row, text) to that row's buckets."""
+    points = shared.code_points("".join(t for _, t in parts))
+    lengths = np.array([len(t) for _, t in parts], np.int64)
+    first, last = parts[0][0], parts[-1][0]
+    owner = np.repeat(np.array([i - first for i, _ in parts], np.int64), lengths)
+    rows = out[first * BUCKETS : (last + 1) * BUCKETS]
+    room = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # points from here to the part's end
+    own = np.repeat(lengths, lengths) - room < step
     with np.errstate(over="ignore"):
         h = np.zeros(len(points), np.uint64)
         for n in range(1, max(SIZES) + 1):
-            if n > 1 and n > len(points):
+            if n > len(points):
                 break
             shifted = np.zeros(len(points), np.uint64)
             shifted[: len(points) - n + 1] = points[n - 1 :]
             h = h * np.uint64(0x100000001B3) + shifted + np.uint64(n)
             if n in SIZES:
-                inside = np.flatnonzero(room >= n)
+                inside = np.flatnonzero(own & (room >= n))
                 bucket = (shared.mix(h[inside]) & np.uint64(BUCKETS - 1)).astype(np.int64)
-                out += np.bincount(owner[inside] * BUCKETS + bucket, minlength=len(out))
-    out = np.sqrt(out.reshape(len(texts), BUCKETS))
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return (out / np.maximum(norm, 1e-12)).astype(np.float32)
+                rows += np.bincount(owner[inside] * BUCKETS + bucket, minlength=len(rows))
 
 
 def code(k: int, seed: int = 7) -> np.ndarray:
