@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed, html, langid, lines, minhash, packing, quality, urlfilter
+from . import audit, bpe, chat, embed, html, langid, lines, minhash, packing, phrases, quality, substrings, urlfilter
 from .shared import Scratch, read_table
 
 
@@ -64,10 +64,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup(read_table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     made = (op1_line_dedup, op2_chat_formatting, op3_embedding_near_dedup, op4_quality_rules, op5_html_extraction, op6_best_fit_packing, op7_minhash_near_dedup)
-    return {f.__name__: f for f in (*made, op8_bpe_round_trip, op9_url_filters, op10_language_id)}
+    return {f.__name__: f for f in (*made, op8_bpe_round_trip, op9_url_filters, op10_language_id, op11_filter_audit, op12_substring_dedup, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_filter_audit": audit.SQL, "op13_phrase_collocations": phrases.SQL}
