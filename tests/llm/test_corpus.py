@@ -123,7 +123,7 @@ def test_collocations_of_an_empty_table(spark):
 
 
 def plain_audit(rows, labels):
-    good, toxic = ({k for k, *v in labels if v[i] == 1} for i in (0, 1))
+    good, toxic = ({k for k, *v in labels if v[i] == 1 and k is not None} for i in (0, 1))
     first = {}
     for key, text, _ in rows:
         if key is not None:
