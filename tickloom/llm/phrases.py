@@ -31,7 +31,9 @@ from . import shared
 #: Words of a shard; a piece without an end may be longer.
 SHARD_WORDS = 1_000_000
 #: ANDs of two blocks that one step makes, which bounds its arrays.
-STEP_PAIRS = 4_000_000
+STEP_PAIRS = 500_000
+#: Documents of a batch that are read at once.
+READ_ROWS = 256
 #: Most bits of the filter, 32 MB.
 FILTER_BITS = 1 << 28
 #: Bytes of a text that are split at once.
@@ -149,7 +151,7 @@ def shards(batches) -> Iterator[Shard]:
     held: list[tuple[str, bytes]] = []
     by_lang: dict[str, _Words] = {}
     parts, n = [], 0
-    for batch in batches:
+    for batch in (whole.slice(i, READ_ROWS) for whole in batches for i in range(0, whole.num_rows, READ_ROWS)):
         for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
             for tokens in tokens_of(raw):
                 table = by_lang.get(lang)
