@@ -9,7 +9,7 @@ import pytest
 from tickloom.functions import hmm, kernels, special
 from tickloom.functions import timeseries as ts
 from tickloom.operators import backtest, options, portfolio, temporal
-from tickloom.operators.bars import imbalance_ends, threshold_ends
+from tickloom.operators.bars import imbalance_ends, runs_ends, threshold_ends
 
 
 def test_averages():
@@ -168,3 +168,55 @@ def test_error_correction_trend_and_walks():
     assert markov.stationary(np.array([[0.9, 0.1], [0.3, 0.7]])) == pytest.approx([0.75, 0.25])
     assert bracket_letters(54)[-3:] == ["z", "AA", "AB"]
     assert markov.simulate_tensor({("a", "b"): {"a": 1.0}, ("b", "a"): {"b": 1.0}}, ("a", "b"), 4) == list("ababab")
+
+
+def test_p_values_are_the_published_ones():
+    """A unit root's p value is 5 % at the asymptotic 5 % value, and rises without a gap."""
+    for case, five in (("n", -1.941), ("c", -2.8615), ("ct", -3.4105), (1, -3.3377), (2, -3.7429)):
+        assert abs(ts.df_p_value(five, case, 10_000) - 0.05) < 0.002
+        at = np.linspace(-15, 0.5, 400)
+        p = np.array([ts.df_p_value(t, case, 100) for t in at])
+        assert (np.diff(p) >= -0.005).all() and np.abs(np.diff(p)).max() < 0.03
+    assert ts.df_p_value(-30, "c", 50) == 0 and ts.df_p_value(5, "c", 50) == 1
+    assert ts.kpss_p_value(0.463) == pytest.approx(0.05) and ts.kpss_p_value(9) == 0.01 and ts.kpss_p_value(0.0, True) == 0.1
+
+
+def _plain_supertrend(high, low, close, width):
+    up, down, side, out = None, None, 1, []
+    for i in range(len(close)):
+        a, b = (high[i] + low[i]) / 2 + width[i], (high[i] + low[i]) / 2 - width[i]
+        if up is not None:
+            a = a if close[i - 1] > up else min(a, up)
+            b = b if close[i - 1] < down else max(b, down)
+            side = -1 if side == 1 and close[i] < b else 1 if side == -1 and close[i] > a else side
+        up, down = a, b
+        out.append((b if side == 1 else a, side))
+    return out
+
+
+def test_supertrend_and_adaptive_bars_equal_plain_loops():
+    rng = np.random.default_rng(6)
+    close = 100 + rng.normal(size=400).cumsum()
+    high, low = close + rng.random(400), close - rng.random(400)
+    width = np.concatenate([np.full(5, np.nan), 1 + rng.random(395)])
+    line, side = kernels.supertrend(high, low, close, width)
+    assert np.isnan(line[:5]).all() and set(side[5:]) == {1, -1}
+    assert np.allclose(np.column_stack([line[5:], side[5:]]), _plain_supertrend(high[4:], low[4:], close[4:], np.concatenate([[1e9], width[5:]]))[1:])
+    for least, threshold in ((1, 5.0), (7, 2.0), (1, 0.0)):
+        sign = rng.choice([-1.0, 0.0, 1.0], 3000)
+        for ends, sizes in ((imbalance_ends, lambda part: abs(part.sum())), (runs_ends, lambda part: max((part > 0).sum(), (part < 0).sum()))):
+            found, limit, start, bar = np.full(3000, np.nan), threshold, 0, 0
+            for i in range(3000):
+                size = sizes(sign[start : i + 1])
+                if i + 1 - start >= least and size >= limit:
+                    found[start : i + 1] = bar
+                    limit = 0.2 * size + 0.8 * limit
+                    limit, start, bar = limit if limit >= 1e-9 else threshold, i + 1, bar + 1
+            assert np.array_equal(ends(sign, threshold, 0.2, least), found, equal_nan=True)
+
+
+def test_symbols_stay_apart(spark):
+    from tickloom.operators import markov
+
+    rows = spark.createDataFrame([(s,) for s in ("view", "error", "signup", "click", "buy", "error", None)], "state string")
+    assert {r.state: r.symbol for r in markov.symbols(rows, "state").collect()} == {"buy": 0, "click": 1, "error": 2, "signup": 3, "view": 4}

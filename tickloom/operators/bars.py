@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,10 @@ def resample(bars: DataFrame, every: str) -> DataFrame:
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+#: A fixed value: adaptive limits below it start anew.
+SMALLEST_LIMIT = 1e-9
+
+
 def with_tick_sign(ticks: DataFrame, series: Series = TICKS, first: int = 0) -> DataFrame:
     """Adds ``sign``; windows can't be nested, so the change is a column first."""
     ticks = ticks.withColumn("_change", F.nullif(F.signum(F.col("price") - series.lag("price")), F.lit(0.0)))
@@ -43,31 +49,40 @@ def threshold_ends(weight: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def imbalance_ends(signed: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
-    """A bar ends when the imbalance reaches a threshold that adapts to past imbalances."""
-    out, total, bar, start, limit = np.full(len(signed), np.nan), 0.0, 0, 0, threshold
-    for i, w in enumerate(signed.tolist()):
-        total += w
-        if i + 1 - start >= least and abs(total) >= limit:
-            out[start : i + 1] = bar
-            limit = alpha * abs(total) + (1 - alpha) * limit
-            limit = threshold if limit < 1e-9 else limit
-            total, bar, start = 0.0, bar + 1, i + 1
+def adaptive_ends(measure: Callable[[int, int, int], np.ndarray], n: int, threshold: float, alpha: float, least: int) -> np.ndarray:
+    """Number of the bar each tick belongs to, as above, by a limit that follows the sizes of past bars.
+
+    measure(start, a, b): how large a bar from tick ``start`` on would be if it ended with each of the ticks a to b - 1. The
+    next end is searched in steps that double, so the loop goes over bars, not ticks. A limit that dies out starts anew.
+    """
+    out, limit, bar, start, least = np.full(n, np.nan), threshold, 0, 0, max(least, 1)
+    a, step = least - 1, 64
+    while a < n:
+        sizes = measure(start, a, min(a + step, n))
+        hit = int(np.argmax(sizes >= limit)) if (sizes >= limit).any() else -1
+        if hit < 0:
+            a, step = a + step, 2 * step
+            continue
+        out[start : a + hit + 1] = bar
+        limit += alpha * (float(sizes[hit]) - limit)
+        if limit < SMALLEST_LIMIT:
+            limit = threshold
+        bar, start = bar + 1, a + hit + 1
+        a, step = start + least - 1, 64
     return out
 
 
+def imbalance_ends(signed: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
+    """A bar ends when the imbalance, of either sign, reaches the limit."""
+    total = np.concatenate([[0.0], np.cumsum(signed)])
+    return adaptive_ends(lambda start, a, b: np.abs(total[a + 1 : b + 1] - total[start]), len(signed), threshold, alpha, least)
+
+
 def runs_ends(sign: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
-    """A bar ends when the ticks of one side reach a threshold that adapts likewise."""
-    out, up, down, bar, start, limit = np.full(len(sign), np.nan), 0, 0, 0, 0, threshold
-    for i, s in enumerate(sign.tolist()):
-        up, down = up + (s > 0), down + (s < 0)
-        most = max(up, down)
-        if i + 1 - start >= least and most >= limit:
-            out[start : i + 1] = bar
-            limit = alpha * most + (1 - alpha) * limit
-            limit = threshold if limit < 1e-9 else limit
-            up, down, bar, start = 0, 0, bar + 1, i + 1
-    return out
+    """A bar ends when the ticks of one side reach the limit."""
+    sides = [np.concatenate([[0], np.cumsum(side)]) for side in (sign > 0, sign < 0)]
+    most = lambda start, a, b: np.maximum(*(s[a + 1 : b + 1] - s[start] for s in sides))
+    return adaptive_ends(most, len(sign), threshold, alpha, least)
 
 
 def _bars_of(ticks: DataFrame) -> DataFrame:

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import timeseries as ts
 from ..functions.windows import Series, ratio
+from .multivariate import critical
 
 c = F.col
-#: 5 % values of the trace statistic with a constant, for two series and one.
-JOHANSEN_TRACE_5 = (15.4943, 3.8415)
 
 
 def per_series(df: DataFrame, value: str | Sequence[str], s: Series, f: Callable[..., dict[str, float]], names: Sequence[str]) -> DataFrame:
@@ -135,8 +134,9 @@ def variance_paths(df: DataFrame, value: str, s: Series) -> DataFrame:
     return s.kernel(df, [value], {n: "double" for n in ("ewma", "garch", "gjr", "level", "smooth")}, run)
 
 
-def screen_pairs(panel: DataFrame, value: str, s: Series, method: str = "engle_granger", alpha: float = 0.05, max_half_life: float | None = None) -> DataFrame:
-    """(y, x, beta, statistic, p, half_life) of the cointegrated pairs of the panel's series, each pair over the times that both have.
+def screen_pairs(panel: DataFrame, value: str, s: Series, method: str = "engle_granger", alpha: float = 0.05, max_half_life: float | None = None, all_pairs: bool = False) -> DataFrame:
+    """(y, x, beta, statistic, p, half_life, cointegrated) of the cointegrated pairs of the panel's series (of all with
+    ``all_pairs``), each pair over the times that both have.
 
     Engle-Granger: both orientations, the one with the smaller p counts. Johansen: the trace statistic of rank 0; p is null. half_life is
     that of the spread; pairs beyond ``max_half_life`` or without a pull back go if it is given. Each pair is a task's work.
@@ -160,17 +160,17 @@ def screen_pairs(panel: DataFrame, value: str, s: Series, method: str = "engle_g
         if method == "johansen":
             trace, _, vectors = ts.johansen(np.column_stack([one, two]))
             beta = -vectors[1, 0] / vectors[0, 0]
-            found = [(*names, beta, trace[0], np.nan, half(one - beta * two))] if trace[0] > JOHANSEN_TRACE_5[0] else []
+            found = [(*names, beta, trace[0], np.nan, half(one - beta * two), bool(trace[0] > critical(2, 1)[1]))]
         else:
             tests = []
             for (n, m), (y, x) in ((names, (one, two)), (names[::-1], (two, one))):
                 beta, t = ts.engle_granger(y, x)
                 tests.append((n, m, beta, t, ts.df_p_value(t, 1, len(y)), half(y - beta * x)))
             best = min(tests, key=lambda r: r[4])
-            found = [best] if best[4] < alpha else []
+            found = [(*best, bool(best[4] < alpha))]
         if max_half_life is not None:
-            found = [r for r in found if 0 < r[5] <= max_half_life]
-        return pd.DataFrame(found, columns=["y", "x", "beta", "statistic", "p", "half_life"])
+            found = [(*r[:6], r[6] and 0 < r[5] <= max_half_life) for r in found]
+        return pd.DataFrame([r for r in found if all_pairs or r[6]], columns=["y", "x", "beta", "statistic", "p", "half_life", "cointegrated"])
 
-    out = rows.groupBy("y", "x").applyInPandas(run, f"y {kind}, x {kind}, beta double, statistic double, p double, half_life double")
+    out = rows.groupBy("y", "x").applyInPandas(run, f"y {kind}, x {kind}, beta double, statistic double, p double, half_life double, cointegrated boolean")
     return out.withColumn("p", F.when(~F.isnan("p"), c("p")))

@@ -73,7 +73,7 @@ def log_likelihood(states: DataFrame, counts: DataFrame, s: Series, state: str =
     return joined.groupBy(*s.keys).agg(F.sum(F.ln(F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-12)))).alias("log_likelihood"), F.count(F.lit(1)).alias("n"))
 
 
-def gaussian_hmm(df: DataFrame, features: Sequence[str], n_states: int, s: Series, restarts: int = 3) -> DataFrame:
+def gaussian_hmm(df: DataFrame, features: Sequence[str], n_states: int, s: Series, restarts: int = 5, steps: int = 200) -> DataFrame:
     """Adds state: the likeliest path of a Gaussian model fitted to each series, states in order of their first mean."""
 
     def run(*columns):
@@ -81,7 +81,7 @@ def gaussian_hmm(df: DataFrame, features: Sequence[str], n_states: int, s: Serie
         good = ~np.isnan(x).any(axis=1)
         out = np.full(len(x), np.nan)
         if good.sum() > 5 * n_states:
-            m = hmm.fit_gaussian(x[good], n_states, restarts, 50)
+            m = hmm.fit_gaussian(x[good], n_states, restarts, steps)
             path = hmm.viterbi(hmm.gaussian_emissions(x[good], m["means"], m["covs"]), np.log(m["step"] + 1e-12), np.log(m["start"] + 1e-12))
             out[good] = np.argsort(np.argsort(m["means"][:, 0]))[path]
         return {"state": out}
@@ -115,6 +115,11 @@ def half_life(df: DataFrame, value: str, s: Series) -> DataFrame:
     return out.select(*s.keys, F.when(c("b") < 0, -F.ln(F.lit(2.0)) / F.when(c("b") < 0, c("b"))).otherwise(F.lit(float("inf"))).alias("half_life"))
 
 
+def symbols(df: DataFrame, state: str) -> DataFrame:
+    """(state, symbol): the different states numbered from 0 in their order; null has no number."""
+    return df.select(state).distinct().filter(c(state).isNotNull()).withColumn("symbol", (F.row_number().over(Window.orderBy(state)) - 1).cast("int"))
+
+
 def discrete_hmm(df: DataFrame, symbol: str, n_states: int, n_symbols: int, keys: Sequence[str], order: str | Sequence[str], restarts: int = 5, steps: int = 200) -> DataFrame:
     """(keys, log_likelihood, path): Baum-Welch fit and Viterbi path of each series of symbols 0..n-1."""
 

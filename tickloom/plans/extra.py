@@ -196,7 +196,7 @@ def model_features(spark, d):
 
 @query()
 def screen_pairs(spark, d):
-    return econometrics.screen_pairs(shapes.panel(spark, d).withColumn("x", F.ln("close")), "x", PANELS, alpha=0.9999)
+    return econometrics.screen_pairs(shapes.panel(spark, d).withColumn("x", F.ln("close")), "x", PANELS, all_pairs=True)
 
 
 # Operators that no query showed -------------------------------------------------------------------

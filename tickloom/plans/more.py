@@ -101,13 +101,14 @@ def ornstein_uhlenbeck(spark, d):
 def gaussian_hmm(spark, d):
     b = hourly_bars(spark, d)
     b = b.withColumns({"_r": F.ln(c("close") / PANELS.lag("close")), "_v": F.ln(c("volume") + 1)})
-    return markov.gaussian_hmm(b, ["_r", "_v"], 3, PANELS, restarts=1).select("symbol", "ts", "state")
+    return markov.gaussian_hmm(b, ["_r", "_v"], 3, PANELS).select("symbol", "ts", "state")
 
 
 @query()
 def discrete_hmm(spark, d):
-    rows = _states(spark, d).withColumn("k", F.pmod(F.xxhash64("state"), F.lit(5)).cast("int"))
-    return markov.discrete_hmm(rows, "k", 2, 5, ("user_id",), ("ts", "event_id")).select("user_id", "log_likelihood", F.size("path").alias("n"))
+    rows = _states(spark, d)
+    symbols = markov.symbols(rows, "state")
+    return markov.discrete_hmm(rows.join(symbols, "state"), "symbol", 2, symbols.count(), ("user_id",), ("ts", "event_id")).select("user_id", "log_likelihood", F.size("path").alias("n"))
 
 
 
