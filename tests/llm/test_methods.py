@@ -223,34 +223,99 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(out[i].kept == (out[i].class_id == i) for i in out)
 
 
+def _prose(seed, n):
+    return " ".join(f"{seed}w{k}" for k in range(n))
+
+
 def test_wrapper_marks_slots_repeats_and_options():
     page = lambda items, body, ad: f"<body><ul>{''.join(f'<li>{i}</li>' for i in items)}</ul>{'<i>note</i>' if ad else ''}<div class=x><p>{body}</p></div><p>fixed</p></body>"
-    pattern, path = html.infer([page("ab", "first text " * 9, True), page("abc", "second text " * 9, False), page("a", "third one " * 9, False)])
+    pattern, path = html.infer([page("ab", _prose("a", 9), True), page("abc", _prose("b", 9), False), page("a", _prose("c", 9), False)])
     assert "li(_)" in pattern or "li(*)" in pattern
     assert "+" in pattern and "i(_)?" in pattern and "p(_)" in pattern and path[:2] == ["body", "div.x"]
     assert html.extract(page("abc", "fourth text", True), path) == "fourth text"
 
 
 def test_wrappers_decide_before_markup(spark):
-    story = lambda i: f"<p>story {i} begins {'abc ' * i}</p><p>and {i} goes on</p>"
+    story = lambda i: f"<p>story {i} begins {_prose(i, 30)}</p><p>and {i} goes on</p>"
     page = lambda i: f"<body><div class=top><article class=card><p>Teaser</p></article><article class=card><p>Other teaser</p></article></div><article class=full><h1>Title {i}</h1>{story(i)}<div class=x1>Printed by the house</div></article></body>"
     rows = [(i, f"http://a.org/{i}", page(i)) for i in range(1, 9)] + [(20, "http://single.org/", page(20))]
     texts = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     for i in range(1, 9):
-        assert texts[i] == f"Title {i}\n\n" + " ".join(f"story {i} begins {'abc ' * i}".split()) + f"\n\nand {i} goes on"
-    assert texts[20] == "Teaser"  # no second page, so that markup alone decides
+        assert texts[i] == f"Title {i}\n\nstory {i} begins {_prose(i, 30)}\n\nand {i} goes on"
+    assert texts[20] == f"Title 20\n\nstory 20 begins {_prose(20, 30)}\n\nand 20 goes on\n\nPrinted by the house"  # markup alone decides
 
 
 def test_wrappers_grow_over_all_distinct_pages(spark):
-    page = lambda i, rare: f"<body><div class=a><h2>House text</h2><p>story {i} {'xyz ' * i}</p>{'<div>Only on few pages</div>' if rare else ''}</div></body>"
+    page = lambda i, rare: f"<body><div class=a><div>House text</div><h2>Summary</h2><p>story {i} {_prose(i, 30)}</p>{'<div>Only on few pages</div>' if rare else ''}</div></body>"
     pages = [page(i, i > 36) for i in range(1, 41)]
     rows = [(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)] + [(100 * k + i, f"http://copies{i}.org/{k}", pages[i]) for i in range(8) for k in range(1, 13)] + [(5000 + i, f"http://copies{i}.org/x", pages[i + 9]) for i in range(8)]
     frame = spark.createDataFrame(rows, "page_id int, url string, html string")
     texts = {r.page_id: r.text for r in html.main_text(frame).collect()}
-    want = [" ".join(f"story {i} {'xyz ' * i}".split()) for i in range(1, 41)]
-    assert [texts[i] for i in range(40)] == want  # no text of four rare pages either
-    for i in range(8):  # twelve copies of a page are one page
-        assert texts[100 + i] == want[i] and texts[5000 + i] == want[i + 9]
+    want = [f"Summary\n\nstory {i} {_prose(i, 30)}" for i in range(1, 41)]
+    assert [texts[i] for i in range(40)] == want  # headings stay; no text of four rare pages
+    for i in range(8):  # twelve copies of a page are one page, and two pages prove no template
+        assert texts[100 + i] == "House text\n\n" + want[i] and texts[5000 + i] == "House text\n\n" + want[i + 9]
+
+
+def test_near_equal_pages_keep_their_story(spark):
+    page = lambda day: f"<body><div class=m><div class=d>{day} May</div><h1>The title</h1><div class=s><p>{_prose('s', 80)}</p><p>End.</p></div></div></body>"
+    other = f"<body><div class=m><div class=d>9 June</div><h1>Another</h1><div class=s><p>{_prose('o', 80)}</p><p>Stop.</p></div></div></body>"
+    rows = [(i, "http://a.org/x", page(i)) for i in (1, 2)] + [(10 + i, "http://b.org/x", page(i)) for i in range(6)] + [(20, "http://b.org/y", other), (30, "http://alone.org/", page(1))]
+    texts = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    want = lambda day: f"{day} May\n\nThe title\n\n{_prose('s', 80)}\n\nEnd."
+    assert all(texts[i] == want(i) for i in (1, 2)) and all(texts[10 + i] == want(i) for i in range(6)) and texts[30] == want(1)
+    assert texts[20] == f"9 June\n\nAnother\n\n{_prose('o', 80)}\n\nStop."
+
+
+def _hosts(seed, hosts, pages):
+    """Pages without any telling markup, and their main texts: menus, notes and legal text around a story whose layout varies."""
+    rng = np.random.default_rng(seed)
+    word = lambda k: " ".join(f"{'abcdefgh'[x % 8]}{x}" for x in rng.integers(0, 5000, k))
+    rows, want = [], {}
+    for h in range(hosts):
+        menu, legal, note = [word(2) for _ in range(6)], word(40), word(12)
+        deep = ["<div class=k>" * k + "%s" + "</div>" * k for k in (0, 3, 90)][h % 3]
+        for i in range(pages):
+            sections = [("Summary" if k % 2 else word(2), word(int(rng.integers(5, 40)))) for k in range(int(rng.integers(1, 45)))]
+            body = "".join(f"<h2>{t}</h2><p>{p}</p>" for t, p in sections)
+            html_ = f"<body><div class=ra><ul>{''.join(f'<li>{m}</li>' for m in menu)}</ul></div>{f'<div class=rb>{note}</div>' if i % 2 else ''}" + deep % f"<div class=rc>{body}</div>" + f"<div class=rd><p>{legal}</p></div></body>"
+            rows.append((h * 1000 + i, f"http://h{h}.org/{i}", html_))
+            want[h * 1000 + i] = "\n\n".join(x for pair in sections for x in pair)
+    return rows, want
+
+
+def test_wrappers_find_what_markup_alone_does_not(spark):
+    rows, want = _hosts(3, 6, 14)
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 3, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            texts = {r.page_id: r.text for r in html.main_text(frame.repartition(n)).collect()}
+            assert texts == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+    assert sum(html.extract(page, []) == want[key] for key, _, page in rows) == 0
+
+
+def test_class_names():
+    for marks in ("ad", "ads-top", "comments", "post-comments", "cookie-notice", "share", "share-buttons", "related-posts", "social_media", "site-nav", "widget-3", "newsletter signup"):
+        assert html.names_aside(marks), marks
+    for marks in ("share-price", "story related", "side-effects", "hashtags-history", "article", "download", "shared", "notice-period"):
+        assert not html.names_aside(marks), marks
+
+
+def test_long_and_deep_pages():
+    texts = [f"p{i}" for i in range(3000)]
+    page = lambda seed: "<body>" + "<div>" * 3000 + "".join(f"<p>{t}{seed}</p><ul><li>x</ul>" for t in texts) + "</div>" * 3000
+    wrapper = html.learn([page(1), page(2)])
+    again = html.Group.unpacked(wrapper.packed())
+    assert again.packed() == wrapper.packed()
+    rules = html._rule_tree(html.rules_of(wrapper))
+    assert html.extract(page(1), [], rules).split("\n\n")[:4] == ["p01", "x", "p11", "x"]
+    assert html.extract("<div>" * 70 + "<p>one</p><p>two</p>", [], rules) == "one\n\ntwo"
 
 
 def test_main_text_of_messy_pages():
