@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import audit, phrases, substrings
+from tickloom.llm import audit, langid, phrases, substrings
 
 DOCS = "doc_id bigint, text string, lang string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -159,3 +159,25 @@ def test_audit_equals_plain_counts(spark):
     got = {(r.part, r.filter_order, r.step): (r.kept, r.removed, r.redundant, r.unique_fails, r.good_lost, r.toxic_lost, r.shapley) for r in found.collect()}
     assert got == plain_audit(rows, labels)
     assert audit.audit(docs.limit(0), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).count() == 0
+
+
+def test_nine_languages_and_the_sample_bound(spark):
+    """Random-code case, decoded also by plain sums; the bound holds whatever is repeated."""
+    rng = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = {f"l{k}": rng.dirichlet(np.full(26, 0.15)) for k in range(9)}
+    text = lambda lang, n: " ".join("".join(rng.choice(list(letters), 5, p=own[lang])) for _ in range(n))
+    rows = [(i, text(f"l{i % 9}", 40), f"l{i % 9}") for i in range(540)] + [(1000 + i, "same text again", "l0") for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sample = langid.training_sample(docs, "doc_id", "text", "lang", 90).collect()
+    assert 45 <= len(sample) <= 90 and {r.lang for r in sample} == set(own)
+    assert 45 <= langid.training_sample(docs, "doc_id", "text", "lang", 20).count() <= 90  # ten for each language
+    model = langid.fit(docs)
+    assert sorted(model["names"]) == sorted(own) and model["words"].shape[0] == 9
+    out = langid.predict(docs, model).filter("doc_id < 540").collect()
+    held = [r for r in out if r.doc_id % 9 >= 0]
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97
+    x = langid.features([r.text for r in out[:30]])
+    for r, f in zip(out[:30], x @ model["w"] + model["b"], strict=True):
+        losses = [sum(t * np.log1p(np.exp(-s * v)) for t, s, v in zip(model["trust"], word, f, strict=True)) for word in model["words"]]
+        assert model["names"][int(np.argmin(losses))] == r.lang_pred

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bound on the documents of the training sample, over all languages.
-TRAINING_DOCS = 2_400
-#: Languages that can be learned: those with most documents.
-LANGUAGES = 240
+#: Bound on the documents of the training sample, over all languages; with more languages than a tenth of it, ten for each.
+TRAINING_DOCS, LEAST_DOCS = 2_400, 10
+#: Languages up to which their shares are broadcast.
+BROADCAST_LANGUAGES = 50_000
 BUCKETS = 4_096
 SIZES = (1, 2, 3)
 STEPS, RATE, DECAY = 120, 8.0, 1e-5
@@ -92,11 +92,13 @@ def code(k: int, seed: int = 7) -> np.ndarray:
         return np.array([[1] * bits] + [[1 if b >> (k - 2 - row) & 1 else -1 for b in range(bits)] for row in range(k - 1)])
     rng, best = np.random.default_rng(seed), (-1, None)
     bits = math.ceil(10 * math.log2(k))
-    for _ in range(300):
+    # distances of all pairs are k * k numbers: fewer tries for many languages
+    for _ in range(max(1, min(300, 30_000_000 // (k * k)))):
         words = rng.choice([-1, 1], (k, bits))
         words[0, np.abs(words.sum(0)) == k] *= -1  # a bit must tell some languages apart
         distance = (bits - words @ words.T) // 2 + np.eye(k, dtype=int) * bits
-        if (low := int(distance.min())) > best[0]:
+        low = int(distance.min())
+        if best[1] is None or low > best[0]:
             best = low, words
     return best[1]
 
@@ -129,20 +131,21 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bound: int = TRAINING_DOCS) -> DataFrame:
-    """Labelled rows (lang, text, place): about bound / languages different texts of each language, never more than bound in all."""
+    """Labelled rows (lang, text, place): about bound / languages different texts of each language, but ``LEAST_DOCS`` at
+    least; never more than the larger of bound and ``LEAST_DOCS`` for each language."""
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("place"))
     # different texts, so that copies don't thin the sample out
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place").alias("texts"))
-    texts = {r["lang"]: r["texts"] for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    each = max(1, bound // max(1, len(texts)))
-    share = F.lit(0.0)
-    for lang, n in sorted(texts.items()):
-        share = F.when(F.col("lang") == lang, F.lit(each / n)).otherwise(share)
-    some = rows.filter(F.pmod("place", F.lit(1_000_000_007)) < share * 1_000_000_007)
-    # the same text under one language counts once; the limit is the bound itself, whatever the hashes are
-    return some.groupBy("place", "lang").agg(F.min("text").alias("text")).orderBy(F.xxhash64("place"), "lang").limit(bound).select("lang", "text", "place")
+    counts = shared.cut_lineage(rows.groupBy("lang").agg(F.approx_count_distinct("place").alias("texts")))
+    languages = counts.count()
+    each = max(LEAST_DOCS, bound // max(1, languages))
+    shares = counts.select("lang", (each / F.col("texts") * 1_000_000_007).alias("share"))
+    met = rows.join(F.broadcast(shares) if languages <= BROADCAST_LANGUAGES else shares, "lang")
+    some = met.filter(F.pmod("place", F.lit(1_000_000_007)) < F.col("share"))
+    # the same text under one language counts once; the limit is hard, whatever the hashes are
+    different = some.groupBy("place", "lang").agg(F.min("text").alias("text"))
+    return different.orderBy(F.xxhash64("place"), "lang").limit(max(bound, each * languages)).select("lang", "text", "place")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict | None:
