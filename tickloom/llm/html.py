@@ -26,7 +26,10 @@ import re
 import sys
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import lru_cache
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,7 +90,12 @@ class Node:
 
     @property
     def key(self) -> str:
-        return self.name + re.sub(r"[0-9]+", "0", self.marks)
+        return self.name + _without_numbers(self.marks) if self.marks else self.name
+
+
+@lru_cache(1 << 16)
+def _without_numbers(marks: str) -> str:
+    return re.sub(r"[0-9]+", "0", marks)
 
 
 def parse(page: str) -> Node:
@@ -97,7 +105,7 @@ def parse(page: str) -> Node:
 
     def add_text(raw: str) -> None:
         if raw:
-            stack[-1].children.append(entities.unescape(raw))
+            stack[-1].children.append(entities.unescape(raw) if "&" in raw else raw)
 
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -144,6 +152,7 @@ def parse(page: str) -> Node:
     return root
 
 
+@lru_cache(1 << 16)
 def names_aside(marks: str) -> bool:
     """Whether classes and ids name something else than the article. A plain content word beside a weak one keeps it."""
     if ASIDE.search(marks):
@@ -203,11 +212,17 @@ class Group:
         return root.parts[0]
 
 
+#: Odd multipliers that turn one hash into the registers'.
+_TURNS = shared.mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+
+
 def sketch(text: str) -> str:
     """``SKETCH`` bytes, in hex, of the least hashes of a page's runs of three words; near-equal pages share most of them."""
-    words = text.split()
-    hashes = {hashlib.blake2b(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass"), digest_size=8 * SKETCH).digest() for i in range(max(len(words) - 2, 1))}
-    return bytes(min(h[8 * k : 8 * k + 8] for h in hashes)[-1] for k in range(SKETCH)).hex()
+    words = text.encode("utf-8", "surrogatepass").split()
+    codes = np.fromiter(map(crc32, words), np.uint64, len(words))
+    runs = codes if len(words) < 3 else (codes[:-2] * np.uint64(0x100000001B3) + codes[1:-1]) * np.uint64(0x9E3779B97F4A7C15) + codes[2:]
+    hashes = shared.mix(runs) if len(runs) else np.zeros(1, np.uint64)
+    return (shared.mix(hashes[:, None] * _TURNS).min(axis=0) & np.uint64(255)).astype(np.uint8).tobytes().hex()
 
 
 def _near(a: str, b: str) -> bool:
@@ -232,6 +247,8 @@ def _any_depth() -> None:
 
 def _raw(items: list, inside: bool = True) -> str:
     """Text of nodes and texts without what is named as something else."""
+    if len(items) == 1 and isinstance(items[0], str):
+        return items[0]
     out, todo = [], list(reversed(items))
     while todo:
         item = todo.pop()
@@ -254,8 +271,12 @@ def items_of(node: Node) -> list[tuple[str, list]]:
     out, run = [], []
 
     def flush() -> None:
-        if any(isinstance(c, str) and not c.isspace() for c in run):
-            out.append(("#", list(run)))
+        if not run:
+            return
+        for c in run:
+            if isinstance(c, str) and not c.isspace():
+                out.append(("#", list(run)))
+                break
         else:
             gap = ""
             for c in run:
@@ -303,6 +324,8 @@ def _page_group(node: Node, own: tuple[str, ...]) -> Group:
             if not text:
                 continue
             part = Group("#", text=_digest(text), mass=len(text), pages=own)
+        elif is_aside(members[0], True):
+            part = Group(key)  # what is never read has no parts
         else:
             part = _page_group(members[0], own)
         if parts and parts[-1].key == part.key:
