@@ -18,11 +18,12 @@ shard. The filter (32 MB at most) is all that the driver sees.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, words: list[tuple[str, bytes]]) -> None:
         """``ids``: word numbers in order, -1 for gaps."""
-        self.words = words
+        self.words, self._columns = words, None
         at = np.flatnonzero(ids >= 0)
         at = at[np.argsort(ids[at], kind="stable")]
         word, block = ids[at].astype(np.int64), at >> 6
@@ -90,10 +91,16 @@ class Shard:
         self.by_word, self.by_mask = self.word[order], self.mask[order]
         self.begin = np.searchsorted(self.block[order], np.arange(self.n_blocks + 1))
 
+    def columns(self) -> tuple[pa.Array, pa.Array]:
+        """Languages and words, by number."""
+        if self._columns is None:
+            self._columns = pa.array([lang for lang, _ in self.words], pa.string()), pa.array([w for _, w in self.words], pa.binary()).cast(pa.string())
+        return self._columns
+
     def hashes(self) -> np.ndarray:
         """64 bits of each word and its language."""
-        raw = b"".join(hashlib.blake2b(w, digest_size=8, key=lang.encode()[:64]).digest() for lang, w in self.words)
-        return np.frombuffer(raw, np.uint64)
+        seeds = {lang: xxhash.xxh3_64_intdigest(lang.encode()) for lang in {lang for lang, _ in self.words}}
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[lang]) for lang, w in self.words), np.uint64, len(self.words))
 
     def extend(self, group: np.ndarray, block: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
         """Blocks of the phrases one word longer: their phrase's number, the new word, block and mask, sorted."""
@@ -238,19 +245,19 @@ def phrase_counts(docs: DataFrame, longest: int, least: int, text_col: str = "te
     def run(batches):
         for shard in shards(batches):
             seen = np.flatnonzero(shard.counts)
-            yield _strings(shard.words, seen[:, None], shard.counts[seen])
+            yield _strings(shard, seen[:, None], shard.counts[seen])
             for made, counts in shard.phrases(longest, _keep(filters, shard.hashes())):
-                yield _strings(shard.words, made, counts)
+                yield _strings(shard, made, counts)
 
     counted = rows.mapInArrow(shared.tidy(run), "lang string, phrase string, k int, n bigint")
     return scratch.keep(counted.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).filter((F.col("k") == 1) | (F.col("n") >= least)))
 
 
-def _strings(words: list[tuple[str, bytes]], made: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    langs = [words[i][0] for i in made[:, 0].tolist()]
-    joined = [b" ".join([words[i][1] for i in row]) for row in made.tolist()]
-    phrase = pa.array(joined, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), phrase, pa.array(np.full(len(made), made.shape[1], np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "k", "n"])
+def _strings(shard: Shard, made: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    langs, words = shard.columns()
+    parts = [words.take(pa.array(made[:, k])) for k in range(made.shape[1])]
+    phrase = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, " ")
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(made[:, 0])), phrase, pa.array(np.full(len(made), made.shape[1], np.int32)), pa.array(counts.astype(np.int64))], ["lang", "phrase", "k", "n"])
 
 
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, top: int = 2_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
