@@ -177,6 +177,20 @@ def missing(intervals: DataFrame, start: str, end: str, keys: tuple[str, ...] =
     return gaps.unionByName(tail).unionByName(none).filter("gap_start < gap_end")
 
 
+def uncovered(asked: DataFrame, have: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """(keys, start, end): the parts of the asked [start, end) that no interval of ``have`` covers, disjoint and not touching.
+
+    One sweep over both sides' ends: between two neighbouring ends a part is open if some asked interval and none that we
+    have is on. Empty or reversed intervals count as nothing; null keys are a key of their own.
+    """
+    ends = lambda df, a, b: df.filter("start < end").select(*keys, F.explode(F.array(F.struct(c("start").alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b")), F.struct(c("end").alias("t"), F.lit(-a).alias("a"), F.lit(-b).alias("b")))).alias("e")).select(*keys, "e.*")
+    moves = ends(asked, 1, 0).unionByName(ends(have, 0, 1)).groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = Window.partitionBy(*keys).orderBy("t")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    parts = moves.select(*keys, c("t").alias("start"), F.lead("t").over(w).alias("end"), ((F.sum("a").over(so_far) > 0) & (F.sum("b").over(so_far) == 0)).alias("_open"))
+    return coverage(parts.filter("_open"), keys)
+
+
 def relative_strength(bars: DataFrame, benchmark: DataFrame, window: int = 20, s: Series = BARS) -> DataFrame:
     """Price over the benchmark's (ts, bench), relative to the first common bar, its slope and rank at each time."""
     rows = bars.select(*s.keys, "ts", "close").join(benchmark, "ts").withColumn("_q", ratio(c("close"), c("bench")))

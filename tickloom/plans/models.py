@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.ordering import cut_lineage, shared_folder
 from ..functions.windows import Series
 from ..operators import multivariate, sizing, statespace
+from ..sources import loading
 from ..sources.tables import hourly_bars, table
 from . import shapes
 from .more import PANELS
@@ -119,3 +123,27 @@ def _trades(spark, d):
 def kelly_weights(spark, d):
     limits = sizing.Sizing(lookback=LOOKBACK, sigma_target=2.0, max_name=0.3)
     return sizing.kelly_weights(sizing.panel_returns(shapes.panel(spark, d)), _trades(spark, d), REGIONS, EVERY, limits)
+
+
+#: (first day, end day) that three loads ask for, of January 2024.
+LOADS = ((5, 12), (1, 20), (1, 20))
+_ASKED = "(VALUES " + ", ".join(f"({k + 1}, TIMESTAMP '2024-01-{a:02}', TIMESTAMP '2024-01-{b:02}')" for k, (a, b) in enumerate(LOADS)) + ") AS t(load, s, e)"
+
+
+@query(f"""WITH {BARS}, q AS (SELECT * FROM {_ASKED}), k AS (SELECT load, s, e, min(s) OVER w AS ps, max(e) OVER w AS pe FROM q WINDOW w AS (ORDER BY load ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+ SELECT load, symbol, CASE WHEN ps IS NULL THEN 1 ELSE CAST(s < ps AS INTEGER) + CAST(e > pe AS INTEGER) END AS n_gaps, count(*) FILTER (WHERE ts >= s AND ts < e) AS n_bars,
+ count(*) FILTER (WHERE ts >= s AND ts < e AND (ps IS NULL OR ts < ps OR ts >= pe)) AS n_fetched, {r('sum(CASE WHEN ts >= s AND ts < e THEN close END) AS sum_close')} FROM bars, k GROUP BY load, symbol, s, e, ps, pe""")
+def incremental_load(spark, d):
+    """Three loads of all symbols into a new store: what each had to fetch, and what it returned."""
+    bars = hourly_bars(spark, d)
+    store, vendor, out = loading.GapStore(spark, f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}"), loading.from_table(bars), None
+    for k, (a, b) in enumerate(LOADS):
+        when = lambda day: F.lit(f"2024-01-{day:02}").cast("timestamp_ntz")
+        asked = bars.select("symbol").distinct().select("symbol", when(a).alias("start"), when(b).alias("end"))
+        gaps = cut_lineage(store.gaps(asked, "1h"))
+        new = vendor(gaps).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_fetched"))
+        got = loading.load(store, vendor, asked, "1h").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("close").alias("sum_close"))
+        told = got.join(gaps.groupBy("symbol").agg(F.count(F.lit(1)).cast("int").alias("n_gaps")), "symbol", "left").join(new, "symbol", "left").fillna(0, ["n_gaps", "n_fetched"])
+        told = told.select(F.lit(k + 1).alias("load"), "symbol", "n_gaps", "n_bars", "n_fetched", "sum_close")
+        out = told if out is None else out.unionByName(told)
+    return out
