@@ -13,8 +13,8 @@ from ..sources import loading
 from ..sources.tables import hourly_bars, table
 from . import shapes
 from .more import PANELS
-from .queries import RETS, query, r
-from .shapes import BARS
+from .queries import OHLCV, RETS, SQL, TW, query, r
+from .shapes import BARS, TICKS
 
 c = F.col
 REGIONS = list(range(5))
@@ -147,3 +147,29 @@ def incremental_load(spark, d):
         told = told.select(F.lit(k + 1).alias("load"), "symbol", "n_gaps", "n_bars", "n_fetched", "sum_close")
         out = told if out is None else out.unionByName(told)
     return out
+
+
+# SQL of queries registered elsewhere ---------------------------------------------------------------
+
+
+def _adaptive_sql(kinds: str, state: str, start: str, grown: str, size: str, columns: str) -> str:
+    """Bars that end when a size reaches a limit that follows past sizes. state: columns of the running sums, start: their
+    zeros, grown: with tick k added, size: from the grown ones."""
+    return f"""WITH RECURSIVE {TICKS}, d AS (SELECT *, nullif(sign(price - lag(price) OVER w), 0) AS d, row_number() OVER w AS rn FROM ticks {TW}),
+ s AS (SELECT symbol, ts, seq, rn, price, size, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), 0) AS side FROM d), k AS ({kinds}),
+ walk AS (SELECT DISTINCT symbol, kind, CAST(0 AS BIGINT) AS rn, {start}, CAST(0 AS BIGINT) AS next, CAST(-1 AS BIGINT) AS bar, false AS done, top AS lim FROM k
+ UNION ALL SELECT symbol, kind, rn, {', '.join(f'CASE WHEN done THEN 0 ELSE {x} END' for x in state.split(', '))}, next + CAST(done AS BIGINT), next, done,
+ CASE WHEN NOT done THEN lim WHEN 0.1e0 * size + 0.9e0 * lim < 1e-9 THEN top ELSE 0.1e0 * size + 0.9e0 * lim END FROM
+ (SELECT *, size >= lim AS done FROM (SELECT *, {size} AS size FROM (SELECT k.symbol, k.kind, k.rn, k.top, {grown}, walk.next, walk.lim FROM walk JOIN k ON k.symbol = walk.symbol AND k.kind = walk.kind AND k.rn = walk.rn + 1)))),
+ e AS (SELECT symbol, kind, bar FROM walk WHERE done)
+ SELECT k.symbol, walk.bar, max(k.ts) AS ts, {OHLCV}{columns} FROM walk JOIN e USING (symbol, kind, bar) JOIN k ON k.symbol = walk.symbol AND k.kind = walk.kind AND k.rn = walk.rn GROUP BY k.symbol, walk.bar, k.kind"""
+
+
+SQL["imbalance_bars"] = _adaptive_sql(
+    "SELECT *, 'tick' AS kind, side AS w, 10e0 AS top FROM s UNION ALL SELECT *, 'volume', side * size, 50e0 FROM s UNION ALL SELECT *, 'dollar', side * size * price, 2000e0 FROM s",
+    "total", "0e0 AS total", "walk.total + k.w AS total", "abs(total)", ", k.kind",
+)
+SQL["runs_bars"] = _adaptive_sql(
+    "SELECT *, 'runs' AS kind, 10e0 AS top FROM s",
+    "up, down", "CAST(0 AS BIGINT) AS up, CAST(0 AS BIGINT) AS down", "walk.up + CAST(k.side > 0 AS BIGINT) AS up, walk.down + CAST(k.side < 0 AS BIGINT) AS down", "CAST(greatest(up, down) AS DOUBLE)", "",
+)
