@@ -13,7 +13,8 @@ from ..sources import loading
 from ..sources.tables import hourly_bars, table
 from . import shapes
 from .more import PANELS
-from .queries import OHLCV, RETS, SQL, TW, query, r
+from . import extra  # noqa: F401  its SQL is built on here
+from .queries import OHLCV, RETS, SO_FAR, SQL, TW, query, r, smooth_sql
 from .shapes import BARS, TICKS
 
 c = F.col
@@ -173,3 +174,16 @@ SQL["runs_bars"] = _adaptive_sql(
     "SELECT *, 'runs' AS kind, 10e0 AS top FROM s",
     "up, down", "CAST(0 AS BIGINT) AS up, CAST(0 AS BIGINT) AS down", "walk.up + CAST(k.side > 0 AS BIGINT) AS up, walk.down + CAST(k.side < 0 AS BIGINT) AS down", "CAST(greatest(up, down) AS DOUBLE)", "",
 )
+
+
+def _wilder_sum_sql(x: str, n: int) -> str:
+    """Wilder's running sum of n, from the second row on."""
+    return f"CASE WHEN rn > {n} THEN list_reduce(list({x}) OVER s [{n + 2}:], lambda a, y: a + y - a / {n}e0, list_sum(list({x}) OVER s [2:{n + 1}])) END"
+
+
+_ADX = f"""WITH {BARS}, m AS (SELECT *, high - lag(high) OVER w AS up, lag(low) OVER w - low AS dn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ v AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0e0 END AS pl, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0e0 END AS mi FROM m),
+ t AS (SELECT *, {_wilder_sum_sql('tr', 14)} AS total, {_wilder_sum_sql('pl', 14)} AS ps, {_wilder_sum_sql('mi', 14)} AS ms, {smooth_sql('close', 20, '(2e0 / 21)')} AS mid, {smooth_sql('tr', 10, '(1e0 / 10)')} AS a10 FROM v WINDOW {SO_FAR}),
+ i AS (SELECT *, CASE WHEN total > 0 THEN 100 * ps / total WHEN total IS NOT NULL THEN 0 END AS p, CASE WHEN total > 0 THEN 100 * ms / total WHEN total IS NOT NULL THEN 0 END AS m FROM t), x AS (SELECT *, CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) WHEN p IS NOT NULL THEN 0 END AS dx FROM i)
+ SELECT symbol, ts, {r(smooth_sql('dx', 14, '(1e0 / 14)', 14) + ' AS adx', 'p AS plus_di', 'm AS minus_di', 'mid + 2 * a10 AS kc_upper', 'mid - 2 * a10 AS kc_lower')} FROM x WINDOW {SO_FAR}"""
+SQL["recursive_indicators"] = f"SELECT * FROM ({_ADX}) JOIN " + " JOIN ".join(f"({SQL[name]}) USING (symbol, ts)" for name in ("kama", "layered_averages", "parabolic_sar", "supertrend"))
