@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,3 +70,29 @@ def lagged(df: DataFrame, value: str, lags: int, number: str, keys: Sequence[str
     w = Window.partitionBy(*keys, "_block").orderBy(number)
     rows = rows.withColumns({f"{value}_{k}": F.lag(value, k).over(w) for k in range(1, lags + 1)})
     return rows.filter(F.col("_own") == F.col("_block")).drop("_own", "_block")
+
+
+def whole_blocks(frames: Iterator[pd.DataFrame], heads: Sequence[str], rows: int = 65_536) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of about ``rows`` rows made of whole blocks (rows equal in ``heads``, which lie together), and where the blocks begin in them."""
+    held: list[pd.DataFrame] = []
+
+    def starts(f: pd.DataFrame) -> np.ndarray:
+        first = np.zeros(len(f), bool)
+        first[:1] = True
+        for h in heads:
+            v = f[h]
+            first[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy(bool)[1:]
+        return np.flatnonzero(first)
+
+    for frame in frames:
+        held.append(frame)
+        if sum(map(len, held)) >= rows:
+            whole = pd.concat(held, ignore_index=True)
+            at = starts(whole)
+            if len(at) > 1:
+                yield whole.iloc[: at[-1]], at[:-1]
+                whole = whole.iloc[at[-1] :]
+            held = [whole]
+    if held and sum(map(len, held)):
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, starts(whole)

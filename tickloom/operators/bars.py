@@ -1,16 +1,22 @@
-"""Bars from ticks: time bars in SQL, information-driven bars by a sequential kernel."""
+"""Bars from ticks: time bars in SQL, threshold bars by a scan over blocks, adaptive bars by a sequential kernel."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import cut_lineage, in_order, join_on, whole_blocks
 from ..functions.windows import Series
 
+TICK = ("symbol", "ts", "seq", "price", "size")
 TICKS = Series(("symbol",), ("ts", "seq"))
+#: Ticks of a block, and blocks up to which their open sums are broadcast; beyond, they meet the ticks in a shuffle join.
+BLOCK_ROWS, BROADCAST_BLOCKS = 65_536, 100_000
 
 
 def time_bars(ticks: DataFrame, every: str, offset: str | None = None) -> DataFrame:
@@ -38,19 +44,112 @@ def with_tick_sign(ticks: DataFrame, series: Series = TICKS, first: int = 0) ->
     return ticks.withColumn("sign", F.coalesce(series.carried(F.col("_change")), F.lit(float(first)))).drop("_change")
 
 
+def _units(threshold: float, rows: int) -> tuple[float, int]:
+    """(scale, limit): weights count in whole units, as fine as sums over so many rows allow, so that a sum doesn't depend on where it begins."""
+    scale = 10.0 ** math.floor(math.log10(2**62 / (threshold * (rows + 1))))
+    return scale, round(threshold * scale)
+
+
+def _totals(weight: np.ndarray, threshold: float, scale: float, limit: int) -> np.ndarray:
+    """Running sums in units, from 0; weights that are missing or negative are 0, and none is above the limit."""
+    known = np.clip(np.nan_to_num(weight.astype(float), nan=0.0, posinf=threshold, neginf=0.0), 0.0, threshold)
+    return np.concatenate([[0], np.cumsum(np.minimum(np.rint(known * scale).astype("int64"), limit))])
+
+
+def block_map(total: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of ticks does to the sum of the bar that is open before it: (least, bars, open), rising in least.
+
+    The last entry whose least is not above that sum tells how many bars end in the block and the sum that stays open; if there
+    is none, no bar ends and the block's total is added. A step leads from each place to where the next bar begins; steps are
+    joined pairwise until all stand still. Entries are at most as many as the ticks of the block or, where chains of bars meet, far fewer.
+    """
+    n = len(total) - 1
+    to = np.searchsorted(total, total + limit)
+    bars = (to <= n).astype("int64")
+    last = np.where(to <= n, to, np.arange(n + 1))
+    while not np.array_equal(further := last[last], last):
+        bars, last = bars + bars[last], further
+    at = np.arange(n, 0, -1)
+    at = at[total[at] > 0]
+    made, left = bars[at] + 1, total[n] - total[last[at]]
+    new = np.ones(len(at), bool)
+    new[1:] = (made[1:] != made[:-1]) | (left[1:] != left[:-1])
+    return (limit - total[at])[new], made[new], left[new]
+
+
+def block_bars(total: np.ndarray, limit: int, open_sum: int, first: int) -> np.ndarray:
+    """Number of the bar of each tick of a block, then that of the bar after it, given the sum that is open before it and that bar's number."""
+    to, at, begins = np.searchsorted(total, total + limit).tolist(), int(np.searchsorted(total, limit - open_sum)), np.zeros(len(total), "int64")
+    while at < len(total):
+        begins[at] = 1
+        at = to[at]
+    return first + np.cumsum(begins)
+
+
 def threshold_ends(weight: np.ndarray, threshold: float) -> np.ndarray:
-    """Number of the bar each tick belongs to; NaN for a bar that stays open. The overshoot is dropped."""
-    out, total, bar, start = np.full(len(weight), np.nan), 0.0, 0, 0
-    for i, w in enumerate(weight.tolist()):
-        total += w
-        if total >= threshold:
-            out[start : i + 1] = bar
-            total, bar, start = 0.0, bar + 1, i + 1
-    return out
+    """Number of the bar each tick belongs to; NaN for a bar that stays open."""
+    scale, limit = _units(_positive(threshold), len(weight))
+    *bar, after = block_bars(_totals(weight, threshold, scale, limit), limit, 0, 0)
+    return np.where(np.array(bar) < after, bar, np.nan)
+
+
+def threshold_bars(ticks: DataFrame, weight: Column, threshold: float, s: Series = TICKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds ``bar``: the number of the bar each tick belongs to, null in a bar that stays open. A bar ends with the tick that brings
+    its weight to the threshold; the overshoot is dropped. Weights that are null, not a number or negative count as nothing.
+
+    Ticks are dealt by ranges and cut into blocks, whatever their symbol; each block yields its map from open sum to open sum, the maps
+    are followed along each symbol, then every block numbers its own ticks. So one symbol may hold any share of all ticks; only the
+    maps of its blocks meet in one task. The result is the same for any block size, up to the units' fineness.
+    """
+    keys, shift = list(s.keys), max(block_rows, 1).bit_length() - 1
+    scale, limit = _units(_positive(threshold), 1 << shift)
+    keep = [x for x in ticks.columns if x != "bar"]
+    rows = in_order(ticks.select(*keep, weight.cast("double").alias("_weight")), [*keys, *s.order]).withColumn("_block", F.shiftright("_id", shift))
+    heads = [*keys, "_block"]
+    fields = lambda names: "".join(f"`{x}` {ticks.schema[x].dataType.simpleString()}, " for x in names)
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        for frame, at in whole_blocks(frames, heads):
+            for a, b in zip(at, [*at[1:], len(frame)], strict=True):
+                part = frame.iloc[a:b]
+                yield part, _totals(part["_weight"].to_numpy(float, na_value=np.nan), threshold, scale, limit)
+
+    def maps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, total in parts(frames):
+            out = part[heads].head(1).reset_index(drop=True)
+            for name, a in zip(("_least", "_made", "_left"), block_map(total, limit), strict=True):
+                out[name] = [a]
+            yield out.assign(_whole=total[-1])
+
+    def follow(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_block").reset_index(drop=True)
+        carry, bar, carries, firsts = 0, 0, [], []
+        for least, made, left, whole in zip(*(part[x] for x in ("_least", "_made", "_left", "_whole")), strict=True):
+            carries.append(carry)
+            firsts.append(bar)
+            i = int(np.searchsorted(least, carry, "right")) - 1
+            carry, bar = (carry + whole, bar) if i < 0 else (left[i], bar + made[i])
+        return part[heads].assign(_carry=carries, _first=firsts, _bars=bar)
+
+    def numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, total in parts(frames):
+            bar = block_bars(total, limit, int(part["_carry"].iloc[0]), int(part["_first"].iloc[0]))[:-1]
+            out = part[keep].copy()
+            out["bar"] = pd.array(bar, dtype="Int64")
+            out.loc[bar >= int(part["_bars"].iloc[0]), "bar"] = pd.NA
+            yield out
+
+    summed = rows.select(*heads, "_weight").mapInPandas(maps, f"{fields(keys)}_block bigint, _least array<bigint>, _made array<bigint>, _left array<bigint>, _whole bigint")
+    starts = cut_lineage(summed.groupBy(*keys).applyInPandas(follow, f"{fields(keys)}_block bigint, _carry bigint, _first bigint, _bars bigint"))
+    if starts.count() <= BROADCAST_BLOCKS:
+        met = join_on(rows, F.broadcast(starts), heads)
+    else:
+        met = join_on(rows, starts, heads).sortWithinPartitions(*heads, "_id")
+    return met.mapInPandas(numbers, f"{fields(keep)}bar bigint")
 
 
 def adaptive_ends(measure: Callable[[int, int, int], np.ndarray], n: int, threshold: float, alpha: float, least: int) -> np.ndarray:
-    """Number of the bar each tick belongs to, as above, by a limit that follows the sizes of past bars.
+    """Number of the bar each tick belongs to, NaN in a bar that stays open, by a limit that follows the sizes of past bars.
 
     measure(start, a, b): how large a bar from tick ``start`` on would be if it ended with each of the ticks a to b - 1. The
     next end is searched in steps that double, so the loop goes over bars, not ticks. A limit that dies out starts anew.
@@ -103,11 +202,11 @@ def _positive(threshold: float) -> float:
 
 
 def volume_bars(ticks: DataFrame, threshold: float) -> DataFrame:
-    return _ended(ticks, F.col("size"), threshold_ends, _positive(threshold))
+    return _bars_of(threshold_bars(ticks.select(*TICK), F.col("size"), threshold))
 
 
 def dollar_bars(ticks: DataFrame, threshold: float) -> DataFrame:
-    return _ended(ticks, F.col("size") * F.col("price"), threshold_ends, _positive(threshold))
+    return _bars_of(threshold_bars(ticks.select(*TICK), F.col("size") * F.col("price"), threshold))
 
 
 def imbalance_bars(ticks: DataFrame, threshold: float, kind: str = "tick", alpha: float = 0.1, least: int = 1) -> DataFrame:

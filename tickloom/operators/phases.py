@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import hmm
 from ..functions import kernels as k
+from ..functions.ordering import cut_lineage
 from ..functions.windows import Series, ratio
 from .indicators import BARS, rolling_slope, rolling_zscore, true_range
 from .structure import automatic_rally, climaxes, effort_vs_result
+from .temporal import covering
 
 c = F.col
 
@@ -54,7 +56,8 @@ def range_events(bars: DataFrame, ranges: DataFrame, reach: float = 1.5, recover
     next_closes = F.collect_list("close").over(s.window.rowsBetween(1, recovery))
     rows = rows.withColumns({"place": s.number - 1, "_ref": F.coalesce("atr", before), "_next": next_closes})
     rows = rows.select(*s.keys, "place", "high", "low", "close", "volume_z", "range_z", "_ref", "_next")
-    near = rows.join(ranges, list(s.keys)).filter((c("place") >= c("start")) & (c("place") < c("stop") + 2 * ahead + 1))
+    reached = ranges.withColumns({"_from": c("start"), "_to": c("stop") + 2 * ahead + 1})
+    near = cut_lineage(covering(rows, reached, s.keys, "place", ("_from", "_to")).drop("_from", "_to"))
     inside = near.filter((c("place") < c("stop")) & (c("_ref") > 0))
     below, above = c("support") - c("low"), c("high") - c("resistance")
     back = lambda test: F.exists("_next", test)
@@ -66,8 +69,8 @@ def range_events(bars: DataFrame, ranges: DataFrame, reach: float = 1.5, recover
     for sign, strong, last, edge, extreme, beyond in ((1, "SOS", "LPS", "resistance", "low", c("close") > c("resistance")), (-1, "SOW", "LPSY", "support", "high", c("close") < c("support"))):
         first = near.filter(wide & beyond)
         out = out.unionByName(first.select(*s.keys, "range", F.lit(strong).alias("kind"), "place", c("close").alias("price")))
-        signs = first.select(*s.keys, "range", c("place").alias("_at"), c("volume_z").alias("_vz"))
-        later = near.join(signs, [*s.keys, "range"]).filter((c("place") > c("_at")) & (c("place") <= c("_at") + ahead) & (c("_ref") > 0))
+        signs = first.select(*s.keys, "range", c("place").alias("_at"), c("volume_z").alias("_vz"), (c("place") + 1).alias("_from"), (c("place") + ahead + 1).alias("_to"))
+        later = covering(near.filter("_ref > 0"), signs, (*s.keys, "range"), "place", ("_from", "_to")).drop("_from", "_to")
         holds = sign * (c(extreme) - c(edge)) >= -reach * c("_ref")
         hit = holds & (sign * (c(extreme) - c(edge)) <= reach * c("_ref")) & (c("volume_z") < c("_vz"))
         lost = ~holds & (sign * (c("close") - c(edge)) < -reach * c("_ref"))

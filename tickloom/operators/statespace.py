@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import cut_lineage, in_order, join_on
+from ..functions.ordering import cut_lineage, in_order, join_on, whole_blocks
 from ..functions.windows import Series
 
 #: Rows of a block and, about, of a step that takes blocks together.
@@ -155,32 +155,6 @@ def _back(model: Model, x: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.nd
     return e, x - _mv(e, x @ model.step.T), (rest + _t(rest)) / 2
 
 
-def _read(frames: Iterator[pd.DataFrame], heads: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Frames of whole blocks, and where the blocks begin in them; blocks come in order."""
-    held: list[pd.DataFrame] = []
-
-    def starts(f: pd.DataFrame) -> np.ndarray:
-        first = np.zeros(len(f), bool)
-        first[:1] = True
-        for h in heads:
-            v = f[h]
-            first[1:] |= ((v != v.shift()) & ~(v.isna() & v.shift().isna())).to_numpy(bool)[1:]
-        return np.flatnonzero(first)
-
-    for frame in frames:
-        held.append(frame)
-        if sum(map(len, held)) >= STEP_ROWS:
-            whole = pd.concat(held, ignore_index=True)
-            at = starts(whole)
-            if len(at) > 1:
-                yield whole.iloc[: at[-1]], at[:-1]
-                whole = whole.iloc[at[-1] :]
-            held = [whole]
-    if held and sum(map(len, held)):
-        whole = pd.concat(held, ignore_index=True)
-        yield whole, starts(whole)
-
-
 def _padded(frame: pd.DataFrame, at: np.ndarray, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """z (k, length, m), kind, and the rows' block and place."""
     sizes = np.diff(np.append(at, len(frame)))
@@ -223,7 +197,7 @@ def smooth(df: DataFrame, value: str | Sequence[str], model: Model, s: Series) -
         return out
 
     def forward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, at in _read(frames, heads):
+        for part, at in whole_blocks(frames, heads, STEP_ROWS):
             z, kind, _, _ = _padded(part, at, z_names)
             yield frame_of(part, at, dict(zip("abcej", _blocks(model, z, kind), strict=True)))
 
@@ -255,7 +229,7 @@ def smooth(df: DataFrame, value: str | Sequence[str], model: Model, s: Series) -
         return np.stack(part[x].iloc[at].to_list()), np.stack(part[p].iloc[at].to_list()).reshape(len(at), n, n)
 
     def backward(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, at in _read(frames, heads):
+        for part, at in whole_blocks(frames, heads, STEP_ROWS):
             z, kind, _, _ = _padded(part, at, z_names)
             f = _filter(model, z, kind, *states(part, at, "_x", "_p"))
             whole = np.tile(np.eye(n), (len(at), 1, 1)), np.zeros((len(at), n)), np.zeros((len(at), n, n))
@@ -287,7 +261,7 @@ def smooth(df: DataFrame, value: str | Sequence[str], model: Model, s: Series) -
     both = cut_lineage(join_on(start, ends, heads))
 
     def final(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, at in _read(frames, heads):
+        for part, at in whole_blocks(frames, heads, STEP_ROWS):
             z, kind, block, place = _padded(part, at, z_names)
             f = _filter(model, z, kind, *states(part, at, "_x", "_p"))
             xs, ps = np.zeros_like(f["x"]), np.zeros_like(f["p"])

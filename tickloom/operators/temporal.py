@@ -7,6 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import in_order
 from ..functions.windows import Series, ratio
 from .indicators import BARS, rolling_slope
 
@@ -95,11 +96,10 @@ def back_adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
 
     A dividend's factor is (C - cash) / C, C the last raw close before it under the later factors;
     it is left out where there is no such close or the result isn't positive. The actions of a
-    symbol are few and fold in one array; bars meet them by time.
+    symbol are few and fold in one array; bars meet the next one by time.
     """
     acts = actions.filter(c("kind").isin("split", "cash_div")).select("symbol", c("ts").alias("ex"), "kind", "ratio", "cash")
-    prior = bars.select("symbol", "ts", "close")
-    before = acts.join(prior, (acts["symbol"] == prior["symbol"]) & (prior["ts"] < acts["ex"]), "left").groupBy(acts["symbol"], "ex", "kind", "ratio", "cash").agg(F.max_by("close", "ts").alias("raw"))
+    before = asof_join(acts.distinct(), bars.select("symbol", c("ts").alias("ex"), c("close").alias("raw")), ["raw"], on="ex", strict=True)
     listed = before.groupBy("symbol").agg(F.sort_array(F.collect_list(F.struct("ex", "kind", "ratio", "cash", "raw")), asc=False).alias("acts"))
 
     def step(state: Column, a: Column) -> Column:
@@ -111,10 +111,11 @@ def back_adjust(bars: DataFrame, actions: DataFrame) -> DataFrame:
         return F.concat(state, F.array(new))
 
     start = F.array(F.struct(F.lit(None).cast("timestamp_ntz").alias("ex"), F.lit(1.0).alias("price"), F.lit(1.0).alias("volume")))
-    factors = listed.select("symbol", F.aggregate("acts", start, step).alias("_f"))
-    rows = bars.join(factors, "symbol", "left").withColumn("_l", F.element_at(F.filter("_f", lambda f: f["ex"].isNull() | (f["ex"] > c("ts"))), -1))
-    one = lambda x: F.coalesce(c(f"_l.{x}"), F.lit(1.0))
-    return rows.withColumns({**{x: c(x) * one("price") for x in ("open", "high", "low", "close")}, "volume": c("volume") * one("volume")}).drop("_f", "_l")
+    folded = listed.select("symbol", F.posexplode(F.aggregate("acts", start, step)).alias("_i", "_f")).filter("_f.ex is not null")
+    last = folded.groupBy("symbol", c("_f.ex").alias("ts")).agg(F.max_by("_f", "_i").alias("_f")).select("symbol", "ts", c("_f.price").alias("_p"), c("_f.volume").alias("_v"))
+    rows = asof_join(bars, last, ["_p", "_v"], strict=True, forward=True)
+    one = lambda x: F.coalesce(c(x), F.lit(1.0))
+    return rows.withColumns({**{x: c(x) * one("_p") for x in ("open", "high", "low", "close")}, "volume": c("volume") * one("_v")}).drop("_p", "_v")
 
 
 def total_return(bars: DataFrame, actions: DataFrame, base: float = 1.0, s: Series = BARS) -> DataFrame:
@@ -134,8 +135,8 @@ def asof_universe(membership: DataFrame, index: str, asof: str) -> DataFrame:
 
 def pit_join(features: DataFrame, membership: DataFrame, index: str) -> DataFrame:
     """Feature rows whose symbol was a member at the time; overlapping memberships repeat a row."""
-    m = membership.filter(c("index") == index).select("symbol", "start", "end")
-    return features.join(m, "symbol").filter((c("start") <= c("ts")) & (c("ts") < c("end"))).drop("start", "end")
+    m = membership.filter(c("index") == index).select("symbol", c("start").alias("_start"), c("end").alias("_end"))
+    return covering(features, m, ends=("_start", "_end")).drop("_start", "_end")
 
 
 def survivorship(features: DataFrame, membership: DataFrame, index: str) -> DataFrame:
@@ -146,14 +147,57 @@ def survivorship(features: DataFrame, membership: DataFrame, index: str) -> Data
     return out.withColumn("missing_ratio", ratio(c("n_missing").cast("double"), c("n_members")))
 
 
-def asof_join(left: DataFrame, right: DataFrame, values: list[str], keys: tuple[str, ...] = ("symbol",), on: str = "ts") -> DataFrame:
+def covering(points: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("symbol",), on: str = "ts", ends: tuple[str, str] = ("start", "end"), most: int = 10_000) -> DataFrame:
+    """Each point with each interval [start, end) of its keys that covers it, one row a pair; a sweep, so that no point meets any other interval.
+
+    Points and interval ends go together in the order of time; points without an interval's end between them are a run, of at
+    most ``most`` points. The runs of a key are numbered; an interval covers the runs numbered between its start and its end, and meets the
+    points by run. Rows are dealt by ranges of key and time, and runs end where a partition ends, so one key may hold any share of the
+    rows. Pairs of run and interval are never more than rows of the result.
+
+    Repeated points and intervals repeat rows. Points with a null key or time, and intervals that are empty, reversed or have a null in
+    key, start or end, meet nothing. Names other than the keys' must differ between the sides.
+    """
+    keys, own = list(keys), [x for x in intervals.columns if x not in keys]
+    if clash := set(points.columns) & set(own):
+        raise ValueError(f"both sides have {sorted(clash)}")
+    start, end = (c(x) for x in ends)
+    names = {k: f"_k{i}" for i, k in enumerate(keys)}
+    at = [c(k).alias(n) for k, n in names.items()]
+    row, span = F.struct(*points.columns), F.struct(*own)
+    p = points.dropna(subset=[*keys, on]).select(*at, c(on).alias("_t"), F.lit(1).alias("_point"), row.alias("_row"))
+    i = intervals.dropna(subset=keys).filter(start < end).select(*at, F.explode(F.array(start, end)).alias("_t"), F.lit(0).alias("_point"), span.alias("_span"))
+    by = list(names.values())
+    rows = in_order(p.unionByName(i, allowMissingColumns=True), [*by, "_t", "_point"]).withColumn("_part", F.shiftright("_id", 33))
+    w = Window.partitionBy(*by, "_part").orderBy("_id")
+    fresh = (c("_point") == 1) & ((F.coalesce(F.lag("_point").over(w), F.lit(0)) == 0) | (F.row_number().over(w) % most == 0))
+    rows = rows.withColumn("_new", fresh.cast("long")).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, "_part").agg(F.sum("_new").alias("_runs")).withColumn("_before", F.coalesce(F.sum("_runs").over(before), F.lit(0)))
+    rows = rows.join(counts, [*by, "_part"]).withColumn("_run", c("_run") + c("_before"))
+    spans = rows.filter("_point = 0").groupBy(*by, "_span").agg(F.min("_run").alias("_a"), F.max("_run").alias("_b"), (F.count(F.lit(1)) / 2).cast("int").alias("_copies"))
+    spans = spans.filter("_a < _b").withColumn("_step", F.explode(F.sequence(c("_a"), c("_b") - 1, F.lit(65_536))))
+    spans = spans.withColumn("_run", F.explode(F.sequence(c("_step") + 1, F.least(c("_step") + 65_536, "_b")))).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), c("_copies"))))
+    met = rows.filter("_point = 1").select(*by, "_run", "_row").join(spans.select(*by, "_run", "_span"), [*by, "_run"])
+    return met.select("_row.*", *(c("_span").getField(x).alias(x) for x in own))
+
+
+def asof_join(left: DataFrame, right: DataFrame, values: list[str], keys: tuple[str, ...] = ("symbol",), on: str = "ts", strict: bool = False, forward: bool = False, within: str | None = None) -> DataFrame:
     """Left rows with the latest right values at or before their time: one union and one window,
-    so each side moves once and no pairs are made."""
+    so each side moves once and no pairs are made.
+
+    strict: before their time only. forward: the earliest at or after (strictly after) it instead. within: an interval such as
+    "3 days"; values further away than that are null.
+    """
     names = left.columns
     a = left.select(F.struct(*names).alias("_row"), *keys, on, F.lit(1).alias("_side"), *(F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values))
     b = right.select(F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), *keys, on, F.lit(0).alias("_side"), *values)
-    w = Window.partitionBy(*keys).orderBy(on, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    struct = F.last(F.when(c("_side") == 0, F.struct(*values)), ignorenulls=True).over(w)
+    side = c("_side").desc() if strict else c("_side").asc()
+    w = Window.partitionBy(*keys).orderBy(c(on).desc() if forward else c(on).asc(), side).rowsBetween(Window.unboundedPreceding, 0)
+    struct = F.last(F.when(c("_side") == 0, F.struct(*values, c(on).alias("_at"))), ignorenulls=True).over(w)
+    if within is not None:
+        far = F.expr(f"INTERVAL {within}")
+        struct = F.when((c(on) <= struct["_at"] + far) & (struct["_at"] <= c(on) + far), struct)
     return a.unionByName(b).withColumn("_v", struct).filter("_side = 1").select("_row.*", *(c(f"_v.{v}").alias(v) for v in values))
 
 
