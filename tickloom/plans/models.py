@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import cut_lineage, shared_folder
 from ..functions.windows import Series
-from ..operators import multivariate, sizing, statespace
+from ..operators import learning, multivariate, sizing, statespace, trend
 from ..sources import loading
 from ..sources.tables import hourly_bars, table
 from . import shapes
@@ -187,3 +187,33 @@ _ADX = f"""WITH {BARS}, m AS (SELECT *, high - lag(high) OVER w AS up, lag(low)
  i AS (SELECT *, CASE WHEN total > 0 THEN 100 * ps / total WHEN total IS NOT NULL THEN 0 END AS p, CASE WHEN total > 0 THEN 100 * ms / total WHEN total IS NOT NULL THEN 0 END AS m FROM t), x AS (SELECT *, CASE WHEN p + m > 0 THEN 100 * abs(p - m) / (p + m) WHEN p IS NOT NULL THEN 0 END AS dx FROM i)
  SELECT symbol, ts, {r(smooth_sql('dx', 14, '(1e0 / 14)', 14) + ' AS adx', 'p AS plus_di', 'm AS minus_di', 'mid + 2 * a10 AS kc_upper', 'mid - 2 * a10 AS kc_lower')} FROM x WINDOW {SO_FAR}"""
 SQL["recursive_indicators"] = f"SELECT * FROM ({_ADX}) JOIN " + " JOIN ".join(f"({SQL[name]}) USING (symbol, ts)" for name in ("kama", "layered_averages", "parabolic_sar", "supertrend"))
+
+
+# Walk-forward learning ------------------------------------------------------------------------------
+
+TRAIN, TEST, EMBARGO, AHEAD_BY, PENALTY = 100, 20, 1, 3, 2.0
+_LEARN = f"""WITH {BARS}, x AS (SELECT symbol, ts, rn - 1 AS place, ln(close / lag(close) OVER w) AS x1, CASE WHEN rn >= 5 THEN close / avg(close) OVER f - 1 END AS x2, ln(lead(close, {AHEAD_BY}) OVER w / close) AS y
+ FROM n WINDOW w AS (PARTITION BY symbol ORDER BY ts), f AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+ size AS (SELECT symbol, count(*) AS rows FROM x GROUP BY 1), folds AS (SELECT symbol, unnest(range(0, (rows - {TRAIN + EMBARGO + TEST}) // {TEST} + 1)) AS fold FROM size WHERE rows >= {TRAIN + EMBARGO + TEST}),
+ t AS (SELECT symbol, fold, count(*) AS m, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y
+ FROM folds JOIN x USING (symbol) WHERE place >= {TEST} * fold AND place < {TEST} * fold + least({TRAIN}, {TRAIN + EMBARGO - AHEAD_BY}) AND x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
+ z AS (SELECT *, m + {PENALTY} AS a, m * c12 / (s1 * s2) AS b, m * c1y / s1 AS r1, m * c2y / s2 AS r2 FROM t),
+ k AS (SELECT *, (a * r1 - b * r2) / (a * a - b * b) / s1 AS k1, (a * r2 - b * r1) / (a * a - b * b) / s2 AS k2 FROM z),
+ p AS (SELECT x.symbol, x.ts, k.fold, k.m AS n_train, y, my + k1 * (x1 - m1) + k2 * (x2 - m2) AS prediction FROM k JOIN x ON x.symbol = k.symbol AND x.place >= {TRAIN + EMBARGO} + {TEST} * k.fold AND x.place < {TRAIN + EMBARGO + TEST} + {TEST} * k.fold)"""
+
+
+def _learned(spark, d):
+    s = Series()
+    rows = hourly_bars(spark, d).withColumn("x1", F.ln(c("close") / s.lag("close"))).withColumn("x2", c("close") / s.rolling(F.avg("close"), 5) - 1)
+    rows = rows.withColumn("y", F.ln(s.lead("close", AHEAD_BY) / c("close"))).select("symbol", "ts", "x1", "x2", "y")
+    return learning.walk_forward(rows, ["x1", "x2"], "y", learning.Folds(TRAIN, TEST, embargo=EMBARGO, horizon=AHEAD_BY), PENALTY)
+
+
+@query(_LEARN + f"""SELECT symbol, ts, fold, n_train, {r('prediction', 'CAST(coalesce(last_value(CASE WHEN abs(prediction) < 0.01 THEN 0 WHEN abs(prediction) >= 0.05 THEN sign(prediction) END IGNORE NULLS) OVER s, 0) AS DOUBLE) AS weight')} FROM p WINDOW {SO_FAR}""")
+def learned_signals(spark, d):
+    return trend.threshold_policy(_learned(spark, d), "prediction", 0.05, 0.01).select("symbol", "ts", "fold", "n_train", "prediction", "weight")
+
+
+@query(_LEARN + f"""SELECT symbol, fold, count(*) AS n, {r('avg((prediction - y) ** 2) AS mse', 'avg(CASE WHEN prediction * y > 0 THEN 1e0 ELSE 0 END) AS hit_rate', 'covar_pop(prediction, y) / nullif(sqrt(var_pop(prediction) * var_pop(y)), 0) AS correlation')} FROM p WHERE prediction IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""")
+def learned_fold_scores(spark, d):
+    return learning.fold_scores(_learned(spark, d), "y")
