@@ -10,7 +10,7 @@ from tickloom.plans import flagship, registry
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
-CHOSEN = ["time_bars", "volume_bars", "moving_averages", "oscillators", "volume_flow", "recursive_averages", "volume_profile", "trade_signs_and_spreads", "illiquidity", "pit_join", "back_adjust", "asof_join", "coverage", "metrics", "covariance", "cross_sectional_momentum", "zero_gamma", "max_pain", "fundamental_ratios", "scores", "screening", "transition_counts", "autocorrelation", "climaxes", "volatility", "survivorship", "hedge_ratio", "preliminary_support", "zigzag", "parabolic_sar", "supertrend", "kama", "layered_averages", "range_events", "shift_divergence", "harmony", "hull_ribbon", "ema_cross_atr", "model_features", "option_greeks", "vpin", "valuation_models", "dollar_bars", "learned_signals", "learned_fold_scores", "gex_defence", "confluence_signals"]
+CHOSEN = ["time_bars", "volume_bars", "moving_averages", "oscillators", "volume_flow", "recursive_averages", "volume_profile", "trade_signs_and_spreads", "illiquidity", "pit_join", "back_adjust", "asof_join", "coverage", "metrics", "covariance", "cross_sectional_momentum", "zero_gamma", "max_pain", "fundamental_ratios", "scores", "screening", "transition_counts", "autocorrelation", "climaxes", "volatility", "survivorship", "hedge_ratio", "preliminary_support", "zigzag", "parabolic_sar", "supertrend", "kama", "layered_averages", "range_events", "shift_divergence", "harmony", "hull_ribbon", "ema_cross_atr", "model_features", "option_greeks", "vpin", "valuation_models", "dollar_bars", "learned_signals", "learned_fold_scores", "gex_defence", "confluence_signals", "financial_statements"]
 
 
 @pytest.fixture(scope="module")

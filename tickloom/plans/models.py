@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from ..functions.ordering import cut_lineage, shared_folder
 from ..functions.windows import Series
 from ..operators import learning, multivariate, sizing, statespace, trend
-from ..sources import loading
+from ..sources import loading, statements
 from ..sources.tables import hourly_bars, table
 from . import shapes
 from .more import PANELS
 from . import extra  # noqa: F401  its SQL is built on here
-from .queries import OHLCV, RETS, SO_FAR, SQL, TW, query, r, smooth_sql
+from .queries import OHLCV, RETS, SNAP, SO_FAR, SQL, TW, query, r, smooth_sql
 from .shapes import BARS, TICKS
 
 c = F.col
@@ -217,3 +217,21 @@ def learned_signals(spark, d):
 @query(_LEARN + f"""SELECT symbol, fold, count(*) AS n, {r('avg((prediction - y) ** 2) AS mse', 'avg(CASE WHEN prediction * y > 0 THEN 1e0 ELSE 0 END) AS hit_rate', 'covar_pop(prediction, y) / nullif(sqrt(var_pop(prediction) * var_pop(y)), 0) AS correlation')} FROM p WHERE prediction IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2""")
 def learned_fold_scores(spark, d):
     return learning.fold_scores(_learned(spark, d), "y")
+
+
+# Statements ------------------------------------------------------------------------------------------
+
+#: Labelled lines of every issuer and year: (statement, line, label, condition, value).
+LINES = (
+    ("income", 0, "Total Revenue", "ticker % 3 <> 0", "revenue"), ("income", 1, "Operating Revenue", "true", "0.9D * revenue"), ("income", 2, "Gross Profit", "true", "gross_profit"), ("income", 3, "EBITDA", "period % 2 = 0", "ebitda"),
+    ("income", 4, "Normalized EBITDA", "true", "0.95D * ebitda"), ("income", 5, "Other Item", "true", "1D"), ("balance", 0, "Total Assets", "ticker % 5 <> 0 OR period <> 1995", "total_assets"), ("cash_flow", 0, "Capital Expenditure", "ticker % 7 <> 0", "capex"),
+)
+
+
+@query(f"""WITH {SNAP} SELECT ticker, period, {r('CASE WHEN ticker % 3 <> 0 THEN revenue ELSE 0.9e0 * revenue END AS revenue', 'gross_profit', 'CASE WHEN bool_or(period % 2 = 0) OVER (PARTITION BY ticker) THEN CASE WHEN period % 2 = 0 THEN ebitda END ELSE 0.95e0 * ebitda END AS ebitda', 'total_assets', 'CASE WHEN ticker % 7 <> 0 THEN capex END AS capex')}
+ FROM snap QUALIFY ticker % 5 <> 0 OR period <> 1995 OR NOT bool_or(period <> 1995) OVER (PARTITION BY ticker)""")
+def financial_statements(spark, d):
+    """Issuers' statements from labelled lines; some lack a label, a period or a whole statement."""
+    listed = F.array(*(F.when(F.expr(when), F.struct(F.lit(s).alias("statement"), F.lit(i).alias("line"), F.lit(label).alias("label"), F.expr(value).alias("value"))) for s, i, label, when, value in LINES))
+    lines = shapes.snapshots(spark, d).select("ticker", "period", F.explode(F.array_compact(listed)).alias("l")).select("ticker", "period", "l.*")
+    return statements.financial_statements(lines).select("ticker", "period", "revenue", "gross_profit", "ebitda", "total_assets", "capex")
