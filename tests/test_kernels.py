@@ -121,6 +121,31 @@ def test_hmm_likelihood_and_path():
     assert tuple(hmm.viterbi(emit, step, start)) == max(paths)[1] and gamma.sum() == pytest.approx(4) and xi.sum() == pytest.approx(3)
 
 
+def test_discrete_hmm_of_many_series_equals_a_plain_fit_of_each(monkeypatch):
+    rng, calls = np.random.default_rng(3), []
+    obs = [rng.integers(0, 3, n) for n in (1, 2, 3, 17, 40, *[20] * 60)]
+    expected = hmm._expected
+    monkeypatch.setattr(hmm, "_expected", lambda *a: calls.append(1) or expected(*a))
+    fits = hmm.fit_discrete_many(obs, 2, 3, 2, 30)
+    assert len(calls) <= 6 * 30  # side by side: passes by groups of lengths, not by series
+    for x, fit, path in zip(obs[:8], fits, hmm.viterbi_discrete_many(obs, fits), strict=False):
+        draw, best = np.random.default_rng(0), -np.inf
+        starts = [(draw.dirichlet(np.ones(2)), draw.dirichlet(np.ones(2), 2), draw.dirichlet(np.ones(3), 2)) for _ in range(2)]
+        for pi, a, e in starts:
+            before = -np.inf
+            for _ in range(30):
+                gamma, xi, now = hmm.posteriors(np.log(np.maximum(e, 1e-12))[:, x].T, np.log(np.maximum(a, 1e-12)), np.log(np.maximum(pi, 1e-12)))
+                pi, a = gamma[0] / gamma[0].sum(), xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-12)
+                e = np.stack([gamma[x == o].sum(axis=0) for o in range(3)], axis=1)
+                e = e / np.maximum(e.sum(axis=1, keepdims=True), 1e-12)
+                if now - before < 1e-6:
+                    break
+                before = now
+            best = max(best, now)
+        assert fit["log_likelihood"] == pytest.approx(best, abs=1e-5)
+        assert path.tolist() == hmm.viterbi(np.log(fit["emit"] + 1e-12)[:, x].T, np.log(fit["step"] + 1e-12), np.log(fit["start"] + 1e-12)).tolist()
+
+
 def test_orders_fill_by_the_bar():
     class Bar:
         open, high, low, close = 100.0, 105.0, 95.0, 101.0

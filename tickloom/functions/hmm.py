@@ -53,38 +53,107 @@ def _logs(p: np.ndarray) -> np.ndarray:
 
 def fit_discrete(obs: np.ndarray, k: int, symbols: int, restarts: int = 3, steps: int = 100, tolerance: float = 1e-6, seed: int = 0) -> dict:
     """Baum-Welch from several random starts, side by side."""
-    rng, n = np.random.default_rng(seed), len(obs)
+    return fit_discrete_many([obs], k, symbols, restarts, steps, tolerance, seed)[0]
+
+
+def side_by_side(sizes: np.ndarray) -> list[np.ndarray]:
+    """Places of series that run side by side: the longest first, none under half of its group's longest, so that at most half is padding."""
+    at, out = np.argsort(-sizes, kind="stable"), []
+    while len(at):
+        n = int(np.searchsorted(-2 * sizes[at], -sizes[at[0]], "right"))
+        out.append(at[:n])
+        at = at[n:]
+    return out
+
+
+def _padded(obs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(time, series) of series that fall in length, and how many are still there at each time."""
+    sizes = np.array([len(x) for x in obs])
+    out = np.zeros((sizes[0], len(obs)), "int64")
+    for i, x in enumerate(obs):
+        out[: len(x), i] = x
+    return out, np.searchsorted(-sizes, -np.arange(sizes[0]), "left")
+
+
+def _expected(seen: np.ndarray, there: np.ndarray, p: np.ndarray, q: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First state, expected steps, expected symbols by state and log likelihood of models side by side; the last axis is the model. Each time is scaled to one."""
+    n, k, m = len(seen), len(p), p.shape[1]
+    flat = seen * m + np.arange(m)
+    emit = np.stack([x.ravel()[flat] for x in o], axis=1)
+    front, scale = np.zeros((n, k, m)), np.ones((n, m))
+    for t, w in enumerate(there.tolist()):
+        if t:
+            now = front[t - 1, 0, :w] * q[0, :, :w]
+            for i in range(1, k):
+                now += front[t - 1, i, :w] * q[i, :, :w]
+            now *= emit[t, :, :w]
+        else:
+            now = p * emit[0]
+        scale[t, :w] = now.sum(axis=0)
+        np.divide(now, scale[t, :w], out=front[t, :, :w])
+    back, xi = np.ones((k, m)), np.zeros((k, k, m))
+    for t in range(n - 2, -1, -1):
+        w = int(there[t + 1])
+        ahead = emit[t + 1, :, :w] * back[:, :w]
+        ahead /= scale[t + 1, :w]
+        for i in range(k):
+            xi[i, :, :w] += front[t, i, :w] * ahead
+        now = q[:, 0, :w] * ahead[0]
+        for j in range(1, k):
+            now += q[:, j, :w] * ahead[j]
+        back[:, :w] = now
+        front[t] *= back
+    mass = np.stack([np.bincount(flat.ravel(), front[:, i].ravel(), o.shape[1] * m).reshape(-1, m) for i in range(k)])
+    return front[0] / front[0].sum(axis=0), xi * q, mass, np.log(scale).sum(axis=0)
+
+
+def fit_discrete_many(obs: list[np.ndarray], k: int, symbols: int, restarts: int = 3, steps: int = 100, tolerance: float = 1e-6, seed: int = 0) -> list[dict]:
+    """Baum-Welch of each of many series from the same random starts; all series and starts of about one length run side by side, each until it stands still."""
+    rng, fits = np.random.default_rng(seed), [{} for _ in obs]
     draws = [(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(symbols), k)) for _ in range(restarts)]
-    pi, a, e = (np.stack(x) for x in zip(*draws, strict=True))
-    before, live = np.full(restarts, -np.inf), np.arange(restarts)
-    hot = np.eye(symbols)[obs]
-    fwd, bwd, total = np.empty((n, restarts, 1, k)), np.empty((n, restarts, k, 1)), before.copy()
-    for _ in range(steps):
-        p, q, o = (np.maximum(x[live], 1e-12) for x in (pi, a, e))
-        emit, m = o[:, :, obs].transpose(2, 0, 1), len(live)
-        f, b, scale = fwd[:, :m], bwd[:, :m], np.empty((n, m))
-        for t in range(n):
-            f[t] = (f[t - 1] @ q if t else p[:, None]) * emit[t][:, None]
-            scale[t] = f[t, :, 0].sum(axis=1)
-            f[t] /= scale[t][:, None, None]
-        b[-1] = 1
-        for t in range(n - 2, -1, -1):
-            b[t] = q @ (emit[t + 1] / scale[t + 1][:, None] * b[t + 1, :, :, 0])[:, :, None]
-        gamma = f[:, :, 0] * b[..., 0]
-        ahead = emit[1:] / scale[1:, :, None] * b[1:, :, :, 0]
-        xi = np.einsum("tri,trj->rij", f[:-1, :, 0], ahead) * q
-        now = np.log(scale).sum(axis=0)
-        pi[live], a[live] = gamma[0] / gamma[0].sum(axis=1, keepdims=True), xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-12)
-        mass = np.einsum("trs,to->rso", gamma, hot)
-        e[live] = mass / np.maximum(mass.sum(axis=2, keepdims=True), 1e-12)
-        total[live] = now
-        on = now - before[live] >= tolerance
-        before[live] = now
-        live = live[on]
-        if not len(live):
-            break
-    r = int(np.argmax(total))
-    return {"start": pi[r], "step": a[r], "emit": e[r], "log_likelihood": float(total[r])}
+    firsts = [np.stack(x, axis=-1) for x in zip(*draws, strict=True)]
+    for group in side_by_side(np.array([len(x) for x in obs])):
+        seen, there = _padded([obs[i] for i in group])
+        pi, a, e = (np.tile(x, len(group)) for x in firsts)
+        own, total, live = np.repeat(np.arange(len(group)), restarts), np.full(len(group) * restarts, -np.inf), np.arange(len(group) * restarts)
+        for _ in range(steps):
+            sizes = np.searchsorted(own[live], np.concatenate([there, [0]]), "left")[:-1]
+            first, xi, mass, now = _expected(seen[: int((sizes > 0).sum()), own[live]], sizes[sizes > 0], *(np.maximum(x[..., live], 1e-12) for x in (pi, a, e)))
+            pi[:, live], a[..., live] = first, xi / np.maximum(xi.sum(axis=1, keepdims=True), 1e-12)
+            e[..., live] = mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-12)
+            on = now - total[live] >= tolerance
+            total[live] = now
+            live = live[on]
+            if not len(live):
+                break
+        best = total.reshape(-1, restarts).argmax(axis=1) + restarts * np.arange(len(group))
+        for i, r in zip(group.tolist(), best.tolist(), strict=True):
+            fits[i] = {"start": pi[:, r], "step": a[..., r], "emit": e[..., r], "log_likelihood": float(total[r])}
+    return fits
+
+
+def viterbi_discrete_many(obs: list[np.ndarray], fits: list[dict]) -> list[np.ndarray]:
+    """The likeliest path of each series under its own model."""
+    paths: list[np.ndarray] = [np.zeros(0, "int64") for _ in obs]
+    for group in side_by_side(np.array([len(x) for x in obs])):
+        seen, there = _padded([obs[i] for i in group])
+        start, step, out = (np.log(np.stack([fits[i][x] for i in group], axis=-1) + 1e-12) for x in ("start", "step", "emit"))
+        m = len(group)
+        score, back, at = start + out[:, seen[0], np.arange(m)], np.zeros((len(seen), len(start), m), "int8" if len(start) < 128 else "int64"), np.arange(m)
+        for t, w in enumerate(there.tolist()):
+            if t:
+                reach = score[:, None, :w] + step[:, :, :w]
+                back[t, :, :w] = reach.argmax(axis=0)
+                score[:, :w] = reach.max(axis=0) + out[:, seen[t, :w], at[:w]]
+        state, path = score.argmax(axis=0), np.zeros(seen.shape, "int64")
+        for t in range(len(seen) - 1, -1, -1):
+            w = int(there[t])
+            path[t, :w] = state[:w]
+            if t:
+                state[:w] = back[t, state[:w], at[:w]]
+        for j, i in enumerate(group.tolist()):
+            paths[i] = path[: len(obs[i]), j]
+    return paths
 
 
 def gaussian_emissions(x: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hmm
+from ..functions.ordering import whole_blocks
 from ..functions.windows import Series, ratio
 
 c = F.col
@@ -121,17 +122,19 @@ def symbols(df: DataFrame, state: str) -> DataFrame:
 
 
 def discrete_hmm(df: DataFrame, symbol: str, n_states: int, n_symbols: int, keys: Sequence[str], order: str | Sequence[str], restarts: int = 5, steps: int = 200) -> DataFrame:
-    """(keys, log_likelihood, path): Baum-Welch fit and Viterbi path of each series of symbols 0..n-1."""
+    """(keys, log_likelihood, path): Baum-Welch fit and Viterbi path of each series of symbols 0..n-1; series of a task are fitted side by side."""
+    keys, order = list(keys), [order] if isinstance(order, str) else list(order)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([order] if isinstance(order, str) else list(order), kind="stable")
-        obs = part[symbol].to_numpy(int)
-        m = hmm.fit_discrete(obs, n_states, n_symbols, restarts, steps)
-        path = hmm.viterbi(np.log(m["emit"] + 1e-12)[:, obs].T, np.log(m["step"] + 1e-12), np.log(m["start"] + 1e-12))
-        return pd.DataFrame([{k: part[k].iloc[0] for k in keys} | {"log_likelihood": m["log_likelihood"], "path": path.tolist()}])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, at in whole_blocks(frames, keys):
+            obs = np.split(frame[symbol].to_numpy(int), at[1:])
+            fits = hmm.fit_discrete_many(obs, n_states, n_symbols, restarts, steps)
+            paths = hmm.viterbi_discrete_many(obs, fits)
+            yield frame[keys].iloc[at].reset_index(drop=True).assign(log_likelihood=[f["log_likelihood"] for f in fits], path=[p.tolist() for p in paths])
 
     fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{fields}, log_likelihood double, path array<bigint>")
+    rows = df.select(*dict.fromkeys([*keys, *order, symbol])).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return rows.mapInPandas(run, f"{fields}, log_likelihood double, path array<bigint>")
 
 
 def ou_simulate(theta: float, mu: float, sigma: float, start: float, steps: int, dt: float = 1.0, seed: int = 0) -> np.ndarray:
