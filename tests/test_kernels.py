@@ -245,3 +245,19 @@ def test_symbols_stay_apart(spark):
 
     rows = spark.createDataFrame([(s,) for s in ("view", "error", "signup", "click", "buy", "error", None)], "state string")
     assert {r.state: r.symbol for r in markov.symbols(rows, "state").collect()} == {"buy": 0, "click": 1, "error": 2, "signup": 3, "view": 4}
+
+
+def test_adaptive_bars_of_batches_equal_those_of_the_whole():
+    from tickloom.operators import bars
+
+    rng = np.random.default_rng(8)
+    sign = rng.choice([-1.0, 0.0, 1.0], 3000)
+    for whole, start, values in ((imbalance_ends, bars.imbalance, bars._signed), (runs_ends, bars.runs, bars._sides)):
+        for least, size in ((1, 1), (1, 97), (7, 5), (7, 1000)):
+            ends, got, last = start(5.0, 0.2, least), [], []
+            for i in range(0, 3000, size):
+                bar, at = ends(values(sign[i : i + size]))
+                got, last = got + bar.tolist(), last + at.tolist()
+            want = whole(sign, 5.0, 0.2, least)
+            assert np.array_equal(np.where(np.array(got) < ends.bar, got, np.nan), want, equal_nan=True)
+            assert sum(last) == ends.bar and all(want[i] == want[i - 1] or last[i - 1] for i in range(1, int(np.isfinite(want).sum())))

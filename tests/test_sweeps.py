@@ -109,3 +109,33 @@ def test_back_adjust_with_actions_at_once_and_before_all_bars(spark):
     acts = [("A", days[3], "split", 2.0, 0.0), ("A", days[3], "cash_div", 1.0, 1.0), ("A", days[0], "cash_div", 1.0, 1.0), ("A", days[3], "split", 2.0, 0.0)]
     out = temporal.back_adjust(made, spark.createDataFrame(acts, "symbol string, ts timestamp_ntz, kind string, ratio double, cash double")).orderBy("ts").collect()
     assert [r.close for r in out] == pytest.approx([4.0] * 3 + [10.0] * 3) and [r.volume for r in out] == pytest.approx([200.0] * 3 + [100.0] * 3)
+
+
+def test_adaptive_bars_hold_a_batch_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(s, i, 0, float(p), 1.0 + i % 3) for s, n in (("hot", 900), ("thin", 30), (None, 40)) for i, p in enumerate(rng.integers(1, 9, n))]
+    ticks = spark.createDataFrame(rows, "symbol string, ts bigint, seq int, price double, size double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    seen = spark.sparkContext.accumulator(0)
+    start = bars.imbalance
+
+    def counted(*a):
+        ends = start(*a)
+        return lambda values: (seen.add(values.shape[1] > 50), ends(values))[1]
+
+    monkeypatch.setattr(bars, "imbalance", counted)
+    try:
+        got = bars.imbalance_bars(ticks, 4.0, "volume").collect()
+        assert seen.value == 0  # no series arrives whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        monkeypatch.undo()
+    for s in ("hot", "thin", None):
+        mine = [r for r in rows if r[0] == s]
+        signs, now = [], 0.0
+        for a, b in zip([None, *mine], mine, strict=False):
+            now = (np.sign(b[3] - a[3]) or now) if a else 0.0
+            signs.append(now)
+        ends = bars.imbalance_ends(np.array([x * r[4] for x, r in zip(signs, mine, strict=True)]), 4.0, 0.1, 1)
+        want = {int(b): [r for r, e in zip(mine, ends, strict=True) if e == b] for b in set(ends[np.isfinite(ends)])}
+        assert {(r.bar, r.ts, r.open, r.close, r.volume) for r in got if r.symbol == s} == {(b, p[-1][1], p[0][3], p[-1][3], sum(x[4] for x in p)) for b, p in want.items()}

@@ -1,4 +1,4 @@
-"""Bars from ticks: time bars in SQL, threshold bars by a scan over blocks, adaptive bars by a sequential kernel."""
+"""Bars from ticks: time bars in SQL, threshold bars by a scan over blocks, adaptive bars by a stream of batches."""
 
 from __future__ import annotations
 
@@ -148,51 +148,108 @@ def threshold_bars(ticks: DataFrame, weight: Column, threshold: float, s: Series
     return met.mapInPandas(numbers, f"{fields(keep)}bar bigint")
 
 
-def adaptive_ends(measure: Callable[[int, int, int], np.ndarray], n: int, threshold: float, alpha: float, least: int) -> np.ndarray:
-    """Number of the bar each tick belongs to, NaN in a bar that stays open, by a limit that follows the sizes of past bars.
+class AdaptiveEnds:
+    """Numbers bars by a limit that follows the sizes of past bars; ticks pass in batches, and only sums are held between them.
 
-    measure(start, a, b): how large a bar from tick ``start`` on would be if it ended with each of the ticks a to b - 1. The
-    next end is searched in steps that double, so the loop goes over bars, not ticks. A limit that dies out starts anew.
+    measure(sums): how large a bar would be by the sums of its sides up to each tick. The next end is searched in steps that
+    double, so the loop goes over bars, not ticks. A limit that dies out starts anew.
     """
-    out, limit, bar, start, least = np.full(n, np.nan), threshold, 0, 0, max(least, 1)
-    a, step = least - 1, 64
-    while a < n:
-        sizes = measure(start, a, min(a + step, n))
-        hit = int(np.argmax(sizes >= limit)) if (sizes >= limit).any() else -1
-        if hit < 0:
-            a, step = a + step, 2 * step
-            continue
-        out[start : a + hit + 1] = bar
-        limit += alpha * (float(sizes[hit]) - limit)
-        if limit < SMALLEST_LIMIT:
-            limit = threshold
-        bar, start = bar + 1, a + hit + 1
-        a, step = start + least - 1, 64
-    return out
-
 
-def imbalance_ends(signed: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
+    def __init__(self, measure: Callable[[np.ndarray], np.ndarray], sides: int, threshold: float, alpha: float, least: int) -> None:
+        self.measure, self.threshold, self.alpha, self.least = measure, threshold, alpha, max(least, 1)
+        self.limit, self.bar, self.held = threshold, 0, 0
+        self.total = self.base = np.zeros(sides)
+
+    def __call__(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bar, whether it ends there) of each tick, given what it adds to each side."""
+        n = values.shape[1]
+        total = np.cumsum(np.concatenate([self.total[:, None], values], axis=1), axis=1)
+        out, ends, start, a, step = np.empty(n, "int64"), np.zeros(n, bool), 0, max(self.least - 1 - self.held, 0), 64
+        while a < n:
+            sizes = self.measure(total[:, a + 1 : a + step + 1] - self.base[:, None])
+            hit = int(np.argmax(sizes >= self.limit)) if (sizes >= self.limit).any() else -1
+            if hit < 0:
+                a, step = a + step, 2 * step
+                continue
+            end = a + hit + 1
+            out[start:end], ends[end - 1], self.base = self.bar, True, total[:, end]
+            self.limit += self.alpha * (float(sizes[hit]) - self.limit)
+            if self.limit < SMALLEST_LIMIT:
+                self.limit = self.threshold
+            self.bar, self.held, start = self.bar + 1, 0, end
+            a, step = start + self.least - 1, 64
+        out[start:] = self.bar
+        self.held, self.total = self.held + n - start, total[:, -1]
+        return out, ends
+
+
+def imbalance(threshold: float, alpha: float, least: int) -> AdaptiveEnds:
     """A bar ends when the imbalance, of either sign, reaches the limit."""
-    total = np.concatenate([[0.0], np.cumsum(signed)])
-    return adaptive_ends(lambda start, a, b: np.abs(total[a + 1 : b + 1] - total[start]), len(signed), threshold, alpha, least)
+    return AdaptiveEnds(lambda sums: np.abs(sums[0]), 1, threshold, alpha, least)
 
 
-def runs_ends(sign: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
+def runs(threshold: float, alpha: float, least: int) -> AdaptiveEnds:
     """A bar ends when the ticks of one side reach the limit."""
-    sides = [np.concatenate([[0], np.cumsum(side)]) for side in (sign > 0, sign < 0)]
-    most = lambda start, a, b: np.maximum(*(s[a + 1 : b + 1] - s[start] for s in sides))
-    return adaptive_ends(most, len(sign), threshold, alpha, least)
+    return AdaptiveEnds(lambda sums: sums.max(axis=0), 2, threshold, alpha, least)
 
 
-def _bars_of(ticks: DataFrame) -> DataFrame:
-    at = F.struct("ts", "seq")
-    out = ticks.filter("bar is not null").groupBy("symbol", "bar").agg(F.max("ts").alias("ts"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"))
-    return out.select("symbol", "bar", "ts", "open", "high", "low", "close", "volume")
+def _signed(weight: np.ndarray) -> np.ndarray:
+    return weight[None]
+
+
+def _sides(sign: np.ndarray) -> np.ndarray:
+    return np.stack([sign > 0, sign < 0]).astype(float)
+
+
+def _whole_ends(ends: AdaptiveEnds, values: np.ndarray) -> np.ndarray:
+    """Number of the bar each tick belongs to, NaN in a bar that stays open."""
+    bar, _ = ends(values)
+    return np.where(bar < ends.bar, bar, np.nan)
 
 
-def _ended(ticks: DataFrame, weight: Column, ends, *parameters) -> DataFrame:
-    rows = ticks.withColumn("_weight", weight)
-    return _bars_of(TICKS.kernel(rows, ["_weight"], {"bar": "bigint"}, lambda w: {"bar": ends(w, *parameters)}))
+def imbalance_ends(signed: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
+    return _whole_ends(imbalance(threshold, alpha, least), _signed(signed))
+
+
+def runs_ends(sign: np.ndarray, threshold: float, alpha: float, least: int) -> np.ndarray:
+    return _whole_ends(runs(threshold, alpha, least), _sides(sign))
+
+
+def _bars_of(ticks: DataFrame, ended: Column | None = None) -> DataFrame:
+    """Bars by the ticks' numbers; ``ended``: an aggregate that tells which bars count."""
+    at = F.struct("ts", "seq")
+    out = ticks.filter("bar is not null").groupBy("symbol", "bar").agg(F.max("ts").alias("ts"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("size").alias("volume"), *([] if ended is None else [ended.alias("_ended")]))
+    return (out if ended is None else out.filter("_ended")).select("symbol", "bar", "ts", "open", "high", "low", "close", "volume")
+
+
+def _ended(ticks: DataFrame, weight: Column, start: Callable[[], AdaptiveEnds], values: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Adaptive bars of signed ticks. Each limit hangs on all bars before, so a symbol's ticks pass through one task, in order and
+    batch by batch; a task holds one batch and the sums of the open bar."""
+    rows = with_tick_sign(ticks.select(*TICK).repartition("symbol")).select(*TICK, weight.cast("double").alias("_weight")).sortWithinPartitions("symbol", "ts", "seq")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, ends = None, start()
+        for frame in frames:
+            for at in np.split(np.arange(len(frame)), np.flatnonzero(_changes(frame["symbol"]))):
+                if not len(at):
+                    continue
+                part = frame.iloc[at[0] : at[-1] + 1]
+                own = part["symbol"].iloc[0]
+                if own != symbol and not (pd.isna(own) and pd.isna(symbol)):
+                    symbol, ends = own, start()
+                bar, last = ends(values(part["_weight"].to_numpy(float, na_value=np.nan)))
+                yield part[list(TICK)].assign(bar=bar, _ends=last)
+
+    fields = ", ".join(f"{x} {rows.schema[x].dataType.simpleString()}" for x in TICK)
+    return _bars_of(rows.mapInPandas(run, f"{fields}, bar bigint, _ends boolean"), F.max("_ends"))
+
+
+def _changes(values: pd.Series) -> np.ndarray:
+    """Where a value differs from the one before it; null equals null."""
+    before = values.shift()
+    out = ((values != before) & ~(values.isna() & before.isna())).to_numpy(bool)
+    out[:1] = False
+    return out
 
 
 def _positive(threshold: float) -> float:
@@ -211,9 +268,10 @@ def dollar_bars(ticks: DataFrame, threshold: float) -> DataFrame:
 
 def imbalance_bars(ticks: DataFrame, threshold: float, kind: str = "tick", alpha: float = 0.1, least: int = 1) -> DataFrame:
     """kind: tick, volume or dollar imbalance."""
-    weight = {"tick": F.lit(1.0), "volume": F.col("size"), "dollar": F.col("size") * F.col("price")}[kind]
-    return _ended(with_tick_sign(ticks), F.col("sign") * weight, imbalance_ends, _positive(threshold), alpha, least)
+    weight, threshold = {"tick": F.lit(1.0), "volume": F.col("size"), "dollar": F.col("size") * F.col("price")}[kind], _positive(threshold)
+    return _ended(ticks, F.col("sign") * weight, lambda: imbalance(threshold, alpha, least), _signed)
 
 
 def runs_bars(ticks: DataFrame, threshold: float, alpha: float = 0.1, least: int = 1) -> DataFrame:
-    return _ended(with_tick_sign(ticks), F.col("sign"), runs_ends, _positive(threshold), alpha, least)
+    threshold = _positive(threshold)
+    return _ended(ticks, F.col("sign"), lambda: runs(threshold, alpha, least), _sides)
