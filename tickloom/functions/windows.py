@@ -88,6 +88,16 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b as doubles divide: infinite where only b is zero, not a number where both are."""
+    return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(a.isNotNull() & b.isNotNull(), F.signum(a) * F.lit(float("inf")))
+
+
+def ieee_ln(a: Column) -> Column:
+    """The logarithm of doubles: minus infinity at zero, not a number below."""
+    return F.when(a > 0, F.ln(a)).when(a == 0, float("-inf")).when(a.isNotNull(), float("nan"))
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """All doubles rounded, for comparison between engines; minus zero becomes zero."""
     return df.select(*(((F.round(F.col(c) * 10**digits) / 10**digits + F.lit(0.0)).alias(c) if t == "double" else F.col(c)) for c, t in df.dtypes))

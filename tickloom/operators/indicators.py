@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
-from ..functions.windows import Series, check_window, ratio
+from ..functions.windows import Series, check_window, ieee_ln, ieee_ratio, ratio
 
 BARS = Series()
 c = F.col
@@ -104,15 +104,15 @@ def ichimoku(df: DataFrame, tenkan: int = 9, kijun: int = 26, senkou: int = 52,
 
 
 def volatility(df: DataFrame, window: int = 20, periods: float = 252.0, s: Series = BARS) -> DataFrame:
-    """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang, annualised."""
+    """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang, annualised; a price of zero counts as doubles do, so that it makes its windows infinite or not a number."""
     check_window(window, 2)
-    ln = lambda a, b: F.ln(ratio(c(a), c(b)))
+    ln = lambda a, b: ieee_ln(ieee_ratio(c(a), c(b)))
     df = df.withColumns(
         {
             "_pk": ln("high", "low") ** 2 / (4 * math.log(2)),
             "_gk": 0.5 * ln("high", "low") ** 2 - (2 * math.log(2) - 1) * ln("close", "open") ** 2,
             "_rs": ln("high", "close") * ln("high", "open") + ln("low", "close") * ln("low", "open"),
-            "_o": F.ln(ratio(c("open"), s.lag("close"))),
+            "_o": ieee_ln(ieee_ratio(c("open"), s.lag("close"))),
             "_c": ln("close", "open"),
         }
     )
