@@ -78,8 +78,11 @@ class Shard:
         """``ids``: word numbers in order, -1 for gaps."""
         self.words, self._columns = words, None
         at = np.flatnonzero(ids >= 0)
-        at = at[np.argsort(ids[at], kind="stable")]
-        word, block = ids[at].astype(np.int64), at >> 6
+        bits = max(len(ids), 1).bit_length()
+        at |= ids[at].astype(np.int64) << bits
+        at.sort()  # by word, then position
+        word, at = at >> bits, at & ((1 << bits) - 1)
+        block = at >> 6
         self.n_blocks = (len(ids) >> 6) + 2
         key = word * self.n_blocks + block
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -111,14 +114,17 @@ class Shard:
         reach = self.begin[block + 1] - self.begin[block]
         hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
         for a, b in self._slices(reach):
-            row = np.repeat(np.arange(a, b), reach[a:b])
-            other = np.arange(len(row)) + np.repeat(self.begin[block[a:b]] - np.cumsum(reach[a:b]) + reach[a:b], reach[a:b])
-            hit = mask[row] & self.by_mask[other]
-            found = np.flatnonzero(hit)
-            hits.append((row[found], self.by_word[other[found]], hit[found]))
+            size = reach[a:b]
+            end = np.cumsum(size)
+            other = np.repeat(self.begin[block[a:b]] - end + size, size)
+            other += np.arange(len(other))
+            hit = np.repeat(mask[a:b], size)
+            hit &= self.by_mask[other]
+            found = np.flatnonzero(hit != 0)
+            hits.append((a + np.searchsorted(end, found, "right"), self.by_word[other[found]], hit[found]))
         row, word, hit = (np.concatenate(x) for x in zip(*hits))
         parent = group[row]
-        order = np.argsort(parent * np.int64(len(self.words)) + word, kind="stable")
+        order = np.argsort(parent * np.int64(len(self.words)) + word)  # the order of a phrase's blocks is of no account
         return parent[order], word[order], block[row][order], hit[order]
 
     @staticmethod
