@@ -139,3 +139,12 @@ def test_adaptive_bars_hold_a_batch_at_a_time(spark, monkeypatch):
         ends = bars.imbalance_ends(np.array([x * r[4] for x, r in zip(signs, mine, strict=True)]), 4.0, 0.1, 1)
         want = {int(b): [r for r, e in zip(mine, ends, strict=True) if e == b] for b in set(ends[np.isfinite(ends)])}
         assert {(r.bar, r.ts, r.open, r.close, r.volume) for r in got if r.symbol == s} == {(b, p[-1][1], p[0][3], p[-1][3], sum(x[4] for x in p)) for b, p in want.items()}
+
+
+def test_coverage_orders_no_ties(spark):
+    rows = [(k, DAY + timedelta(days=d), DAY + timedelta(days=d + n)) for k in ("A", None) for d, n in [(0, 1), (2, 1), (2, 3), (4, 1), (9, 1)] * 50]
+    df = spark.createDataFrame(rows, "symbol string, start timestamp_ntz, end timestamp_ntz").repartition(7)
+    out = temporal.coverage(df)
+    assert sorted((str(r.symbol), (r.start - DAY).days, (r.end - DAY).days) for r in out.collect()) == sorted((k, a, b) for k in ("A", "None") for a, b in ((0, 1), (2, 5), (9, 10)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ASC NULLS FIRST, end" not in plan and plan.index("HashAggregate") >= 0  # equal intervals never meet an ORDER BY

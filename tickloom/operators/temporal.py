@@ -202,9 +202,10 @@ def asof_join(left: DataFrame, right: DataFrame, values: list[str], keys: tuple[
 
 
 def coverage(intervals: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Disjoint [start, end) of overlapping or touching intervals: islands by the running largest end."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    rows = intervals.withColumn("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    """Disjoint [start, end) of overlapping or touching intervals: islands by the running largest end. Of those that start together
+    only the longest goes on, so that the order has no ties."""
+    w = Window.partitionBy(*keys).orderBy("start")
+    rows = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end")).withColumn("_reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("_new", F.when(c("_reach").isNull() | (c("start") > c("_reach")), 1).otherwise(0))
     rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
