@@ -77,3 +77,24 @@ def test_zero_prices_equal_sql(spark, tmp_path, name):
     said = lambda rows: sorted([tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows])
     want = said(theirs.fetchall())
     assert said(mine.select(*columns).collect()) == want and any(v in ("inf", "nan") for r in want for v in r)
+
+
+def test_equal_issuers_rank_equally(spark, tmp_path):
+    con = duckdb.connect()
+    shift = {"lineitem": "l_suppkey + 1000 * i AS l_suppkey, l_partkey + 1000000 * i AS l_partkey", "part": "p_partkey + 1000000 * i AS p_partkey", "supplier": "s_suppkey + 1000 * i AS s_suppkey"}
+    for name, moved in shift.items():
+        con.execute(f"COPY (SELECT t.* REPLACE ({moved}) FROM read_parquet('{DATA}/{name}.parquet') t, range(4) r(i) ORDER BY hash(i, t)) TO '{tmp_path}/{name}.parquet'")
+    out = registry.QUERIES["screening"](spark, str(tmp_path)).toPandas()
+    by = out.groupby(out.ticker % 1000)
+    assert len(out) > 4 and (by.size() == 4).all() and (by.pr_margin.nunique() == 1).all() and (by.score.nunique() == 1).all()
+
+
+def test_exact_sums_hang_on_no_order(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.functions.windows import exact_sum
+
+    fine, inf = [0.1, 0.2, 0.3, 1e5, 4567.8912, -0.1], float("inf")
+    rows = [("up", x) for x in fine] + [("down", x) for x in fine[::-1]] + [("fine", 1e-9), ("fine", None), ("inf", inf), ("inf", 1.0), ("null", None), ("large", 1e12), ("large", 0.5)]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "k string, x double").coalesce(1).groupBy("k").agg(exact_sum(F.col("x")).alias("s")).collect()}
+    assert got == {"up": 104568.3912, "down": 104568.3912, "fine": 1e-9, "inf": inf, "null": None, "large": 1000000000000.5}

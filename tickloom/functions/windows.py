@@ -88,6 +88,19 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
+def exact_sum(x: Column, digits: int = 6) -> Column:
+    """A sum of doubles that stand for decimals of up to so many places, the same in any order; the plain sum where a value is not one or is too large."""
+    units = F.round(x * 10.0**digits)
+    whole = F.try_sum(F.when(F.abs(units) < 2.0**53, units).try_cast("bigint"))
+    fits = F.bool_and((F.abs(units) < 2.0**53) & (F.abs(x * 10.0**digits - units) < 1e-3))
+    return F.when(fits & whole.isNotNull(), whole / 10.0**digits).otherwise(F.sum(x))
+
+
+def sorted_sum(x: Column) -> Column:
+    """A sum of a few doubles in the order of their size, the same in any order of rows."""
+    return F.when(F.count(x) > 0, F.aggregate(F.array_sort(F.collect_list(x)), F.lit(0.0), lambda a, b: a + b))
+
+
 def ieee_ratio(a: Column, b: Column) -> Column:
     """a / b as doubles divide: infinite where only b is zero, not a number where both are."""
     return F.when(b != 0, a / F.nullif(b, F.lit(0.0))).when(a.isNotNull() & b.isNotNull(), F.signum(a) * F.lit(float("inf")))

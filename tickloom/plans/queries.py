@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import Series, rounded
+from ..functions.windows import Series, rounded, sorted_sum
 from ..operators import bars as B
 from ..operators import fundamentals as fu
 from ..operators import indicators as I
@@ -591,6 +591,7 @@ def beneish(spark, d):
 @query(f"""WITH {SNAP}, u AS (SELECT ticker, sum(net_income) / sum(revenue) AS margin, avg(revenue) AS size FROM prev GROUP BY 1), st AS (SELECT avg(margin) AS mm, stddev_samp(margin) AS ms, avg(size) AS sm, stddev_samp(size) AS ss FROM u), z AS (SELECT ticker, margin, size, (margin - mm) / ms AS zm, (size - sm) / ss AS zs, (rank() OVER (ORDER BY margin) + (count(*) OVER (PARTITION BY margin) - 1) / 2e0) / count(*) OVER () AS pr FROM u, st)
  SELECT ticker, {r('zm AS z_margin', 'zs AS z_size', 'pr AS pr_margin', '0.7e0 * zm - 0.3e0 * zs AS score')}, CAST(row_number() OVER (ORDER BY round(0.7e0 * zm - 0.3e0 * zs, 9) DESC, ticker) AS INTEGER) AS rank FROM z""")
 def screening(spark, d):
-    u = shapes.snapshots(spark, d).groupBy("ticker").agg((F.sum("net_income") / F.sum("revenue")).alias("margin"), F.avg("revenue").alias("size"))
+    # sums that don't hang on the order of rows, so that equal issuers rank equally
+    u = shapes.snapshots(spark, d).groupBy("ticker").agg((sorted_sum(c("net_income")) / sorted_sum(c("revenue"))).alias("margin"), (sorted_sum(c("revenue")) / F.count("revenue")).alias("size"))
     rows = fu.rank_universe(fu.percentile_rank(u, ["margin"]), {"margin": 0.7, "size": 0.3}, "ticker", ["size"])
     return rows.select("ticker", "z_margin", "z_size", "pr_margin", "score", "rank")
