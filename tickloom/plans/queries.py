@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import Series, rounded, sorted_sum
+from ..functions.windows import Series, exact_sum, rounded, sorted_sum
 from ..operators import bars as B
 from ..operators import fundamentals as fu
 from ..operators import indicators as I
@@ -592,6 +592,6 @@ def beneish(spark, d):
  SELECT ticker, {r('zm AS z_margin', 'zs AS z_size', 'pr AS pr_margin', '0.7e0 * zm - 0.3e0 * zs AS score')}, CAST(row_number() OVER (ORDER BY round(0.7e0 * zm - 0.3e0 * zs, 9) DESC, ticker) AS INTEGER) AS rank FROM z""")
 def screening(spark, d):
     # sums that don't hang on the order of rows, so that equal issuers rank equally
-    u = shapes.snapshots(spark, d).groupBy("ticker").agg((sorted_sum(c("net_income")) / sorted_sum(c("revenue"))).alias("margin"), (sorted_sum(c("revenue")) / F.count("revenue")).alias("size"))
+    u = shapes.snapshots(spark, d, exact_sum).groupBy("ticker").agg((sorted_sum(c("net_income")) / sorted_sum(c("revenue"))).alias("margin"), (sorted_sum(c("revenue")) / F.count("revenue")).alias("size"))
     rows = fu.rank_universe(fu.percentile_rank(u, ["margin"]), {"margin": 0.7, "size": 0.3}, "ticker", ["size"])
     return rows.select("ticker", "z_margin", "z_size", "pr_margin", "score", "rank")
